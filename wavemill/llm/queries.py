@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from wavemill.llm import mixing, secret_scan, simhash, url_filter
+from wavemill.llm import language_id, mixing, packing, secret_scan, simhash, url_filter
 from wavemill.llm.common import table
 
 
+def op1_language_id(spark, sf_dir):
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op2_entropy_balancing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_hilbert_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_simhash_pivots(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -25,7 +33,9 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_entropy_balancing": op2_entropy_balancing,
+    "op3_hilbert_packing": op3_hilbert_packing,
     "op4_simhash_pivots": op4_simhash_pivots,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
