@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavemill.llm import language_id, mixing, packing, secret_scan, simhash, url_filter
+from wavemill.llm import ann_search, embedding_dedup, language_id, mixing, packing, secret_scan, simhash, url_filter
 from wavemill.llm.common import table
 
 
@@ -24,6 +24,15 @@ def op4_simhash_pivots(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_itq_dedup(spark, sf_dir):
+    return embedding_dedup.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_multi_index(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return ann_search.nearest_neighbours(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op9_secret_scan(spark, sf_dir):
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -37,6 +46,8 @@ QUERIES = {
     "op2_entropy_balancing": op2_entropy_balancing,
     "op3_hilbert_packing": op3_hilbert_packing,
     "op4_simhash_pivots": op4_simhash_pivots,
+    "op7_itq_dedup": op7_itq_dedup,
+    "op8_multi_index": op8_multi_index,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
 }

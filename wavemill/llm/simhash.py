@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from wavemill.llm.common import Scratch
 from wavemill.llm.components import connected_components
+from wavemill.llm.tiles import Forest, deal_tiles, runs
 
 SEED = 42
 SHINGLE = 3
@@ -100,14 +101,7 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: int) -> list[tuple[int,
     b = b[order]
     first = np.bitwise_count(b).astype(np.int64)
     da, db = _distances(a), _distances(b)
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = parent[p]
-            x = parent[x]
-        return x
-
+    forest = Forest()
     out = []
     for i, x in enumerate(a):
         lo, hi = np.searchsorted(first, [int(da[0, i]) - threshold, int(da[0, i]) + threshold + 1])
@@ -120,10 +114,8 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: int) -> list[tuple[int,
             left = left[np.abs(db[:, left] - da[:, i : i + 1]).max(0) <= threshold]
             left = left[np.bitwise_count(b[left] ^ x) <= threshold]
         for y in b[left].tolist():
-            x_, r, s = int(x), root(int(x)), root(y)
-            if r != s:
-                parent[r] = s
-                out.append((x_, y))
+            if forest.join(int(x), y):
+                out.append((int(x), y))
     return out
 
 
@@ -132,29 +124,13 @@ def _signed(x: int) -> int:
 
 
 def _bucket_links(threshold: int):
-    """Rows come sorted by (key, tile, side); each run of one key and tile is a tile."""
-
     def run(batches):
-        key, sides, us, vs = None, ([], []), [], []
-
-        def flush():
-            a, b = (np.array(s, np.int64).view(np.uint64) for s in sides)
+        us, vs = [], []
+        for sides in runs(batches, "key"):
+            a, b = (np.array(s, np.int64).reshape(-1).view(np.uint64) for s in sides)
             for u, v in tile_links(a, b if len(b) else a, threshold):
                 us.append(_signed(u))
                 vs.append(_signed(v))
-
-        for batch in batches:
-            for k, t, side, fp in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if (k, t) != key:
-                    if len(sides[0]) + len(sides[1]) > 1:
-                        flush()
-                    key, sides = (k, t), ([], [])
-                sides[side].append(fp)
-            if len(us) > 10_000:
-                yield pa.RecordBatch.from_pydict({"u": us, "v": vs})
-                us, vs = [], []
-        if len(sides[0]) + len(sides[1]) > 1:
-            flush()
         yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
@@ -164,15 +140,7 @@ def fingerprint_links(fps: DataFrame, threshold: int = 2, tile: int = TILE) -> D
     """Links (u, v) between distinct fingerprints (column fp) that connect all that are within
     the threshold; of links that a bucket's other links imply some are left out."""
     keyed = fps.select("fp", F.explode(F.array(*candidate_keys(F.col("fp"), threshold))).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keyed.join(counts, "key")
-    # A bucket of more than a tile: block i meets block j >= i in tile (i, j).
-    blocks = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct((F.least(j, F.col("block")) * F.col("blocks") + F.greatest(j, F.col("block"))).alias("t"), F.when(j >= F.col("block"), 0).otherwise(1).alias("side")))
-    tiles = members.withColumn("blocks", blocks).withColumn("block", mine).select("key", F.explode(others).alias("x"), "fp").select("key", F.col("x.t").alias("t"), F.col("x.side").alias("side"), "fp")
-    tiles = tiles.repartition("key", "t").sortWithinPartitions("key", "t", "side", "fp")
-    return tiles.mapInArrow(_bucket_links(threshold), "u long, v long")
+    return deal_tiles(keyed, "key", "fp", tile).mapInArrow(_bucket_links(threshold), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
