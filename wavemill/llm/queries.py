@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavemill.llm import ann_search, embedding_dedup, language_id, mixing, packing, secret_scan, simhash, url_filter
+from wavemill.llm import ann_search, embedding_dedup, html_extract, language_id, mixing, packing, secret_scan, simhash, url_filter
 from wavemill.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_simhash_pivots(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_host_suffix_array(spark, sf_dir):
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_itq_dedup(spark, sf_dir):
     return embedding_dedup.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_entropy_balancing": op2_entropy_balancing,
     "op3_hilbert_packing": op3_hilbert_packing,
     "op4_simhash_pivots": op4_simhash_pivots,
+    "op5_host_suffix_array": op5_host_suffix_array,
     "op7_itq_dedup": op7_itq_dedup,
     "op8_multi_index": op8_multi_index,
     "op9_secret_scan": op9_secret_scan,
