@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,12 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(t._wavemill_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Lets Spark's cleaner drop the shuffle files of finished steps, which it does for
+        plans that the driver's garbage collector has found unused."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def word_count(text):
     """Number of runs of characters other than ASCII white space; 0 for null."""

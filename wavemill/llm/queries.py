@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavemill.llm import ann_search, embedding_dedup, html_extract, language_id, mixing, packing, secret_scan, simhash, url_filter
+from wavemill.llm import ann_search, embedding_dedup, html_extract, language_id, mixing, packing, secret_scan, simhash, substring_dedup, url_filter
 from wavemill.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_host_suffix_array(spark, sf_dir):
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_prefix_free_parsing(spark, sf_dir):
+    return substring_dedup.remove_repeated_strings(table(spark, sf_dir, "documents"))
+
+
 def op7_itq_dedup(spark, sf_dir):
     return embedding_dedup.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_hilbert_packing": op3_hilbert_packing,
     "op4_simhash_pivots": op4_simhash_pivots,
     "op5_host_suffix_array": op5_host_suffix_array,
+    "op6_prefix_free_parsing": op6_prefix_free_parsing,
     "op7_itq_dedup": op7_itq_dedup,
     "op8_multi_index": op8_multi_index,
     "op9_secret_scan": op9_secret_scan,
