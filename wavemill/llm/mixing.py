@@ -127,7 +127,8 @@ def _copies(classes: DataFrame, cap: float) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies, rate.
+    """One row per document: doc_id, size, source_size, target, taken, copies, rate, mark (a
+    hash of the text).
 
     Null text has size 0 and is never taken; null is a source of its own; sources whose
     documents are all empty have target 0.  Repeated rows count as documents each.  An
@@ -139,6 +140,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, id_col: str =
             F.col(source_col).isNull().alias("s_null"),
             F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s"),
             word_count(F.col(text_col)).alias("size"),
+            F.xxhash64(F.col(text_col).cast("string")).alias("mark"),
             F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(PARTS)).alias("part"),
         )
     )
@@ -158,4 +160,17 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, id_col: str =
     ranked = sized.join(dealt, [*KEY, "size", "part"]).withColumn("rn", F.row_number().over(order) - 1)
     over = F.coalesce("copies", F.lit(0)) % F.col("n")
     copies = F.floor(F.coalesce("copies", F.lit(0)) / F.col("n")).cast("long") + (F.col("base") + F.col("rn") < over).cast("long")
-    return ranked.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "rate")
+    return ranked.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "rate", "mark")
+
+
+def apply_mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The columns of ``docs``, each row as often as the mix takes it.  Rows that share id and
+    text share their copies evenly."""
+    mixed = mix_sources(docs, weights, cap, id_col, text_col, source_col)
+    taken = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
+    own, mark = docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))
+    out = docs.join(taken, own.eqNullSafe(taken["__id"]) & (mark == taken["__mark"]))
+    nth = F.row_number().over(Window.partitionBy("__id", "__mark").orderBy(F.lit(0))) - 1
+    share = F.floor(F.col("__copies") / F.col("__rows")) + (nth < F.col("__copies") % F.col("__rows")).cast("long")
+    out = out.withColumn("__share", share.cast("int")).where("__share > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__share")))).select(*docs.columns)

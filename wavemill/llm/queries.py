@@ -11,7 +11,7 @@ def op1_language_id(spark, sf_dir):
 
 
 def op2_entropy_balancing(spark, sf_dir):
-    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("mark")
 
 
 def op3_hilbert_packing(spark, sf_dir):
