@@ -7,12 +7,15 @@ each vector of ``embeddings`` is a short waveform.  Results are rounded to six p
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.functions import formula, scalars
 from wavemill.operators import annotations, filters, frf, overview, spectrum, stats, timeline
 from wavemill.recording import from_rows, long_to_wide, wide_to_long
+from wavemill.sources import export, recording_file
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -212,13 +215,13 @@ def stitched_events(spark, sf_dir):
     return timeline.stitched(events(spark, sf_dir))
 
 
-@query(f"""WITH {EV}, {CADENCE}, {GAPS}, {SEGS} SELECT sg.recording_id, channel, sample, {R('(display_start + t - t_start) / 3', 'third_display')}, {R('t / 3', 'third_t')} FROM sg JOIN sd USING (channel, segment) WHERE sample % 7 = 0""", 4)
+@query(f"""WITH {EV}, {CADENCE}, {GAPS}, {SEGS} SELECT sg.recording_id, channel, sample, {R('(display_start + t - t_start) * pi()', 'pi_display')}, {R('t * pi()', 'pi_t')} FROM sg JOIN sd USING (channel, segment) WHERE sample % 7 = 0""", 4)
 def display_to_time_events(spark, sf_dir):
     ev = events(spark, sf_dir)
     places = timeline.stitched(ev).where("sample % 7 = 0").select("recording_id", "channel", "sample", "display")
-    # Thirds, as times are whole microseconds and would round at ties.
+    # Times pi, as times are whole microseconds and would round at ties.
     back = timeline.display_to_time(places, timeline.segments(ev))
-    return back.select("recording_id", "channel", "sample", (F.col("display") / 3).alias("third_display"), (F.col("t") / 3).alias("third_t"))
+    return back.select("recording_id", "channel", "sample", (F.col("display") * F.pi()).alias("pi_display"), (F.col("t") * F.pi()).alias("pi_t"))
 
 
 ORACLE_SQL["display_to_time_events"] = ORACLE_SQL["display_to_time_events"].replace(", 6)", ", 4)")
@@ -325,7 +328,8 @@ sp AS (SELECT recording_id, channel, k.bin, k.bin / (nn * dt0) AS freq, sqrt(sum
   * CASE WHEN k.bin = 0 OR 2 * k.bin = nn THEN 1 ELSE 2 END / nn AS amp FROM m, range(0, 100000) AS k(bin) WHERE 2 * k.bin <= nn GROUP BY recording_id, channel, k.bin, nn, dt0)"""
 
 
-HOURLY_DFT = dft_sql(f"WITH {HOURS}", "(SELECT count(*) FROM ev)", "((SELECT max(t) FROM ev) / ((SELECT count(*) FROM ev) - 1))")
+# Hours without events are gaps, which the spectrum closes: samples follow each other by the hour.
+HOURLY_DFT = dft_sql(f"WITH {HOURS}", "(SELECT count(*) FROM ev)", "3600.0::DOUBLE")
 PEAKS = """pk AS (SELECT *, lag(amp) OVER w AS l, lead(amp) OVER w AS r FROM sp WINDOW w AS (PARTITION BY channel ORDER BY bin)),
 pr AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY amp DESC, freq) AS rank FROM pk WHERE bin >= 1 AND amp > l AND CASE WHEN r IS NULL THEN amp > 0 ELSE amp >= r END)"""
 
@@ -488,6 +492,25 @@ for _name, _settings in FILTERS.items():
     query(filter_sql(_settings))(_run)
 
 
+# Files -------------------------------------------------------------------------------------
+
+@query(f"WITH {DAYS_WIDE} SELECT channel, CAST(sample AS BIGINT) AS sample, {R('t')}, {R('value')} FROM (SELECT 'A' AS channel, sample, t, a AS value FROM w UNION ALL SELECT 'N', sample, t, n FROM w) WHERE t >= 86400 * 30 AND t <= 86400 * 900")
+def recording_file_round_trip_daily(spark, sf_dir):
+    """Written as a comma-separated recording, read back by the data source within a window."""
+    path = f"{tempfile.mkdtemp(prefix='wavemill-')}/daily.csv"
+    export.write_file(daily(spark, sf_dir), path, ["A", "N"], {"export": {"data_mode": "raw"}})
+    long = recording_file.read_recording(spark, path, start=86400.0 * 30, end=86400.0 * 900, checkpoint=500)
+    return long.select("channel", "sample", "t", "value")
+
+
+@query(HOURLY_DFT + f" SELECT channel, bin, {R('amp')} FROM sp WHERE bin <= 100")
+def stored_spectrum_round_trip_hourly(spark, sf_dir):
+    """Amplitudes written to a spectrum file and imported again without a transform."""
+    path = f"{tempfile.mkdtemp(prefix='wavemill-')}/spectrum.csv"
+    export.write_spectrum_file(spectrum.amplitude_spectrum(hourly(spark, sf_dir)), path, ["hourly"])
+    return spectrum.import_spectrum(recording_file.read_recording(spark, path)).where("bin <= 100").select("channel", "bin", "amp")
+
+
 # Annotations -------------------------------------------------------------------------------
 
 def points(spark, sf_dir):

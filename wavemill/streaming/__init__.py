@@ -1 +1 @@
-
+"""Recordings as streams: stateful filters, running statistics, buckets and sessions."""
