@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wavemill.recording import SERIES
+from wavemill.scratch import settle
 
 BLOCK = 1 << 18
 
@@ -41,7 +42,7 @@ def running_sum(df: DataFrame, sums: Mapping[str, Column], keys: Sequence[str] =
     outer = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, "__block").agg(*(F.sum(f"__x_{n}").alias(f"__t_{n}") for n in sums))
     totals = totals.select(*keys, "__block", *(F.coalesce(F.sum(f"__t_{n}").over(outer), F.lit(0)).alias(f"__b_{n}") for n in sums))
-    rows = rows.join(totals, [*keys, "__block"])
+    rows = rows.join(settle(totals), [*keys, "__block"])
     for name in sums:
         rows = rows.withColumn(name, F.coalesce(F.sum(f"__x_{name}").over(inner), F.lit(0)) + F.col(f"__b_{name}"))
     return rows.drop("__block", *(f"__{p}_{n}" for n in sums for p in "xb"))

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from wavemill.operators.timeline import GAP_FACTOR, cadence, intervals
 from wavemill.recording import SERIES, RecordingError, finite
+from wavemill.scratch import settle
 
 EPS = float(np.finfo(float).eps)
 GROUP = 64  # segments that are transformed in one task
@@ -92,7 +93,7 @@ def prepare(long: DataFrame, references: Sequence[str], responses: Sequence[str]
 
 
 def has_gaps(long: DataFrame) -> bool:
-    rows = intervals(long).join(F.broadcast(cadence(long)), list(SERIES))
+    rows = intervals(long).join(settle(cadence(long)), list(SERIES))
     return rows.where(F.col("dt") > GAP_FACTOR * F.col("cadence")).limit(1).count() > 0
 
 

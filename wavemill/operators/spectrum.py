@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from wavemill.operators.blocks import neighbours, running_sum
 from wavemill.operators.timeline import GAP_FACTOR, cadence, intervals
 from wavemill.recording import SERIES, RecordingError, finite
+from wavemill.scratch import settle
 
 SPECTRUM = "recording_id string, channel string, bin long, freq double, amp double"
 
@@ -18,17 +19,20 @@ SPECTRUM = "recording_id string, channel string, bin long, freq double, amp doub
 def compressed_axis(long: DataFrame) -> DataFrame:
     """Adds offset, the time since the first sample with every gap shortened to one cadence,
     and the facts of the channel: n, grid (even spacing), resampled, gaps_ignored."""
-    rows = intervals(long).join(F.broadcast(cadence(long)), list(SERIES))
+    rows = intervals(long).join(settle(cadence(long)), list(SERIES))
     gap = F.coalesce(F.col("dt") > GAP_FACTOR * F.col("cadence"), F.lit(False))
-    rows = running_sum(rows, {"offset": F.when(gap, F.col("cadence")).otherwise(F.coalesce("dt", F.lit(0.0)))})
-    facts = rows.groupBy(*SERIES).agg(F.count("*").alias("n"), F.max("offset").alias("span"), F.max(gap).alias("gaps_ignored"), F.max(F.col("dt") <= 0).alias("backward"))
+    step = F.when(gap, F.col("cadence")).otherwise(F.coalesce("dt", F.lit(0.0)))
+    bad = F.col("value").isNotNull() & ~finite(F.col("value"))
+    facts = rows.groupBy(*SERIES).agg(
+        F.count("*").alias("n"), F.sum(step).alias("span"), F.max(gap).alias("gaps_ignored"), F.coalesce(F.max(F.col("dt") <= 0), F.lit(False)).alias("backward"),
+        F.avg("value").alias("mean"), F.count("value").alias("got"), F.max(bad).alias("infinite"),
+    )
     facts = facts.withColumn("grid", F.col("span") / (F.col("n") - 1))
-    rows = rows.join(F.broadcast(facts), list(SERIES))
-    first = F.lit(0)
-    inner = (F.col("sample") > first) & (F.col("sample") < F.col("n") - 1)
+    rows = running_sum(rows.withColumn("__step", step), {"offset": F.col("__step")}).join(settle(facts), list(SERIES))
+    inner = (F.col("sample") > 0) & (F.col("sample") < F.col("n") - 1)
     off = inner & (F.abs(F.col("offset") - F.col("sample") * F.col("grid")) > 1e-6 * F.col("grid"))
-    uneven = rows.groupBy(*SERIES).agg(F.max(off).alias("resampled"))
-    return rows.join(F.broadcast(uneven), list(SERIES)).drop("t_before", "dt", "cadence", "span")
+    uneven = settle(rows.groupBy(*SERIES).agg(F.max(off).alias("resampled")))
+    return rows.join(uneven, list(SERIES)).drop("t_before", "dt", "cadence", "span", "__step")
 
 
 def even_samples(long: DataFrame) -> DataFrame:
@@ -37,11 +41,8 @@ def even_samples(long: DataFrame) -> DataFrame:
 
     Channels with fewer than 4 finite samples or with an infinite one, or whose time stands
     still or runs back, are left out."""
-    rows = compressed_axis(long)
-    bad = F.col("value").isNotNull() & ~finite(F.col("value"))
-    facts = rows.groupBy(*SERIES).agg(F.avg("value").alias("__mean"), F.count("value").alias("__got"), F.max(bad).alias("__bad"))
-    rows = rows.join(F.broadcast(facts), list(SERIES)).where((F.col("__got") >= 4) & ~F.col("__bad") & ~F.coalesce("backward", F.lit(False)))
-    rows = rows.withColumn("value", F.coalesce("value", "__mean")).select(*SERIES, "sample", "offset", "value", "n", "grid", "resampled", "gaps_ignored")
+    rows = compressed_axis(long).where("got >= 4 AND NOT infinite AND NOT backward")
+    rows = rows.withColumn("value", F.coalesce("value", "mean")).select(*SERIES, "sample", "offset", "value", "n", "grid", "resampled", "gaps_ignored")
     rows = neighbours(rows, {"__o": ("offset", 1), "__v": ("value", 1)})
     last = F.col("sample") == F.col("n") - 1
     # Grid places k with offset <= k * grid < next offset lie between this sample and the next.
@@ -113,11 +114,10 @@ def find_peaks(spectrum: DataFrame, n: int = 5) -> DataFrame:
         raise RecordingError("InvalidOptions", "n must be at least 1")
     rows = neighbours(spectrum, {"__left": ("amp", -1), "__right": ("amp", 1)}, order="bin")
     rows = rows.withColumn("peak", F.coalesce((F.col("bin") >= 1) & (F.col("amp") > F.col("__left")) & F.when(F.col("__right").isNull(), F.col("amp") > 0).otherwise(F.col("amp") >= F.col("__right")), F.lit(False)))
-    facts = spectrum.groupBy(*SERIES).agg(F.bool_and(finite(F.col("amp"))).alias("__fine"))
-    counts = rows.groupBy(*SERIES).agg(F.max("peak").alias("__any"))
-    best = Window.partitionBy(*SERIES).orderBy(F.desc("amp"), "freq")
-    rows = rows.join(F.broadcast(facts), list(SERIES)).join(F.broadcast(counts), list(SERIES)).where("__fine AND bin >= 1 AND (peak OR NOT __any AND amp > 0)")
-    rows = rows.withColumn("rank", F.row_number().over(best))
+    # A channel's spectrum comes from one task's transform, so one task can look at it whole.
+    whole, best = Window.partitionBy(*SERIES), Window.partitionBy(*SERIES).orderBy(F.desc("amp"), "freq")
+    rows = rows.withColumn("__fine", F.bool_and(finite(F.col("amp"))).over(whole)).withColumn("__any", F.max("peak").over(whole))
+    rows = rows.where("__fine AND bin >= 1 AND (peak OR NOT __any AND amp > 0)").withColumn("rank", F.row_number().over(best))
     return rows.where((F.col("rank") <= n) & (F.col("__any") | (F.col("rank") == 1))).select(*SERIES, "rank", "bin", "freq", "amp")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from wavemill.operators.blocks import BLOCK, neighbours, running_sum
 from wavemill.recording import SERIES, RecordingError, finite
+from wavemill.scratch import settle
 
 FIRST_STEP = 1e-6  # step assumed before any positive interval was seen
 GAP_FACTOR = 1.5  # an interval beyond this many cadences is a gap
@@ -29,7 +30,7 @@ def monotonic(long: DataFrame) -> DataFrame:
     past = Window.partitionBy(*SERIES).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(*SERIES, "__block", F.last("__l.__up", ignorenulls=True).over(past).alias("__carried"))
     ahead = Window.partitionBy(*SERIES, "__block").orderBy("sample").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(blocks, [*SERIES, "__block"]).withColumn("__step", F.coalesce(F.last("__up", ignorenulls=True).over(ahead), "__carried", F.lit(FIRST_STEP)))
+    rows = rows.join(settle(blocks), [*SERIES, "__block"]).withColumn("__step", F.coalesce(F.last("__up", ignorenulls=True).over(ahead), "__carried", F.lit(FIRST_STEP)))
     shift = F.when(F.col("__d") <= 0, F.col("__step") - F.col("__d")).otherwise(0.0)
     rows = running_sum(rows, {"__shift": shift})
     return rows.withColumn("t", F.col("t") + F.col("__shift")).select(*long.columns)
@@ -113,7 +114,7 @@ def cadence(long: DataFrame) -> DataFrame:
 def timeline_report(long: DataFrame) -> DataFrame:
     """Samples, bounds, cadence, whether there are gaps, and a status: OK, TooShort (under 4
     samples) or InvalidTime (not finite and strictly increasing)."""
-    rows = intervals(long).join(F.broadcast(cadence(long)), list(SERIES), "left")
+    rows = intervals(long).join(settle(cadence(long)), list(SERIES), "left")
     bad = ~finite(F.col("t")) | (F.col("dt") <= 0)
     got = rows.groupBy(*SERIES).agg(
         F.count("*").alias("n"),
@@ -133,7 +134,7 @@ def gaps(long: DataFrame, threshold: float | None = None, start: float | None =
 
     ``missing`` estimates the samples lost: the duration in cadences, rounded half away from
     zero, less one."""
-    rows = intervals(long).join(F.broadcast(cadence(long)), list(SERIES))
+    rows = intervals(long).join(settle(cadence(long)), list(SERIES))
     limit = F.lit(threshold) if threshold is not None else GAP_FACTOR * F.col("cadence")
     rows = rows.where(F.col("dt") > limit)
     if start is not None:
@@ -161,13 +162,13 @@ def segments(long: DataFrame) -> DataFrame:
 
 
 def _with_segment(long: DataFrame) -> DataFrame:
-    rows = intervals(long).join(F.broadcast(cadence(long)), list(SERIES), "left")
+    rows = intervals(long).join(settle(cadence(long)), list(SERIES), "left")
     return running_sum(rows, {"segment": F.coalesce(F.col("dt") > GAP_FACTOR * F.col("cadence"), F.lit(False)).cast("long")})
 
 
 def stitched(long: DataFrame) -> DataFrame:
     """Adds segment and display, the time on an axis without gaps."""
-    place = segments(long).select(*SERIES, "segment", F.col("t_start").alias("__t0"), "display_start")
+    place = settle(segments(long).select(*SERIES, "segment", F.col("t_start").alias("__t0"), "display_start"))
     rows = _with_segment(long).join(place, [*SERIES, "segment"])
     return rows.withColumn("display", F.col("display_start") + F.col("t") - F.col("__t0")).select(*long.columns, "segment", "display")
 
@@ -190,7 +191,7 @@ def display_step(long: DataFrame, limit: int = 4096) -> DataFrame:
 
     A description of the axis for display, not an analysis: it looks at few intervals by design."""
     n = long.groupBy(*SERIES).agg(F.count("*").alias("n")).withColumn("stride", F.greatest(F.lit(1), F.floor(F.col("n") / limit)))
-    rows = intervals(long).join(F.broadcast(n), list(SERIES)).where((F.col("sample") % F.col("stride") == 0) & (F.col("dt") > 0))
+    rows = intervals(long).join(settle(n), list(SERIES)).where((F.col("sample") % F.col("stride") == 0) & (F.col("dt") > 0))
     return rows.groupBy(*SERIES).agg(F.median("dt").alias("step"))
 
 
