@@ -1,62 +1,17 @@
-"""What the operators of this subpackage share: reading, scratch tables, typed nulls."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavemill.scratch import Scratch
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or the context's own
-    checkpoint folder; a fresh temporary one only where neither is set (local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            named = held.get()
-        else:
-            named = "file://" + tempfile.mkdtemp(prefix="wavemill-")
-            spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
+__all__ = ["Scratch", "table", "word_count"]
 
-class Scratch:
-    """Tables written once to the shared folder and read back, which cuts lineage:
-    a lost executor costs no recomputation of what stands before the table."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/wavemill-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._wavemill_path = path
-        return out
-
-    def free(self, *tables: DataFrame) -> None:
-        """Deletes tables that no later result reads."""
-        jvm = self.spark.sparkContext._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._wavemill_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def release(self) -> None:
-        """Lets Spark's cleaner drop the shuffle files of finished steps, which it does for
-        plans that the driver's garbage collector has found unused."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def word_count(text):

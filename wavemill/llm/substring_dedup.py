@@ -284,7 +284,9 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("r"), text.cast("binary").alias("text"))
     parsed = scratch.save(rows.select("r", "text").mapInArrow(_parse, PARSED))
     blocks = parsed.groupBy("hb").agg(F.sum("w").alias("n"), F.min("hx").alias("x0"), F.max("hx").alias("x1")).where("n > 1")
-    shared = scratch.save(parsed.join(blocks.select("hb", (F.col("x0") == F.col("x1")).alias("whole")), "hb"))
+    # Written first: a join of two plain tables is one that Spark can split where a block is hot.
+    blocks = scratch.save(blocks.select("hb", (F.col("x0") == F.col("x1")).alias("whole")))
+    shared = scratch.save(parsed.join(blocks, "hb"))
     scratch.free(parsed)
     scratch.release()
     # The dictionary: distinct phrases of trigger blocks that have several, with one place each.
