@@ -1,6 +1,6 @@
 """Embedding near-dedup: iterative quantisation, multi-index Hamming tables, exact rerank.
 
-* Codes: vectors of unit length are centred, taken to their principal axes and turned by a
+* Codes: vectors of unit length are centred (where that helps), taken to their principal axes and turned by a
   rotation learned so that signs lose least (ITQ; Gong & Lazebnik).  Several rotations from
   different starts give more bits than there are dimensions.  They are learned from a
   bounded sample (SAMPLE vectors with the smallest hash); every vector is then coded.
@@ -44,7 +44,8 @@ def bounded_sample(vectors: DataFrame, col: str, n: int) -> np.ndarray:
     rows = vectors.select(col).orderBy(F.xxhash64(col), col).limit(n).collect()
     sizes = [len(r[0]) for r in rows]
     dims = max(set(sizes), key=lambda d: (sizes.count(d), -d)) if sizes else 0
-    return np.array([r[0] for r in rows if len(r[0]) == dims], np.float64).reshape(-1, dims)
+    got = [r[0] for r in rows if len(r[0]) == dims]
+    return np.array(got, np.float64).reshape(len(got), dims)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -53,29 +54,49 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def learn_rotations(sample: np.ndarray, n_rotations: int, rounds: int = ROUNDS) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Mean and projections (dims x bits): principal axes times learned rotations."""
-    x = unit(sample)
-    mean = x.mean(0)
-    x = x - mean
+def learn_rotations(sample: np.ndarray, mean: np.ndarray, seeds, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Projections (dims x bits), one for each seed: principal axes times a learned rotation."""
+    x = unit(sample) - mean
     _, axes = np.linalg.eigh(x.T @ x)
     v = x @ axes
     out = []
-    for seed in range(n_rotations):
+    for seed in seeds:
         r, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((v.shape[1],) * 2))
         for _ in range(rounds):
             u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
         out.append(axes @ r)
-    return mean, out
+    return out
+
+
+def shared_substrings(sample: np.ndarray, mean: np.ndarray, projection: np.ndarray, bits: int, threshold: float) -> float:
+    """How often the sample's vectors share a substring with a vector right at the threshold."""
+    x = unit(sample)
+    noise = np.random.default_rng(99).standard_normal(x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    y = threshold * x + math.sqrt(1 - threshold**2) * noise / np.maximum(np.sqrt((noise * noise).sum(1, keepdims=True)), 1e-300)
+    same = ((x - mean) @ projection >= 0) == ((y - mean) @ projection >= 0)
+    n = same.shape[1] // bits
+    return float(same[:, : n * bits].reshape(len(x), n, bits).all(2).mean())
+
 
+def plan(sample: np.ndarray, n: int, threshold: float) -> tuple[int, int, np.ndarray, list[np.ndarray]]:
+    """Substring bits, number of substrings, mean and projections for n vectors.
 
-def plan_tables(n: int, dims: int, threshold: float) -> tuple[int, int, int]:
-    """Substring bits, number of substrings, number of rotations for n vectors."""
+    Centring balances the codes, but where most vectors lie about the mean it turns small
+    angles into large ones: then the codes stay uncentred, for which the share of equal bits
+    is known.  The number of substrings follows the smaller of the known and measured share."""
+    dims = sample.shape[1]
     bits = max(1, min(dims, 16, max(4, math.ceil(math.log2(max(n, 2))))))
-    share = (1 - math.acos(threshold) / math.pi) ** bits
+    known = (1 - math.acos(threshold) / math.pi) ** bits
+    for mean in (unit(sample).mean(0), np.zeros(dims)):
+        first = learn_rotations(sample, mean, [0])
+        share = shared_substrings(sample, mean, first[0], bits, threshold)
+        if share >= 0.75 * known:
+            break
+    share = min(max(share, 0.5 * known), known, 0.999)
     tables = math.ceil(math.log(MISS) / math.log(1 - share))
-    return bits, tables, math.ceil(tables / (dims // bits))
+    return bits, tables, mean, first + learn_rotations(sample, mean, range(1, math.ceil(tables / (dims // bits))))
 
 
 def _code(mean, projections, bits, n_tables):
@@ -101,7 +122,7 @@ def _code(mean, projections, bits, n_tables):
 
 def _compare(threshold: float):
     def run(batches):
-        for sides in runs(batches, "key"):
+        for within, sides in runs(batches, "key"):
             rows = sides[0] + sides[1]
             table = rows[0][0]
             ids = [r[1] for r in rows]
@@ -109,10 +130,9 @@ def _compare(threshold: float):
             x = unit(np.array([r[3] for r in rows], np.float64))
             subs = np.array([r[4] for r in rows], np.int32)
             n0 = len(sides[0])
-            mixed = len(sides[1]) > 0
-            a, b = np.arange(n0), np.arange(n0, len(rows)) if mixed else np.arange(n0)
+            a, b = np.arange(n0), np.arange(n0) if within else np.arange(n0, len(rows))
             linked = x[a] @ x[b].T >= threshold
-            if not mixed:
+            if within:
                 linked = np.triu(linked, 1)
             i, j = np.nonzero(linked)
             if not len(i):
@@ -160,8 +180,7 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_co
     classes = scratch.save(rows.where("cls IS NOT NULL").groupBy("cls", "label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")))
     n = classes.count()
     if n:
-        bits, n_tables, n_rotations = plan_tables(n, dims, threshold)
-        mean, projections = learn_rotations(sample, n_rotations)
+        bits, n_tables, mean, projections = plan(sample, n, threshold)
         coded = scratch.save(classes.select("cls", "label", "copies", "embedding").mapInArrow(_code(mean, projections, bits, n_tables), "cls long, label string, copies long, embedding array<double>, subs array<int>"))
         slim = coded.select("cls", "label", F.posexplode("subs").alias("t", "sub"))
         keyed = slim.select("cls", F.xxhash64("label", "t", "sub").alias("key"), F.col("t").cast("int").alias("t"))

@@ -104,24 +104,30 @@ def _copies(classes: DataFrame, cap: float) -> DataFrame:
     """(s_null, s, size, n, copies): whole copies for each class of equal documents of a source.
 
     The classes of a source, one row for each distinct size, are folded from the longest
-    to the shortest with the error so far; their number is bounded by the longest text,
-    not by the number of documents."""
-    bound = F.lit(float(cap))
-
+    to the shortest with the error so far and with what shorter documents can still make up
+    for; their number is bounded by the longest text, not by the number of documents."""
     def step(acc: Column, x: Column) -> Column:
         wanted = x["n"] * x["rate"] + acc["off"] / x["size"]
-        k = F.greatest(F.lit(0.0), F.least(F.floor(wanted + 0.5).cast("double"), F.floor(bound * x["n"]).cast("double")))
-        off = acc["off"] + (x["n"] * x["rate"] - k) * x["size"]
+        clip = lambda k: F.greatest(F.lit(0.0), F.least(k, F.lit(float(cap)) * x["n"]))
+        low, high = clip(F.floor(wanted).cast("double")), clip(F.floor(wanted).cast("double") + 1)
+        # What a choice costs: tokens too many, or more than shorter documents can make up for.
+        cost = lambda k: F.greatest(k * x["size"] - acc["left"], acc["left"] - k * x["size"] - F.lit(float(cap)) * (acc["rest"] - x["n"] * x["size"]), F.lit(0.5))
+        k = F.when((cost(low) < cost(high)) | (cost(low) == cost(high)) & (wanted - low <= high - wanted), low).otherwise(high)
         done = F.struct((-x["neg"]).alias("size"), x["n"].alias("n"), k.cast("long").alias("copies"))
-        return F.struct(off.alias("off"), F.concat(acc["out"], F.array(done)).alias("out"))
+        return F.struct(
+            (acc["off"] + (x["n"] * x["rate"] - k) * x["size"]).alias("off"),
+            (acc["left"] - k * x["size"]).alias("left"),
+            (acc["rest"] - x["n"] * x["size"]).alias("rest"),
+            F.concat(acc["out"], F.array(done)).alias("out"),
+        )
 
     empty = F.array().cast("array<struct<size:bigint,n:bigint,copies:bigint>>")
     rows = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("neg"), F.col("size").cast("double").alias("size"), "n", "rate")))
     return (
         classes.where("size > 0")
         .groupBy(*KEY)
-        .agg(rows.alias("rows"))
-        .select(*KEY, F.explode(F.aggregate("rows", F.struct(F.lit(0.0).alias("off"), empty.alias("out")), step, lambda a: a["out"])).alias("c"))
+        .agg(rows.alias("rows"), F.max("target").alias("target"), F.max("source_size").cast("double").alias("source_size"))
+        .select(*KEY, F.explode(F.aggregate("rows", F.struct(F.lit(0.0).alias("off"), F.col("target").alias("left"), F.col("source_size").alias("rest"), empty.alias("out")), step, lambda a: a["out"])).alias("c"))
         .select(*KEY, "c.*")
     )
 

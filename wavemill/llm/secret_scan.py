@@ -35,8 +35,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.ASCII)
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 HEX = re.compile(r"[0-9a-f]{16,}", re.ASCII)
 JWT = re.compile(r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}", re.ASCII)
-# Lines of a wrapped body are joined only where a full line of 60 characters or more ends.
-B64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,}\r?\n)*[A-Za-z0-9+/_-]{40,}={0,2}", re.ASCII)
+# A wrapped body has lines of 60 characters or more and a last one of any length.
+B64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,}\r?\n)+[A-Za-z0-9+/_-]+={0,2}|[A-Za-z0-9+/_-]{40,}={0,2}", re.ASCII)
 HEX_BODY = re.compile(r"(?:[0-9A-Fa-f]{2}){32,}", re.ASCII)
 
 KINDS = ("assign", "access", "hex", "jwt", "der", "openssh", "sshpub")
@@ -134,9 +134,12 @@ def structural_spans(text: str) -> list[tuple[int, int, str]]:
         if header is not None and isinstance(header.get("alg"), str) and _json_object(body) is not None:
             found.append((m.start(), m.end(), "jwt"))
     for m in B64.finditer(text):
-        data = _b64(m[0])
-        if data and (kind := confirm(data)):
-            found.append((m.start(), m.end(), kind))
+        # The last line may be words that follow the body, such as an armour's END.
+        for end in dict.fromkeys((m.end(), m.start() + max(m[0].rfind("\n"), 0))):
+            data = _b64(text[m.start() : end])
+            if data and (kind := confirm(data)):
+                found.append((m.start(), end - (text[end - 1] == "\r"), kind))
+                break
     for m in HEX_BODY.finditer(text):
         if kind := confirm(bytes.fromhex(m[0])):
             found.append((m.start(), m.end(), kind))

@@ -126,9 +126,9 @@ def _signed(x: int) -> int:
 def _bucket_links(threshold: int):
     def run(batches):
         us, vs = [], []
-        for sides in runs(batches, "key"):
+        for within, sides in runs(batches, "key"):
             a, b = (np.array(s, np.int64).reshape(-1).view(np.uint64) for s in sides)
-            for u, v in tile_links(a, b if len(b) else a, threshold):
+            for u, v in tile_links(a, a if within else b, threshold):
                 us.append(_signed(u))
                 vs.append(_signed(v))
         yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})

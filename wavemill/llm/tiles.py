@@ -15,14 +15,14 @@ def deal_tiles(members: DataFrame, key: str, id_col: str, tile: int) -> DataFram
     """``members`` with columns tile_no and side, repartitioned and sorted so that the rows of
     a tile stand together, side 0 first; buckets of a single row are dropped.
 
-    A tile without rows of side 1 is to be compared with itself."""
+    The tile of a block with itself has a negative number and rows of side 0 only."""
     counts = members.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1")
     rows = members.join(counts, key).withColumn("__blocks", F.ceil(F.col("__n") / F.lit(tile)).cast("int"))
     rows = rows.withColumn("__block", F.pmod(F.xxhash64(id_col), F.col("__blocks")).cast("int"))
 
     def pair(j):
         lo, hi = F.least(j, F.col("__block")), F.greatest(j, F.col("__block"))
-        return F.struct((lo * F.col("__blocks") + hi).alias("tile_no"), F.when(j >= F.col("__block"), 0).otherwise(1).alias("side"))
+        return F.struct(F.when(lo == hi, -1 - lo).otherwise(lo * F.col("__blocks") + hi).alias("tile_no"), F.when(j >= F.col("__block"), 0).otherwise(1).alias("side"))
 
     pairs = F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), pair)
     rows = rows.select(*members.columns, F.explode(pairs).alias("__x"))
@@ -31,20 +31,25 @@ def deal_tiles(members: DataFrame, key: str, id_col: str, tile: int) -> DataFram
 
 
 def runs(batches, key: str):
-    """Yields the rows of each tile as a list of (side 0 rows, side 1 rows), rows being tuples
-    of the columns other than key, tile_no and side."""
+    """Yields (within, (side 0 rows, side 1 rows)) of each tile that has pairs; within: its
+    rows are to be compared with each other.  Rows are tuples of the columns other than key,
+    tile_no and side."""
     now, sides = None, ([], [])
+
+    def ready():
+        return now is not None and (len(sides[0]) > 1 if now[1] < 0 else sides[0] and sides[1])
+
     for batch in batches:
         names = batch.schema.names
         rest = [batch.column(n).to_pylist() for n in names if n not in (key, "tile_no", "side")]
         for k, t, side, *row in zip(batch.column(key).to_pylist(), batch.column("tile_no").to_pylist(), batch.column("side").to_pylist(), *rest):
             if (k, t) != now:
-                if len(sides[0]) + len(sides[1]) > 1:
-                    yield sides
+                if ready():
+                    yield now[1] < 0, sides
                 now, sides = (k, t), ([], [])
             sides[side].append(row)
-    if len(sides[0]) + len(sides[1]) > 1:
-        yield sides
+    if ready():
+        yield now[1] < 0, sides
 
 
 class Forest:
