@@ -171,17 +171,24 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", tex
     df = np.zeros(BUCKETS)
     df[list(found)] = list(found.values())
     idf = np.log((1 + total) / (1 + df)) + 1
-    # The window keeps per_lang rows of each language on every task before the shuffle.
+    # Of each language the rows with the smallest hashes; a first cut by the hash leaves about
+    # four times as many as are kept, so that few reach the ranking, however large the corpus.
     mark = F.xxhash64(F.col("id").cast("string"))
-    least = Window.partitionBy("lang").orderBy("ord", "text_mark")
-    ids = rows.select("lang", mark.alias("ord"), F.xxhash64("text").alias("text_mark"))
-    limits = ids.withColumn("rn", F.row_number().over(least)).where(F.col("rn") <= per_lang).groupBy("lang").agg(F.max("ord").alias("last"))
+    ids = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).where(~held_out(F.col("id")) & F.col("lang").isNotNull()).select("lang", mark.alias("ord"))
+    cuts = {r["lang"]: min(2**63 - 1, -(2**63) + 2**64 * 4 * per_lang // r["n"]) for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not cuts:
+        return Model([], np.zeros((BUCKETS + 1, 0)), idf, 1.0)
+    cut = F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv])
+    least = Window.partitionBy("lang").orderBy("ord")
+    limits = ids.where(F.col("ord") <= cut[F.col("lang")]).withColumn("rn", F.row_number().over(least)).where(F.col("rn") <= per_lang).groupBy("lang").agg(F.max("ord").alias("last"))
     bounds = {r["lang"]: r["last"] for r in limits.collect()}  # a row for each language
     if not bounds:
         return Model([], np.zeros((BUCKETS + 1, 0)), idf, 1.0)
     within = F.create_map(*[F.lit(x) for kv in bounds.items() for x in kv])
     sample = rows.withColumn("ord", mark).where(F.col("ord") <= within[F.col("lang")]).select("ord", "lang", "text")
-    got = sorted(sample.mapInArrow(_counts, "ord long, lang string, slots binary, counts binary").collect(), key=lambda r: (r["ord"], r["lang"], bytes(r["slots"])))
+    # Rows of one id, or of none, share a hash; the limit holds for these too.
+    sample = sample.mapInArrow(_counts, "ord long, lang string, slots binary, counts binary").orderBy("ord", "lang", "slots", "counts").limit(per_lang * len(bounds))
+    got = sorted(sample.collect(), key=lambda r: (r["ord"], r["lang"], bytes(r["slots"])))
     langs = sorted(bounds)
     examples, aside, taken = [], [], dict.fromkeys(langs, 0)
     for r in got:
