@@ -199,3 +199,25 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_co
     else:
         rows = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+# Exact, by all pairs; the query finds the links that its tables retrieve.
+ORACLE_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), u AS (
+  SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e
+  WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM e UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+), c AS (
+  SELECT x, min(y) AS component_id FROM reach GROUP BY x
+), n AS (
+  SELECT x, count(*) AS n_links FROM links GROUP BY x
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM e JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id
+"""

@@ -61,4 +61,8 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE_SQL = {"op10_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL = {
+    "op6_prefix_free_parsing": substring_dedup.ORACLE_SQL,
+    "op7_itq_dedup": embedding_dedup.ORACLE_SQL,
+    "op10_url_filter": url_filter.ORACLE_SQL,
+}

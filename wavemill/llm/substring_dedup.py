@@ -317,3 +317,31 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     cut = asked.unionByName(given).repartition("r").sortWithinPartitions("r", "kind").mapInArrow(_cut(with_text), RESULTS)
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
     return rows.select("doc_id", "r").join(cut, "r").select(*columns)
+
+
+ORACLE_SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents
+), p AS (
+  SELECT r, k, substr(h, 500 * k + 1, 900) AS part FROM (SELECT r, h, unnest(range(0, len(h) // 500 + 1)) AS k FROM d)
+), w AS (
+  SELECT r, 250 * k + j AS i, md5_number(substr(part, 2 * j + 1, 400)) AS s
+  FROM (SELECT r, k, part, unnest(range(0, least(250, greatest(0, len(part) // 2 - 199)))) AS j FROM p)
+), c AS (
+  SELECT s FROM w GROUP BY s HAVING count(*) > 1
+), m AS (
+  SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS step FROM w JOIN c USING (s)
+), g AS (
+  SELECT r, i, sum(CASE WHEN step IS NULL OR step > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM m
+), runs AS (
+  SELECT r, run, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, run
+), pieces AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM runs
+), cut AS (
+  SELECT d.r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(b) AS last, sum(b - a) AS gone, count(*) AS spans
+  FROM pieces JOIN d USING (r) GROUP BY d.r
+)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
