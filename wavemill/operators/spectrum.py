@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,14 +75,36 @@ def amplitude_spectrum(long: DataFrame, max_samples: int = 0) -> DataFrame:
             raise RecordingError("TooShort", "at least 4 samples are needed")
         long = long.where(F.col("sample") < max_samples)
 
-    def transform(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample")
-        x = pdf["value"].to_numpy(float)
+    even = even_samples(long).select(*SERIES, "sample", "value", "grid")
+    return even.repartition(*SERIES).sortWithinPartitions(*SERIES, "sample").mapInArrow(_transform, SPECTRUM)
+
+
+def _transform(batches):
+    """Rows come sorted by channel and sample; a channel's values are gathered and transformed."""
+    now, parts, grid = None, [], 0.0
+
+    def done():
+        x = np.concatenate(parts)
         amp = _amplitudes(x)
         k = np.arange(len(amp))
-        return pd.DataFrame({"recording_id": key[0], "channel": key[1], "bin": k, "freq": k / (len(x) * pdf["grid"].iloc[0]), "amp": amp})
-
-    return even_samples(long).groupBy(*SERIES).applyInPandas(transform, SPECTRUM)
+        names = [pa.repeat(pa.scalar(v, pa.string()), len(k)) for v in now]
+        return pa.RecordBatch.from_arrays([*names, pa.array(k), pa.array(k / (len(x) * grid)), pa.array(amp)], names=["recording_id", "channel", "bin", "freq", "amp"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = [batch.column(c).dictionary_encode().indices.to_numpy() for c in SERIES]
+        starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in codes], axis=0)])).tolist()
+        values, grids = batch.column("value").to_numpy(zero_copy_only=False), batch.column("grid")
+        for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+            key = tuple(batch.column(c)[lo].as_py() for c in SERIES)
+            if key != now:
+                if parts:
+                    yield done()
+                now, parts, grid = key, [], grids[lo].as_py()
+            parts.append(values[lo:hi])
+    if parts:
+        yield done()
 
 
 def discrete_transform(even: DataFrame, harmonics: int | None = None) -> DataFrame:
