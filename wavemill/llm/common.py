@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wavemill.scratch import Scratch
 
-__all__ = ["Scratch", "table", "word_count"]
+__all__ = ["Scratch", "slices", "table", "word_count"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,3 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text):
     """Number of runs of characters other than ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def slices(batches, rows: int = 1000):
+    """Arrow batches in parts of so many rows, so that Python holds the objects of few texts
+    at a time; the parts share the batch's memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

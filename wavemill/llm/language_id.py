@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wavemill.llm.common import slices
+
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 SCALE = 50.0
@@ -74,7 +76,7 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def _frequencies(batches):
     """How many documents have each slot; slot -1 counts the documents."""
     df, seen, n = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, bool), 0
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             any_ = False
             for g in grams(text):
@@ -88,7 +90,7 @@ def _frequencies(batches):
 
 
 def _counts(batches):
-    for batch in batches:
+    for batch in slices(batches):
         slots, counts = [], []
         for text in batch.column("text").to_pylist():
             g = gram_counts(text)
@@ -207,7 +209,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", tex
 
 def _predict(model):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.value.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             lang, score = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lang, score], names=[*batch.schema.names[:-1], "lang_pred", "score"])
@@ -228,7 +230,7 @@ def identify_languages(docs: DataFrame, per_lang: int = PER_LANG, id_col: str =
 
 def _keep(model, at: int, min_score: float):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.value.predict(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= min_score for lang, score in found], pa.bool_()))
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavemill.llm.common import slices
+
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     re.ASCII | re.IGNORECASE,
@@ -162,7 +164,7 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def _scan(batches):
-    for batch in batches:
+    for batch in slices(batches):
         out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_structural")}
         for text in batch.column(1).to_pylist():
             base = base_spans(text or "")
@@ -186,7 +188,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _drop_lines(batches, at: int):
     """Replaces each span by a mark of its kind."""
-    for batch in batches:
+    for batch in slices(batches):
         texts = []
         for text in batch.column(at).to_pylist():
             spans = sorted(base_spans(text) + structural_spans(text)) if text else []

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import Scratch
+from wavemill.llm.common import Scratch, slices
 from wavemill.llm.components import connected_components
 from wavemill.llm.tiles import Forest, deal_tiles, runs
 
@@ -62,7 +62,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in slices(batches):
         fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "mark", "fp"])
 

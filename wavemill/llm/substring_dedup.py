@@ -20,7 +20,7 @@ corpus, in the same text or another one.
 * Parse and suffix order combine: each occurrence of a phrase takes over the repeated starts
   of its dictionary entry, and a pass over the distinct texts cuts the covered bytes out.
 
-Copies of a text are parsed once for each batch and carried as a weight.
+Copies of a text are parsed once for each part of a batch and carried as a weight.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import Scratch
+from wavemill.llm.common import Scratch, slices
 
 WIDTH = 200
 BLOCK = 50
@@ -100,7 +100,7 @@ PARSED = "r long, first int, last int, lead int, hb long, hx long, w long"
 
 
 def _parse(batches):
-    for batch in batches:
+    for batch in slices(batches):
         texts: dict[int, list] = {}
         for r, text in zip(batch.column("r").to_pylist(), batch.column("text").to_pylist()):
             texts.setdefault(r, [text, 0])[1] += 1
@@ -111,7 +111,7 @@ def _parse(batches):
                 hb, hx = phrase_hashes(text, view, trigger, first, last)
                 for c, v in zip(out, (r, first, last, trigger - first, hb, hx, w)):
                     c.append(v)
-            if len(out[0]) > 200_000:
+            if len(out[0]) > 50_000:
                 yield _batch(out)
                 out = [[] for _ in range(7)]
         yield _batch(out)
