@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
         if held.isDefined():
             named = held.get()
         else:
-            named = "file://" + tempfile.mkdtemp(prefix="wavemill-")
+            folder = tempfile.mkdtemp(prefix="wavemill-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            named = "file://" + folder
             spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
