@@ -7,7 +7,8 @@ each vector of ``embeddings`` is a short waveform.  Results are rounded to six p
 
 from __future__ import annotations
 
-import tempfile
+import os
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from wavemill.functions import formula, scalars
 from wavemill.operators import annotations, filters, frf, overview, spectrum, stats, timeline
 from wavemill.recording import from_rows, long_to_wide, wide_to_long
+from wavemill.scratch import shared_dir
 from wavemill.sources import export, recording_file
 
 QUERIES: dict = {}
@@ -494,10 +496,17 @@ for _name, _settings in FILTERS.items():
 
 # Files -------------------------------------------------------------------------------------
 
+def shared_file(spark, name: str) -> str:
+    """A new file's path in the shared folder, which every node sees as a file system."""
+    folder = f"{shared_dir(spark).removeprefix('file://')}/wavemill-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    return f"{folder}/{name}"
+
+
 @query(f"WITH {DAYS_WIDE} SELECT channel, CAST(sample AS BIGINT) AS sample, {R('t')}, {R('value')} FROM (SELECT 'A' AS channel, sample, t, a AS value FROM w UNION ALL SELECT 'N', sample, t, n FROM w) WHERE t >= 86400 * 30 AND t <= 86400 * 900")
 def recording_file_round_trip_daily(spark, sf_dir):
     """Written as a comma-separated recording, read back by the data source within a window."""
-    path = f"{tempfile.mkdtemp(prefix='wavemill-')}/daily.csv"
+    path = shared_file(spark, "daily.csv")
     export.write_file(daily(spark, sf_dir), path, ["A", "N"], {"export": {"data_mode": "raw"}})
     long = recording_file.read_recording(spark, path, start=86400.0 * 30, end=86400.0 * 900, checkpoint=500)
     return long.select("channel", "sample", "t", "value")
@@ -506,7 +515,7 @@ def recording_file_round_trip_daily(spark, sf_dir):
 @query(HOURLY_DFT + f" SELECT channel, bin, {R('amp')} FROM sp WHERE bin <= 100")
 def stored_spectrum_round_trip_hourly(spark, sf_dir):
     """Amplitudes written to a spectrum file and imported again without a transform."""
-    path = f"{tempfile.mkdtemp(prefix='wavemill-')}/spectrum.csv"
+    path = shared_file(spark, "spectrum.csv")
     export.write_spectrum_file(spectrum.amplitude_spectrum(hourly(spark, sf_dir)), path, ["hourly"])
     return spectrum.import_spectrum(recording_file.read_recording(spark, path)).where("bin <= 100").select("channel", "bin", "amp")
 
