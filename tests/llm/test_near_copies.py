@@ -1,0 +1,57 @@
+import random
+
+import corpus_pipeline
+from wavemill.llm import near_copies
+
+
+def brute_survivors(rows):
+    """The ids that stay, by comparing all pairs of sets of five-word shingles."""
+    sets = []
+    for _, text, *_ in rows:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    own = list(range(len(rows)))
+
+    def root(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                own[root(i)] = root(j)
+    return {min(r[0] for k, r in enumerate(rows) if root(k) == g) for g in {root(k) for k in range(len(rows))}}
+
+
+def planted():
+    """Texts with copies in which 0 to 8 words are changed: similarities on both sides of 0.8."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(3000)}"
+    rows = []
+    for i in range(40):
+        base = [word() for _ in range(rng.choice([30, 80, 200, 400]))]
+        rows.append((100 * i, " ".join(base), "en", "s"))
+        for k in range(9):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), k):
+                copy[at] = word()
+            rows.append((100 * i + 1 + k, " ".join(copy), "en", "s"))
+    return rows + [(9000, None, "en", "s"), (9001, " \n", "en", "s"), (9002, "One two", "en", "s"), (9003, "one  TWO", "en", "s"), (9004, "two one", "en", "s")]
+
+
+def test_stage_equals_brute_force_on_planted_near_copies(spark, docs):
+    rows = planted()
+    expected = brute_survivors(rows)
+    assert 45 < len(expected) < len(rows) - 100
+    got = corpus_pipeline.drop_near_duplicates(spark, docs(rows), "")
+    assert got.columns == docs(rows).columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(expected)
+    cut = near_copies.drop_near_copies(docs(rows), tile=3)  # every group is cut into blocks
+    assert sorted(r["doc_id"] for r in cut.collect()) == sorted(expected)
+
+
+def test_repeated_rows_null_ids_and_no_rows(docs):
+    rows = [(1, "a b c d e f g", "en", "s")] * 2 + [(None, "q r s t u v", "en", "s"), (None, "other words stand here now", "en", "s"), (1, "x y z", "en", "s")]
+    assert len(near_copies.drop_near_copies(docs(rows)).collect()) == 4
+    assert near_copies.drop_near_copies(docs([])).count() == 0

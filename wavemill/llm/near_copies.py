@@ -1,0 +1,159 @@
+"""Near-dedup of whole documents by the Jaccard similarity of their word shingles.
+
+A fixed Hamming radius can't stand for a Jaccard similarity: at 0.8 two SimHash fingerprints
+differ in about ten of 64 bits, and an exact join within such a radius meets nearly all pairs.
+So candidates come from minima instead, and every link is verified on the shingles.
+
+* Shingles: runs of SHINGLE words (ASCII white space parts them, A-Z in lower case); a text of
+  fewer words is one shingle.  Texts of the same words count as one from the start.
+* Candidates: MinHash keys of BANDS x ROWS minima.  A pair right at the similarity shares none
+  of the keys in (1 - 0.8**ROWS)**BANDS = 0.006 % of cases; pairs above it less often.
+* Verification: the texts that shared keys connect go through bounded tiles with their sets of
+  shingles.  There every pair that isn't connected yet is compared, and only pairs with a
+  Jaccard similarity of SIMILARITY or more are links.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wavemill.llm.common import Scratch, slices
+from wavemill.llm.components import connected_components
+from wavemill.llm.simhash import LOWER, SEED
+from wavemill.llm.tiles import Forest, deal_tiles, runs
+
+SHINGLE = 5
+SIMILARITY = (4, 5)  # as a fraction, so that comparisons are exact
+BANDS, ROWS = 32, 6
+TILE = 1024
+WEIGHTS = np.random.default_rng(SEED).integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def split_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Hashes of all shingles, repeats included; none for a text without words."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    width = min(SHINGLE, len(h))
+    n = len(h) - width + 1 if width else 0
+    total = np.zeros(n, np.uint64)
+    for k in range(width):
+        total += h[k : k + n] * WEIGHTS[k]
+    return _mix(total)
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """BANDS keys for each of some sets that aren't empty."""
+    flat = np.concatenate(sets)
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    keys = np.zeros((len(sets), BANDS), np.uint64)
+    for i, factor in enumerate(FACTORS):
+        least = np.minimum.reduceat(flat * factor, starts)
+        keys[:, i // ROWS] = _mix(keys[:, i // ROWS] ^ least) + np.uint64(i // ROWS + 1)
+    return keys
+
+
+def _keys(batches):
+    for batch in slices(batches, 200):
+        words = [split_words(t) for t in batch.column("text").to_pylist()]
+        cls = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in words], np.uint64).view(np.int64)
+        sets = [shingles(w) for w in words]
+        full = [i for i, s in enumerate(sets) if len(s)]
+        keys = [[] for _ in sets]
+        if full:
+            for i, row in zip(full, band_keys([sets[i] for i in full]).view(np.int64).tolist()):
+                keys[i] = row
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(cls), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "mark", "cls", "keys"])
+
+
+def _sets(batches):
+    for batch in slices(batches, 200):
+        sets = [np.unique(shingles(split_words(t))).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("cls"), pa.array(sets, pa.binary())], names=["component", "cls", "shingles"])
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of SIMILARITY or more."""
+    p, q = SIMILARITY
+    if len(a) > len(b):
+        a, b = b, a
+    if q * len(a) < p * len(b):
+        return False
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return q * common >= p * (len(a) + len(b) - common)
+
+
+def tile_links(a: list, b: list, within: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two lists of (class, set), or within the first."""
+    forest, out = Forest(), []
+    groups: dict[int, list] = {}  # what was met so far, by root
+
+    def meet(x, others):
+        for y in others:
+            if similar(x[1], y[1]):
+                forest.join(x[0], y[0])
+                out.append((x[0], y[0]))
+                return True
+        return False
+
+    if not within:
+        for y in b:
+            groups[y[0]] = [y]
+    for x in a:
+        mine = [x] if within else []
+        for root in list(groups):
+            if meet(x, groups[root]):
+                mine = groups.pop(root) + mine
+        if mine:
+            groups[forest.root(x[0])] = mine
+    return out
+
+
+def _links(batches):
+    us, vs = [], []
+    for within, sides in runs(batches, "component"):
+        a, b = ([(c, np.frombuffer(s, np.uint64)) for c, s in side] for side in sides)
+        for u, v in tile_links(a, b, within):
+            us.append(u)
+            vs.append(v)
+    yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """The columns of ``docs``, one document of each group that links of SIMILARITY or more
+    connect: the smallest (id, text hash), ids that are null last.  Texts without words are
+    copies of each other; of repeated rows one stays."""
+    scratch = Scratch(docs.sparkSession)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    own = scratch.save(rows.mapInArrow(_keys, "doc_id long, mark long, cls long, keys array<long>"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    classes = scratch.save(own.groupBy("cls").agg(F.min(rank).alias("least"), F.first("keys").alias("keys")))
+    keyed = scratch.save(classes.select("cls", F.explode("keys").alias("key")))
+    heads = keyed.groupBy("key").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1")
+    shared = keyed.join(heads, "key").where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v"))
+    near = scratch.save(connected_components(shared, scratch).withColumnRenamed("node", "cls"))
+    # One text of each class that shared a key; repeated rows of it do no harm.
+    picked = near.join(classes, "cls").select("component", "cls", F.col("least.doc_id").alias("__id"), F.col("least.mark").alias("mark"))
+    texts = rows.join(picked, (rows["mark"] == picked["mark"]) & rows["doc_id"].eqNullSafe(picked["__id"])).select("component", "cls", "text")
+    sets = scratch.save(texts.mapInArrow(_sets, "component long, cls long, shingles binary").dropDuplicates(["cls"]))
+    links = deal_tiles(sets, "component", "cls", tile).mapInArrow(_links, "u long, v long")
+    parts = connected_components(links, scratch).withColumnRenamed("node", "cls").withColumnRenamed("component", "grp")
+    best = classes.join(parts, "cls", "left").groupBy(F.coalesce("grp", "cls").alias("grp")).agg(F.min("least").alias("least"))
+    kept = best.select(F.col("least.doc_id").alias("__keep_id"), F.col("least.mark").alias("__keep_mark"))
+    out = docs.withColumn("__mark", F.xxhash64(docs[text_col].cast("string"))).withColumn("__id", F.col(id_col).cast("long"))
+    out = out.join(kept, out["__id"].eqNullSafe(kept["__keep_id"]) & (out["__mark"] == kept["__keep_mark"]), "left_semi")
+    return out.dropDuplicates(["__id", "__mark"]).select(*docs.columns)
