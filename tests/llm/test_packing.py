@@ -66,3 +66,22 @@ def test_hilbert_curve_visits_neighbours(dims, bits):
     keys = packing.hilbert_keys(points, bits)
     assert sorted(keys.tolist()) == list(range(len(points)))
     assert (np.abs(np.diff(points[np.argsort(keys)], axis=0)).sum(1) == 1).all()
+
+
+@pytest.mark.parametrize("cell", [64, 1000])
+def test_crowded_buckets_keep_the_order_of_keys(docs, monkeypatch, cell):
+    monkeypatch.setattr(packing, "CELL", cell)
+    rows = [(i, "all the same words " * 40 + f"and {i}", "en", "s") for i in range(150)]
+    rows += [(1000 + i, "copies of one text", "en", "s") for i in range(60)] + [(2000 + i, f"word{i} other{i % 9} " * (1 + i % 30), "en", "s") for i in range(100)]
+    got = packing.pack_documents(docs(rows), PATH).collect()
+    check(rows, got)
+    laid = sorted((r for r in got if r["start"] == 0), key=lambda r: (r["sequence_id"], r["offset"]))
+    keys = [r["hilbert_key"] for r in laid]
+    assert len(set(keys)) > 100 and keys == sorted(keys)
+    # Some bucket of the leading bits was crowded by documents with keys of their own.
+    held = defaultdict(lambda: [0, set()])
+    for r in laid:
+        b = held[r["hilbert_key"] >> 34]
+        b[0] += r["doc_tokens"]
+        b[1].add(r["hilbert_key"])
+    assert any(n > cell and len(own) > 5 for n, own in held.values())

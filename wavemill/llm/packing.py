@@ -6,9 +6,11 @@ Documents are laid end to end along the curve and cut every ``length`` ids; what
 at the end is cut into powers of two, so no sequence needs padding.
 
 The order is never sorted in one task.  A histogram of the leading key bits (at most
-2**HEAD buckets, whatever the corpus) gives each bucket its place on the curve; a bucket
-with more than CELL ids is dealt into cells by a hash of the document, so that copies,
-which share a key, spread; only within a cell are documents sorted and summed.
+2**HEAD buckets, whatever the corpus) gives each bucket its place on the curve.  A bucket with
+more than CELL ids is cut at key boundaries: histograms of HEAD further bits at a time, down
+to the whole key, give the places where about CELL ids are full, so its cells are ranges of
+keys that follow each other on the curve.  Only a single key with more than CELL ids (copies
+share a key) is dealt by a hash of the document.  Within a cell documents are sorted and summed.
 """
 
 from __future__ import annotations
@@ -161,13 +163,39 @@ def _cut(total: int, length: int):
     return run
 
 
+def _boundaries(tokens: DataFrame, heads: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, start, deals) for the crowded buckets: the first key of each of their ranges,
+    and over how many cells a range is dealt by hash: 1, unless it is one key with more than
+    CELL ids.  Ranges hold at most 2 * CELL ids, so there is about one for every CELL ids."""
+    whole = DIMS * BITS
+    found, open_, depth = None, heads.where(F.col("held") > CELL).select(F.col("bucket").alias("prefix")), HEAD
+    while depth < whole:
+        deeper = min(depth + HEAD, whole)
+        parent = F.shiftright("key", whole - depth).alias("prefix")
+        counts = tokens.select(parent, F.shiftright("key", whole - deeper).alias("child"), "n").join(open_, "prefix", "left_semi").groupBy("prefix", "child").agg(F.sum("n").alias("held"))
+        # At most 2**HEAD children of a parent, so one task orders them.
+        order = Window.partitionBy("prefix").orderBy("child")
+        run = F.floor(F.coalesce(F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / CELL)
+        marked = counts.withColumn("run", run).withColumn("crowded", F.col("held") > CELL)
+        last = F.lag(F.struct("run", "crowded")).over(order)
+        marked = scratch.save(marked.withColumn("first", last.isNull() | F.col("crowded") | last["crowded"] | (last["run"] != F.col("run"))))
+        crowded = F.col("crowded") if deeper < whole else F.lit(False)  # a whole key is not cut further
+        start = F.shiftleft("child", whole - deeper)
+        deals = F.when(F.col("crowded"), F.ceil(F.col("held") / CELL)).otherwise(1).cast("int")
+        cuts = marked.where(F.col("first") & ~crowded).select(F.shiftright(start, whole - HEAD).cast("int").alias("bucket"), start.alias("start"), deals.alias("deals"))
+        found = cuts if found is None else found.unionByName(cuts)
+        open_, depth = marked.where(crowded).select(F.col("child").alias("prefix")), deeper
+    return found
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     hilbert_key.
 
-    A document is its ids and a final 0; null and empty texts are the 0 alone.  Documents of
-    one key lie in the order of a hash of their id where their bucket is large, else of
-    their id.  Repeated rows are documents each; an empty table gives no rows."""
+    A document is its ids and a final 0; null and empty texts are the 0 alone.  Documents lie
+    in the order of their keys; those of one key in the order of their id, or of a hash where
+    the key alone holds more than CELL ids.  Repeated rows are documents each; an empty table
+    gives no rows."""
     scratch = Scratch(docs.sparkSession)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text, F.col(id_col).cast("long")).alias("mark"), text.alias("text"))
@@ -176,13 +204,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 1024, id_
     heads = tokens.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("held"))
     # At most 2**HEAD rows, so one task orders them and every task can hold them.
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.withColumn("base", F.coalesce(F.sum("held").over(before), F.lit(0))).withColumn("cells", F.ceil(F.col("held") / CELL).cast("int"))
-    heads = scratch.save(heads)
+    heads = scratch.save(heads.withColumn("base", F.coalesce(F.sum("held").over(before), F.lit(0))))
     total = heads.agg(F.sum("held")).first()[0] or 0
-    placed = tokens.withColumn("bucket", bucket).join(F.broadcast(heads.drop("held")), "bucket").withColumn("cell", F.pmod("mark", "cells"))
-    cells = placed.groupBy("bucket", "cell", "base").agg(F.sum("n").alias("m"))
-    inner = Window.partitionBy("bucket").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("bucket", "cell", (F.col("base") + F.coalesce(F.sum("m").over(inner), F.lit(0))).alias("cell_base"))
-    order = Window.partitionBy("bucket", "cell").orderBy("key", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1)
-    laid = placed.withColumn("inside", F.coalesce(F.sum("n").over(order), F.lit(0))).join(cells, ["bucket", "cell"])
+    ranges = _boundaries(tokens, heads, scratch).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("start", "deals"))).alias("ranges"))
+    lone = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(1).alias("deals")))
+    heads = scratch.save(heads.drop("held").join(ranges, "bucket", "left").withColumn("ranges", F.coalesce("ranges", lone)))
+    # The last range that starts at or before the key.
+    own = F.element_at(F.filter("ranges", lambda r: r["start"] <= F.col("key")), -1)
+    placed = tokens.withColumn("bucket", bucket).join(F.broadcast(heads), "bucket").withColumn("own", own)
+    placed = placed.select("doc_id", "mark", "ids", "n", "key", "bucket", "base", F.col("own.start").alias("start"), F.pmod("mark", F.col("own.deals")).alias("cell"))
+    cells = placed.groupBy("bucket", "start", "cell", "base").agg(F.sum("n").alias("m"))
+    inner = Window.partitionBy("bucket").orderBy("start", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("bucket", "start", "cell", (F.col("base") + F.coalesce(F.sum("m").over(inner), F.lit(0))).alias("cell_base"))
+    order = Window.partitionBy("bucket", "start", "cell").orderBy("key", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    laid = placed.withColumn("inside", F.coalesce(F.sum("n").over(order), F.lit(0))).join(cells, ["bucket", "start", "cell"])
     return laid.select("doc_id", "ids", "n", (F.col("cell_base") + F.col("inside")).alias("at"), "key").mapInArrow(_cut(total, length), PIECES)
