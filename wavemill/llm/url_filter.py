@@ -175,16 +175,18 @@ def filter_urls(pages: DataFrame, rules=HOST_RULES, globs=DEFAULT_GLOBS, id_col:
     rules = sorted(rules, key=lambda r: -len(r.name))
     # Default globs see a full URL, where '?' begins the query: a leading '?' is literal.
     plain = [g.replace("?", ESCAPE + "?") for g in globs]
-    machine = Automaton([*(f"*.{escape(r.host)}{escape(r.path)}**" for r in rules), *plain])
+    # Host rules see host and path only, so that nothing in a query passes for either.
+    hosts, machine = Automaton([f"*.{escape(r.host)}{escape(r.path)}**" for r in rules]), Automaton(plain)
 
     def judge(batches):
         for batch in batches:
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
-            hits = machine.run(["." + h + p + q if h or p or q else "" for h, p, q in parts])
+            fits = hosts.run(["." + h + p if h or p else "" for h, p, _ in parts]).tolist()
+            hits = machine.run(["." + h + p + q if h or p or q else "" for h, p, q in parts]).tolist()
             rule, verdict, which = [], [], []
-            for row in hits.tolist():
-                best = next((r for r, hit in zip(rules, row) if hit), None)
-                fit = [g for g, hit in zip(globs, row[len(rules) :]) if hit]
+            for on_host, row in zip(fits, hits):
+                best = next((r for r, hit in zip(rules, on_host) if hit), None)
+                fit = [g for g, hit in zip(globs, row) if hit]
                 rule.append(best.name if best else None)
                 verdict.append(best.verdict if best else "block" if fit else "allow")
                 which.append(" ".join(fit))
