@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or the context's own
-    checkpoint folder; a fresh temporary one only where neither is set (local tests)."""
+    checkpoint folder; a fresh temporary one only where neither is set and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             named = held.get()
+        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             folder = tempfile.mkdtemp(prefix="wavemill-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -44,12 +46,18 @@ class Scratch:
         out._wavemill_path = path
         return out
 
+    def _delete(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def free(self, *tables: DataFrame) -> None:
         """Deletes tables that no later result reads."""
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._wavemill_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t._wavemill_path)
+
+    def clear(self) -> None:
+        """Deletes all its tables."""
+        self._delete(self.root)
 
     def release(self) -> None:
         """Lets Spark's cleaner drop the shuffle files of finished steps, which it does for
