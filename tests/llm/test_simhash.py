@@ -1,9 +1,11 @@
+import random
 import re
 
 import numpy as np
 import xxhash
 
 from wavemill.llm import simhash
+from wavemill.scratch import Scratch
 
 
 def brute_fingerprint(text):
@@ -62,7 +64,7 @@ def test_links_connect_all_within_reach(spark):
             while own[x] != x:
                 x = own[x]
             return x
-        for r in simhash.fingerprint_links(df, 2, tile).collect():
+        for r in simhash.fingerprint_links(df, Scratch(spark), 2, tile).collect():
             u, v = r["u"] % (1 << 64), r["v"] % (1 << 64)
             assert bin(u ^ v).count("1") <= 2
             own[root(u)] = root(v)
@@ -72,18 +74,88 @@ def test_links_connect_all_within_reach(spark):
 
 def test_chain_is_one_component(docs, spark):
     from wavemill.llm.components import connected_components
-    from wavemill.scratch import Scratch
 
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 500), (-3, 200), (200, -3)], "u long, v long")
     got = {r["node"]: r["component"] for r in connected_components(edges, Scratch(spark)).collect()}
     assert all(got[i] == 0 for i in range(101)) and got[200] == -3 and 500 not in got
 
 
-def test_stage_keeps_one_of_each_group(docs):
-    d = docs(corpus() + [(None, "null id a b c d", "en", "s"), (None, "another null id x y z", "en", "s")])
-    out = simhash.drop_near_duplicates(d)
-    assert out.columns == d.columns
-    got = out.collect()
-    groups = simhash.near_duplicates(d).select("component_id").distinct().count()
-    assert len(got) == groups + 1 and sum(r["doc_id"] is None for r in got) == 2
-    assert simhash.near_duplicates(docs([])).count() == 0 and simhash.drop_near_duplicates(docs([])).count() == 0
+def brute_survivors(rows):
+    """The ids that stay, by comparing all pairs of sets of five-word shingles."""
+    sets = []
+    for _, text, *_ in rows:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    own = list(range(len(rows)))
+
+    def root(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                own[root(i)] = root(j)
+    return {min(r[0] for k, r in enumerate(rows) if root(k) == g) for g in {root(k) for k in range(len(rows))}}
+
+
+def planted():
+    """Texts with copies in which 0 to 8 words are changed: similarities on both sides of 0.8."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(3000)}"
+    rows = []
+    for i in range(40):
+        base = [word() for _ in range(rng.choice([30, 80, 200, 400]))]
+        rows.append((100 * i, " ".join(base), "en", "s"))
+        for k in range(9):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), k):
+                copy[at] = word()
+            rows.append((100 * i + 1 + k, " ".join(copy), "en", "s"))
+    return rows + [(9000, None, "en", "s"), (9001, " \n", "en", "s"), (9002, "One two", "en", "s"), (9003, "one  TWO", "en", "s"), (9004, "two one", "en", "s")]
+
+
+def test_wide_fingerprints_equal_votes():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 5, 70_000, 3, 150_000, 2)]
+    got = simhash.wide_fingerprints(sets, 2)
+    for s, row in zip(sets, got):
+        for w in range(2):
+            h = simhash._mix(s + np.uint64((w + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+            assert int(row[w]) == sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(s))
+
+
+def test_common_shingles():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, n)).astype(np.uint64) for n in (5, 100, 1, 250, 40)]
+    got = simhash.common_shingles(sets)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+
+
+def test_stage_equals_brute_force_on_planted_near_copies(docs, monkeypatch):
+    rows = planted()
+    expected = brute_survivors(rows)
+    assert 45 < len(expected) < len(rows) - 100
+    d = docs(rows)
+    got = simhash.drop_near_duplicates(d)
+    assert got.columns == d.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(expected)
+    monkeypatch.setattr(simhash, "TILE", 7)
+    cut = simhash.drop_near_duplicates(d, tile=3)  # every bucket and group is cut into blocks
+    assert sorted(r["doc_id"] for r in cut.collect()) == sorted(expected)
+
+
+def test_keys_grow_with_the_table():
+    for n in (100, 10**5, 10**7, 10**9):
+        bits, keys, words = simhash.plan_keys(n)
+        assert bits * keys <= 64 * words and (1 - (1 - np.arccos(8 / 9) / np.pi) ** bits) ** keys <= 0.001
+        assert n / 2**bits <= simhash.BUCKET or bits == 4
+
+
+def test_repeated_rows_null_ids_long_texts_and_no_rows(docs):
+    rows = [(1, "a b c d e f g", "en", "s")] * 2 + [(None, "q r s t u v", "en", "s"), (None, "other words stand here now", "en", "s"), (1, "x y z", "en", "s")]
+    rows += [(7, "w " * 200_000 + "end", "en", "s"), (8, "w " * 200_000 + "end", "en", "s"), (None, None, "en", "s"), (9, "", "en", None)]
+    got = simhash.drop_near_duplicates(docs(rows)).collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:3]) for r in got) == [(0, "oth"), (0, "q r"), (1, "a b"), (1, "x y"), (7, "w w"), (9, "")]
+    assert simhash.drop_near_duplicates(docs([])).count() == 0 and simhash.near_duplicates(docs([])).count() == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wavemill.scratch import Scratch
 
-__all__ = ["Scratch", "slices", "table", "word_count"]
+__all__ = ["Scratch", "plain_names", "row_hash", "slices", "table", "word_count"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,3 +25,16 @@ def slices(batches, rows: int = 1000):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def plain_names(df: DataFrame, **more):
+    """The table with its columns named c0, c1, ... and ``more`` columns besides, so that no name
+    of the table's can clash with an operator's; and what gives the names back."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    plain = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)), *(c.alias(n) for n, c in more.items()))
+    return plain, names, lambda out: out.select(*(F.col(n).alias(c) for n, c in zip(names, df.columns)))
+
+
+def row_hash(names):
+    """A hash of these columns, which orders rows that share their keys."""
+    return F.xxhash64(F.to_json(F.struct(*names)))

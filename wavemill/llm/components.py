@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from wavemill.llm.common import Scratch
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     """Large star: every larger neighbour of u goes to u's smallest neighbour (or u).
-    Small star: every smaller neighbour of u, and u, go to the smallest one."""
+    Small star: every smaller neighbour of u, and u, go to the smallest one.
+
+    The smallest neighbours are written: Spark can split a join of plain tables where a node
+    has very many neighbours."""
     if large:
         sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         sides = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = sides.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = scratch.save(sides.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
     joined = sides.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -40,8 +43,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == before or mark["n"] == 0:
             break
-        before = mark
-        nxt = scratch.save(_star(_star(now, True), False).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        before, within = mark, Scratch(scratch.spark)
+        starred = within.save(_star(now, True, within))
+        nxt = scratch.save(_star(starred, False, within).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        within.clear()
         scratch.free(now)
         now = nxt
     else:

@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wavemill.llm.common import Scratch, word_count
+from wavemill.llm.common import Scratch, plain_names, row_hash, word_count
 
 # Parts of a class of equal documents of a source, so that no class lies in one task.
 PARTS = 256
+FOLD = 256  # classes that are folded at a time
 KEY = ["s_null", "s"]
 EXACT = "decimal(38,12)"
 
@@ -57,8 +58,9 @@ def _rate(lam: Column, x: Column, cap: float) -> Column:
     return F.lit(cap) / (1 + F.lit(cap - 1.0) * F.exp(F.greatest(F.least(-lam * x, F.lit(700.0)), F.lit(-700.0))))
 
 
-def _solve(classes: DataFrame, targets: DataFrame, scratch: Scratch, cap: float, rounds: int = 40) -> DataFrame:
-    """(s_null, s, lam): safeguarded Newton steps on every source's dual until all have settled."""
+def _solve(classes: DataFrame, targets: DataFrame, scratch: Scratch, cap: float, rounds: int = 100) -> DataFrame:
+    """(s_null, s, lam): safeguarded Newton steps on every source's dual until all have settled;
+    an error if one doesn't (the bracket alone, halved each time, settles far earlier)."""
     goal = targets.withColumn("goal", F.col("target"))
     # A target at the cap (or 0) has its multiplier at infinity; 1e6 stands for that.
     full = F.col("target") >= F.lit(cap * (1 - 1e-12)) * F.col("source_size")
@@ -97,6 +99,8 @@ def _solve(classes: DataFrame, targets: DataFrame, scratch: Scratch, cap: float,
         )
         scratch.free(now)
         now = nxt
+    else:
+        raise RuntimeError("the weights of some sources did not settle")
     return now
 
 
@@ -123,11 +127,20 @@ def _copies(classes: DataFrame, cap: float) -> DataFrame:
 
     empty = F.array().cast("array<struct<size:bigint,n:bigint,copies:bigint>>")
     rows = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("neg"), F.col("size").cast("double").alias("size"), "n", "rate")))
+
+    def fold(acc: Column, block: Column) -> Column:
+        start = F.struct(acc["off"].alias("off"), acc["left"].alias("left"), acc["rest"].alias("rest"), empty.alias("out"))
+        done = F.aggregate(block, start, step)
+        return F.struct(done["off"].alias("off"), done["left"].alias("left"), done["rest"].alias("rest"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+
+    # Folded a block at a time: what is done so far is copied for each block, not for each class.
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / FOLD).cast("int")), lambda i: F.slice("rows", i * FOLD + 1, F.lit(FOLD)))
+    start = F.struct(F.lit(0.0).alias("off"), F.col("target").alias("left"), F.col("source_size").alias("rest"), F.array().cast("array<array<struct<size:bigint,n:bigint,copies:bigint>>>").alias("out"))
     return (
         classes.where("size > 0")
         .groupBy(*KEY)
         .agg(rows.alias("rows"), F.max("target").alias("target"), F.max("source_size").cast("double").alias("source_size"))
-        .select(*KEY, F.explode(F.aggregate("rows", F.struct(F.lit(0.0).alias("off"), F.col("target").alias("left"), F.col("source_size").alias("rest"), empty.alias("out")), step, lambda a: a["out"])).alias("c"))
+        .select(*KEY, F.explode(F.flatten(F.aggregate(cut, start, fold, lambda a: a["out"]))).alias("c"))
         .select(*KEY, "c.*")
     )
 
@@ -162,7 +175,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, id_col: str =
     # Documents of a class are ranked within its parts; a part knows how many stand before it.
     before = Window.partitionBy(*KEY, "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     dealt = parts.withColumn("base", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m").join(dealt, [*KEY, "size"])
-    order = Window.partitionBy(*KEY, "size", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = Window.partitionBy(*KEY, "size", "part").orderBy(F.xxhash64("doc_id"), "doc_id", "mark")
     ranked = sized.join(dealt, [*KEY, "size", "part"]).withColumn("rn", F.row_number().over(order) - 1)
     over = F.coalesce("copies", F.lit(0)) % F.col("n")
     copies = F.floor(F.coalesce("copies", F.lit(0)) / F.col("n")).cast("long") + (F.col("base") + F.col("rn") < over).cast("long")
@@ -171,12 +184,26 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, id_col: str =
 
 def apply_mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The columns of ``docs``, each row as often as the mix takes it.  Rows that share id and
-    text share their copies evenly."""
+    text share their copies evenly, those with the smaller hash of all columns first, so
+    reruns agree.  Columns may have any names; an empty table gives no rows."""
+    scratch = Scratch(docs.sparkSession)
     mixed = mix_sources(docs, weights, cap, id_col, text_col, source_col)
-    taken = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
-    own, mark = docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))
-    out = docs.join(taken, own.eqNullSafe(taken["__id"]) & (mark == taken["__mark"]))
-    nth = F.row_number().over(Window.partitionBy("__id", "__mark").orderBy(F.lit(0))) - 1
-    share = F.floor(F.col("__copies") / F.col("__rows")) + (nth < F.col("__copies") % F.col("__rows")).cast("long")
-    out = out.withColumn("__share", share.cast("int")).where("__share > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__share")))).select(*docs.columns)
+    taken = mixed.groupBy(F.col("doc_id").alias("id"), "mark").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    # Written: texts then meet a plain table, which Spark knows the size of.
+    taken = scratch.save(taken.where("copies > 0"))
+    rows, names, named = plain_names(docs, doc=F.col(id_col).cast("long"), hash=F.xxhash64(F.col(text_col).cast("string")))
+
+    def times(copies: Column, out: DataFrame) -> DataFrame:
+        return out.select(*names, F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("copy")).select(*names)
+
+    def meet(some: DataFrame) -> DataFrame:
+        return rows.join(some, rows["doc"].eqNullSafe(some["id"]) & (rows["hash"] == some["mark"]))
+
+    out = times(F.col("copies"), meet(taken.where("rows = 1")))
+    repeated = taken.where("rows > 1")
+    if repeated.limit(1).count():
+        # Only rows that share id and text are ranked.
+        nth = F.row_number().over(Window.partitionBy("id", "mark").orderBy(row_hash(names))) - 1
+        share = F.floor(F.col("copies") / F.col("rows")) + (F.col("nth") < F.col("copies") % F.col("rows")).cast("long")
+        out = out.unionByName(times(F.col("share"), meet(repeated).withColumn("nth", nth).withColumn("share", share).where("share > 0")))
+    return named(out)

@@ -16,10 +16,18 @@ pair whose rows differ anywhere by more than the threshold can't be a link.
   fingerprints are cut into blocks and each pair of blocks is a tile of its own.
 
 Copies share a fingerprint and count as one from the start.
+
+``drop_near_duplicates`` is the same for a Jaccard similarity of word shingles.  There two
+fingerprints differ in far more bits (15 % of them at 0.8), which no exact join of 64 bits
+could stand, so fingerprints have several words of 64 bits and single bits as pivots: groups of
+``bits`` pivots are the keys, as many as a pair right at the similarity misses all of
+with probability MISS; pairs beyond the radius drop out; and what is left is verified by the
+Jaccard similarity of the whole texts' shingles.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -28,14 +36,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import Scratch, slices
+from wavemill.llm.common import Scratch, plain_names, row_hash, slices
 from wavemill.llm.components import connected_components
-from wavemill.llm.tiles import Forest, deal_tiles, runs
+from wavemill.llm.tiles import deal_tiles, runs, spanning_links
 
 SEED = 42
 SHINGLE = 3
 BANDS = 5
 TILE = 4096
+# Near copies by word shingles: the similarity as a fraction, so that comparisons are exact.
+SIMILARITY = (4, 5)
+WORDS = 5
+MISS = 0.001
+BUCKET = 1024  # fingerprints that share a key by chance, on average
+NEAR = 4  # words of a fingerprint that are compared
+SETS = 1 << 22  # shingles that a block of a tile holds
+WEIGHTS = np.random.default_rng(SEED).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 PIVOTS = tuple([0] + [3 << 2 * i for i in range(32)])
 
@@ -95,52 +111,42 @@ def _distances(x: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(x ^ np.uint64(p)) for p in PIVOTS]).astype(np.int8)
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two sets of fingerprints (or within one)."""
-    order = np.argsort(np.bitwise_count(b), kind="stable")
-    b = b[order]
-    first = np.bitwise_count(b).astype(np.int64)
-    da, db = _distances(a), _distances(b)
-    forest = Forest()
-    out = []
-    for i, x in enumerate(a):
-        lo, hi = np.searchsorted(first, [int(da[0, i]) - threshold, int(da[0, i]) + threshold + 1])
-        left = np.arange(lo, hi)
-        for c in range(1, len(PIVOTS), 4):  # one coordinate of each group of four tells most pairs apart
-            if len(left) < 16:
-                break
-            left = left[np.abs(db[c, left] - da[c, i]) <= threshold]
-        if len(left):
-            left = left[np.abs(db[:, left] - da[:, i : i + 1]).max(0) <= threshold]
-            left = left[np.bitwise_count(b[left] ^ x) <= threshold]
-        for y in b[left].tolist():
-            if forest.join(int(x), y):
-                out.append((int(x), y))
-    return out
+def pivot_links(x: np.ndarray, threshold: int):
+    """For spanning_links: the pairs that no coordinate of the pivot table tells apart and
+    that differ in ``threshold`` bits at most."""
+    table = _distances(x)
 
+    def found(lo, hi, columns):
+        links = np.abs(table[0, lo:hi, None] - table[0, columns]) <= threshold
+        i, j = np.nonzero(links)
+        a, b, left = lo + i, columns[j], np.arange(len(i))
+        for c in range(1, len(PIVOTS), 8):
+            left = left[np.abs(table[c : c + 8, a[left]] - table[c : c + 8, b[left]]).max(0) <= threshold] if len(left) else left
+        left = left[np.bitwise_count(x[a[left]] ^ x[b[left]]) <= threshold]
+        links[:] = False
+        links[i[left], j[left]] = True
+        return links
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    return found
 
 
 def _bucket_links(threshold: int):
     def run(batches):
         us, vs = [], []
-        for within, sides in runs(batches, "key"):
-            a, b = (np.array(s, np.int64).reshape(-1).view(np.uint64) for s in sides)
-            for u, v in tile_links(a, a if within else b, threshold):
-                us.append(_signed(u))
-                vs.append(_signed(v))
+        for within, (fp,), n0 in runs(batches, "key", {"fp": None}):
+            for i, j in spanning_links(pivot_links(fp.view(np.uint64), threshold), n0, len(fp), within):
+                us.append(int(fp[i]))
+                vs.append(int(fp[j]))
         yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, threshold: int = 2, tile: int = TILE) -> DataFrame:
+def fingerprint_links(fps: DataFrame, scratch: Scratch, threshold: int = 2, tile: int = TILE) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column fp) that connect all that are within
     the threshold; of links that a bucket's other links imply some are left out."""
     keyed = fps.select("fp", F.explode(F.array(*candidate_keys(F.col("fp"), threshold))).alias("key"))
-    return deal_tiles(keyed, "key", "fp", tile).mapInArrow(_bucket_links(threshold), "u long, v long")
+    return deal_tiles(keyed, "key", "fp", tile, scratch).mapInArrow(_bucket_links(threshold), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,24 +159,215 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, id_col: str = "doc_id",
     scratch = Scratch(docs.sparkSession)
     own = scratch.save(fingerprints(docs, id_col, text_col))
     classes = scratch.save(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = connected_components(fingerprint_links(classes.select("fp"), threshold), scratch)
+    parts = connected_components(fingerprint_links(classes.select("fp"), scratch, threshold), scratch)
     joined = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = joined.join(least, "component").select("fp", "component_id")
+    # Written, so that the last join is one of two plain tables, where Spark splits a hot fingerprint.
+    of_fp = scratch.save(joined.join(least, "component").select("fp", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return own.join(of_fp, "fp").select("doc_id", hexed, "component_id", "mark")
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``docs``, one document of each group of near-duplicates: the smallest
-    (id, text hash), ids that are null last.  Of repeated rows one stays."""
+def split_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
+def shingle_set(words: list[bytes], width: int = WORDS) -> np.ndarray:
+    """Sorted hashes of the different shingles of a text; a text of fewer words is one."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    width = min(width, len(h))
+    n = len(h) - width + 1 if width else 0
+    total = np.zeros(n, np.uint64)
+    for k in range(width):
+        total += h[k : k + n] * WEIGHTS[k]
+    return np.unique(_mix(total))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def plan_keys(n: int, similarity=SIMILARITY, bucket: int = BUCKET) -> tuple[int, int, int]:
+    """(bits of a key, keys, words of a fingerprint) for n texts.
+
+    Sets of Jaccard similarity s have a cosine of 2 s / (1 + s) at least; their fingerprints
+    agree in a bit with probability 1 - angle / pi."""
+    agree = 1 - _angle(similarity) / math.pi
+    bits = min(32, max(4, math.ceil(math.log2(max(n, 2) / bucket))))
+    keys = math.ceil(math.log(MISS) / math.log1p(-(agree**bits)))
+    return bits, keys, max(NEAR, -(-keys // (64 // bits)))
+
+
+def _angle(similarity) -> float:
+    p, q = similarity
+    return math.acos(2 * p / (p + q))
+
+
+def radius(n_bits: int, similarity=SIMILARITY) -> int:
+    """Bits in which fingerprints of sets right at the similarity differ, plus five deviations."""
+    differ = _angle(similarity) / math.pi
+    return math.ceil(n_bits * differ + 5 * math.sqrt(n_bits * differ * (1 - differ)))
+
+
+def wide_fingerprints(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """Fingerprints of ``words`` words of 64 bits of some sets, none of them empty."""
+    out = np.empty((len(sets), words), np.uint64)
+    sizes = np.array([len(s) for s in sets])
+    flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    for w in range(words):
+        votes = np.zeros((len(sets), 64), np.int64)
+        h = _mix(flat + np.uint64((w + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        at = 0
+        while at < len(flat):  # whole sets, or a part of a long one, about 64k shingles at a time
+            first = int(np.searchsorted(starts, at, "right")) - 1
+            end = min(at + (1 << 16), len(flat))
+            last = int(np.searchsorted(starts, end, "left")) - 1
+            cuts = np.maximum(starts[first : last + 1], at) - at
+            bits = np.unpackbits(h[at:end].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes[first : last + 1] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
+            at = end
+        out[:, w] = np.packbits(2 * votes > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def _wide(words: int):
+    def run(batches):
+        for batch in slices(batches, 200):
+            texts = [split_words(t) for t in batch.column("text").to_pylist()]
+            cls = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in texts], np.uint64).view(np.int64)
+            sets = [shingle_set(w) for w in texts]
+            full = [i for i, s in enumerate(sets) if len(s)]
+            fps = [None] * len(sets)
+            if full:
+                for i, row in zip(full, wide_fingerprints([sets[i] for i in full], words).view(np.int64).tolist()):
+                    fps[i] = row
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("mark"), pa.array(cls), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.list_(pa.int64()))],
+                names=["doc_id", "mark", "cls", "size", "fp"],
+            )
+
+    return run
+
+
+def near_links(x: np.ndarray, similarity):
+    """For spanning_links: the pairs of rows of x (NEAR words each) within the radius, of the
+    first word and of all."""
+    one, all_ = radius(64, similarity), radius(64 * x.shape[1], similarity)
+
+    def found(lo, hi, columns):
+        links = np.bitwise_count(x[lo:hi, :1] ^ x[columns, 0]) <= one
+        i, j = np.nonzero(links)
+        links[i, j] = np.bitwise_count(x[lo + i] ^ x[columns[j]]).sum(1) <= all_
+        return links
+
+    return found
+
+
+def _candidates(similarity):
+    wanted = {"cls": None} | {f"f{i}": None for i in range(NEAR)}
+
+    def run(batches):
+        for within, (cls, *fp), n0 in runs(batches, "key", wanted):
+            pairs = spanning_links(near_links(np.stack(fp, 1).view(np.uint64), similarity), n0, len(cls), within)
+            if pairs:
+                i, j = np.array(pairs).T
+                yield pa.RecordBatch.from_pydict({"u": pa.array(cls[i]), "v": pa.array(cls[j])})
+
+    return run
+
+
+def _sets(batches):
+    for batch in slices(batches, 200):
+        sets = [shingle_set(split_words(t)).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("component", "cls", "size")] + [pa.array(sets, pa.binary())], names=["component", "cls", "size", "shingles"])
+
+
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each pair of some sets has in common.
+
+    Only shingles of two sets or more count; they are the columns of a 0-1 matrix, whose
+    product with itself is the result."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    some = count[place] > 1
+    owner, column = owner[some], column[place[some]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out, width = np.zeros((len(sets),) * 2, np.float32), 4096
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        s = slice(*np.searchsorted(column, [at, at + width]))
+        block = np.zeros((len(sets), width), np.float32)
+        block[owner[s], column[s] - at] = 1
+        out += block @ block.T
+    return out.astype(np.int64)
+
+
+def _verified(similarity):
+    p, q = similarity
+
+    def run(batches):
+        blobs = {"cls": None, "shingles": lambda c: np.array(c.to_pylist(), object)}
+        for within, (cls, raw), n0 in runs(batches, "component", blobs):
+            sets = [np.frombuffer(s, np.uint64) for s in raw]
+            size, common = np.array([len(s) for s in sets]), common_shingles(sets)
+            links = q * common >= p * (size[:, None] + size - common)
+            pairs = spanning_links(lambda lo, hi, columns: links[lo:hi, columns], n0, len(cls), within)
+            if pairs:
+                i, j = np.array(pairs).T
+                yield pa.RecordBatch.from_pydict({"u": pa.array(cls[i]), "v": pa.array(cls[j])})
+
+    return run
+
+
+def drop_near_duplicates(docs: DataFrame, similarity=SIMILARITY, id_col: str = "doc_id", text_col: str = "text", tile: int = 1024) -> DataFrame:
+    """The columns of ``docs``, one document of each group that links connect: the smallest
+    (id, text hash), ids that are null last.  A link is a Jaccard similarity of ``similarity``
+    (a fraction) or more between the sets of shingles of WORDS words.
+
+    Null, empty and wordless texts are copies of each other; of repeated rows (one id and
+    text) one stays, that with the smallest hash of all its columns.  Other columns may have any name; an empty table gives no rows."""
     scratch = Scratch(docs.sparkSession)
-    found = scratch.save(near_duplicates(docs, threshold, id_col, text_col).withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "mark")))
-    # Groups of null ids only have no component_id; their fingerprint tells them apart.
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint"))]
-    best = found.groupBy(*(g.alias(f"g{i}") for i, g in enumerate(group))).agg(F.min("rank").alias("rank")).select("rank.doc_id", "rank.mark")
-    kept = best.select(F.col("doc_id").alias("__keep_id"), F.col("mark").alias("__keep_mark")).distinct()
-    mark = F.xxhash64(docs[text_col].cast("string"))
-    out = docs.withColumn("__mark", mark).withColumn("__id", F.col(id_col).cast("long"))
-    out = out.join(kept, out["__id"].eqNullSafe(kept["__keep_id"]) & (out["__mark"] == kept["__keep_mark"]), "left_semi")
-    return out.dropDuplicates(["__id", "__mark"]).select(*docs.columns)
+    bits, n_keys, words = plan_keys(docs.count(), similarity)
+    text, doc, mark = F.col(text_col).cast("string"), F.col(id_col).cast("long"), _mark(F.col(text_col))
+    rows = docs.select(doc.alias("doc_id"), mark.alias("mark"), text.alias("text"))
+    own = scratch.save(rows.mapInArrow(_wide(words), "doc_id long, mark long, cls long, size long, fp array<long>"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    classes = scratch.save(own.groupBy("cls").agg(F.min(rank).alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp")))
+    # The coordinates of a key's pivots, read off the word that holds them; each key has its number.
+    per = 64 // bits
+    keys = F.array(*(F.lit(t << 32) + F.shiftrightunsigned(F.get("fp", F.lit(t // per)), bits * (t % per)).bitwiseAND(F.lit((1 << bits) - 1)) for t in range(n_keys)))
+    keyed = classes.where("fp IS NOT NULL").select("cls", *(F.get("fp", F.lit(i)).alias(f"f{i}") for i in range(NEAR)), F.explode(keys).alias("key"))
+    near = deal_tiles(keyed, "key", "cls", TILE, scratch).mapInArrow(_candidates(similarity), "u long, v long")
+    near = connected_components(near, scratch).withColumnRenamed("node", "cls")
+    # One text of each class in a component; written, so that Spark knows how few they are.
+    picked = scratch.save(near.join(classes, "cls").select("component", "cls", "size", F.col("least.doc_id").alias("__id"), F.col("least.mark").alias("__mark")))
+    texts = rows.join(picked, (F.col("mark") == F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("component", "cls", "size", "text")
+    sets = scratch.save(texts.mapInArrow(_sets, "component long, cls long, size long, shingles binary").dropDuplicates(["cls"]))
+    links = deal_tiles(sets, "component", "cls", tile, scratch, "size", SETS).mapInArrow(_verified(similarity), "u long, v long")
+    parts = connected_components(links, scratch).withColumnRenamed("node", "cls").withColumnRenamed("component", "grp")
+    grouped = classes.join(parts, "cls", "left").select("cls", F.coalesce("grp", "cls").alias("grp"), "least")
+    best = grouped.groupBy("grp").agg(F.min("least").alias("best"))
+    of_cls = scratch.save(grouped.join(best, "grp").select("cls", "best"))
+    # What goes, and repeated rows of which one stays: few against all rows.
+    known = own.join(of_cls, "cls").groupBy("doc_id", "mark").agg(F.count("*").alias("n"), F.first(F.struct(F.col("doc_id").isNull(), "doc_id", "mark") != F.col("best")).alias("gone"))
+    listed = scratch.save(known.where("gone OR n > 1"))
+    return _without(docs, listed, doc, mark)
+
+
+def _mark(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def _without(docs: DataFrame, listed: DataFrame, doc: Column, mark: Column) -> DataFrame:
+    """``docs`` less the rows whose (doc_id, mark) are listed as gone, and one row of each other listed."""
+    rows, names, named = plain_names(docs, doc=doc, hash=mark)
+    same = lambda table: (rows["hash"] == table["mark"]) & rows["doc"].eqNullSafe(table["doc_id"])
+    kept = rows.join(listed, same(listed), "left_anti").select(*names)
+    repeated = listed.where("NOT gone")
+    if repeated.limit(1).count():
+        one = rows.join(repeated, same(repeated), "left_semi").groupBy("doc", "hash").agg(F.min_by(F.struct(*names), row_hash(names)).alias("row"))
+        kept = kept.unionByName(one.select("row.*"))
+    return named(kept)
