@@ -14,17 +14,20 @@ from pyspark.sql import functions as F
 from wavemill.llm.common import Scratch
 
 
-def _star(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
+SPLIT = 1_000_000  # edges from which on a node may have too many for one task
+
+
+def _star(edges: DataFrame, large: bool, written) -> DataFrame:
     """Large star: every larger neighbour of u goes to u's smallest neighbour (or u).
     Small star: every smaller neighbour of u, and u, go to the smallest one.
 
-    The smallest neighbours are written: Spark can split a join of plain tables where a node
-    has very many neighbours."""
+    The smallest neighbours go through ``written``, which for many edges makes a table of them:
+    Spark can split a join of plain tables where a node has very many neighbours."""
     if large:
         sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         sides = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = scratch.save(sides.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+    least = written(sides.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
     joined = sides.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -44,8 +47,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         if mark == before or mark["n"] == 0:
             break
         before, within = mark, Scratch(scratch.spark)
-        starred = within.save(_star(now, True, within))
-        nxt = scratch.save(_star(starred, False, within).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        written = within.save if mark["n"] > SPLIT else (lambda table: table)
+        nxt = scratch.save(_star(written(_star(now, True, written)), False, written).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         within.clear()
         scratch.free(now)
         now = nxt
