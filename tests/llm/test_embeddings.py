@@ -90,3 +90,46 @@ def test_ties_and_few_candidates(spark):
     few = table(spark, [(0, v, 0), (1, v + 1, 0), (2, v + 3, 0)])
     assert [(r["rank"], r["vec_id"]) for r in ann_search.nearest_neighbours(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert ann_search.nearest_neighbours(few.limit(0), few.limit(0)).count() == 0
+
+
+def test_vectors_of_every_length_take_part(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(16), 0) for i in range(300)]
+    short = [rng.standard_normal(5) for _ in range(20)]
+    rows += [(1000 + i, v, 0) for i, v in enumerate(short)] + [(1100 + i, 2 * v, 0) for i, v in enumerate(short)] + [(1200, [3.0], 0), (1300, [4.0], 0)]
+    by = {r["vec_id"]: r for r in embedding_dedup.embedding_near_duplicates(table(spark, rows)).collect()}
+    assert all(by[1100 + i]["component_id"] == 1000 + i and by[1100 + i]["n_links"] == 1 for i in range(20))
+    assert by[1300]["component_id"] == 1200 and by[0]["component_id"] == 0
+    df = table(spark, rows)
+    got = {}
+    for r in ann_search.nearest_neighbours(df, df.where("vec_id IN (1000, 1300, 0)"), 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert len(got[0]) == 3 and got[1300] == [1200] and len(got[1000]) == 3 and all(v < 1200 for v in got[1000][:3]) and all(v >= 1000 for v in got[1000])
+
+
+def test_substrings_grow_with_the_table():
+    sample = np.random.default_rng(0).standard_normal((500, 24))
+    for n in (100, 10**4, 10**6, 10**9):
+        bits, tables, _, projection = embedding_dedup.plan(sample, n, 0.93)
+        assert 2**bits >= n and projection.shape[1] >= bits * tables
+        assert (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables <= embedding_dedup.MISS
+    assert [ann_search.centroids_for(n) for n in (10, 10**5, 10**7, 10**9)] == [32, 32, 512, 1024]
+
+
+def test_clustered_vectors_are_searched_in_a_small_share(spark):
+    rng = np.random.default_rng(8)
+    centres = 4 * rng.standard_normal((60, 16))
+    x = np.float32(centres[rng.integers(0, 60, 6000)] + 0.3 * rng.standard_normal((6000, 16))).astype(np.float64)
+    df = table(spark, [(i, v, 0) for i, v in enumerate(x)])
+    index = ann_search.MultiIndex(x[:2000])
+    cells = index.cells(x)
+    index.place(np.bincount(cells, minlength=len(index.counts)))
+    filled = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, cells))], "vec_id long, vec array<double>, cell int")
+    assert ann_search.calibrate(index, filled, x[:128], 10, 0.97) < 0.1
+    got = ann_search.nearest_neighbours(df, df.where("vec_id % 100 = 0")).collect()
+    hits = 0
+    for q in range(0, 6000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 600
