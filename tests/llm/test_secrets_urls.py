@@ -14,7 +14,14 @@ def der(tag, *parts):
 
 
 RSA = der(0x30, der(0x02, b"\0"), *(der(0x02, bytes([7]) * 65) for _ in range(5)))
-OPENSSH = b"openssh-key-v1\0" + bytes(80)
+
+
+def fields(*parts):
+    return b"".join(len(p).to_bytes(4, "big") + p for p in parts)
+
+
+PUB = fields(b"ssh-ed25519", bytes(32))
+OPENSSH = b"openssh-key-v1\0" + fields(b"none", b"none", b"") + b"\0\0\0\x01" + fields(PUB, bytes(136))
 
 
 def b64u(data):
@@ -26,7 +33,8 @@ JWT = ".".join([b64u(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()), b64u(
 
 def test_structures():
     assert secret_scan.confirm(RSA) == "der" and secret_scan.confirm(RSA[:-1]) is None and secret_scan.confirm(RSA + b"\0") is None
-    assert secret_scan.confirm(OPENSSH) == "openssh"
+    assert secret_scan.confirm(OPENSSH) == "openssh" and secret_scan.confirm(OPENSSH[:-1]) is None and secret_scan.confirm(OPENSSH + b"x") is None
+    assert secret_scan.confirm(b"openssh-key-v1\0" + bytes(80)) is None and secret_scan.confirm(b"openssh-key-v1\0" + b"is how such a key begins, as this sentence tells you") is None
     pub = b"\0\0\0\x0bssh-ed25519" + b"\0\0\0\x20" + bytes(32)
     assert secret_scan.confirm(pub) == "sshpub" and secret_scan.confirm(pub[:-1]) is None
     wrapped = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", base64.b64encode(RSA).decode())) + "\n-----END RSA PRIVATE KEY-----"

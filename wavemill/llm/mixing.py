@@ -207,3 +207,23 @@ def apply_mix(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, id_col: str = "d
         share = F.floor(F.col("copies") / F.col("rows")) + (F.col("nth") < F.col("copies") % F.col("rows")).cast("long")
         out = out.unionByName(times(F.col("share"), meet(repeated).withColumn("nth", nth).withColumn("share", share).where("share > 0")))
     return named(out)
+
+
+TARGETS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), s AS (
+  SELECT source, sum(size) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT source, source_size, list_extract([5, 2, 1], CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INT)) AS weight FROM s
+), r AS (
+  SELECT *, 3 * source_size / weight AS ratio, sum(source_size) OVER () AS total FROM w
+), l AS (
+  SELECT *, (total - coalesce(sum(3 * source_size) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY ratio, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM r
+), t AS (
+  SELECT source, source_size, least(3 * source_size, coalesce(weight * max(lvl) FILTER (lvl <= ratio) OVER (), 3 * source_size)) AS target FROM l
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(CAST(target AS DOUBLE), 3) AS target
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from wavemill.llm import ann_search, embedding_dedup, html_extract, language_id, mixing, packing, secret_scan, simhash, substring_dedup, url_filter
 from wavemill.llm.common import table
 
@@ -49,6 +51,16 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def mixing_targets(spark, sf_dir):
+    """What the mix is held to: the columns of op2's result that don't depend on whole copies."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def secret_counts(spark, sf_dir):
+    """How many base spans of each kind op9 finds."""
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_entropy_balancing": op2_entropy_balancing,
@@ -60,9 +72,13 @@ QUERIES = {
     "op8_multi_index": op8_multi_index,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
+    "mixing_targets": mixing_targets,
+    "secret_counts": secret_counts,
 }
 ORACLE_SQL = {
     "op6_prefix_free_parsing": substring_dedup.ORACLE_SQL,
     "op7_itq_dedup": embedding_dedup.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
+    "mixing_targets": mixing.TARGETS_SQL,
+    "secret_counts": secret_scan.COUNTS_SQL,
 }

@@ -39,6 +39,7 @@ HEX = re.compile(r"[0-9a-f]{16,}", re.ASCII)
 JWT = re.compile(r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{16,}", re.ASCII)
 # A wrapped body has lines of 60 characters or more and a last one of any length.
 B64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,}\r?\n)+[A-Za-z0-9+/_-]+={0,2}|[A-Za-z0-9+/_-]{40,}={0,2}", re.ASCII)
+OPENSSH = b"openssh-key-v1\0"
 HEX_BODY = re.compile(r"(?:[0-9A-Fa-f]{2}){32,}", re.ASCII)
 
 KINDS = ("assign", "access", "hex", "jwt", "der", "openssh", "sshpub")
@@ -114,14 +115,50 @@ def _fields(data: bytes, at: int) -> int:
     return n if at == len(data) else 0
 
 
+def _field(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """A length-prefixed field at a place and the place after it."""
+    if at + 4 > len(data):
+        return None
+    end = at + 4 + struct.unpack_from(">I", data, at)[0]
+    return (data[at + 4 : end], end) if end <= len(data) else None
+
+
+def is_openssh_key(data: bytes) -> bool:
+    """The magic, then names of cipher and key derivation, its options, a count, as many public
+    keys (each itself a field list that begins with an algorithm) and the private part, which
+    fill the data."""
+    at, names = len(OPENSSH), []
+    for _ in range(3):
+        if not (got := _field(data, at)):
+            return False
+        names.append(got[0])
+        at = got[1]
+    if not all(re.fullmatch(rb"[a-z0-9@.-]{1,64}", n) for n in names[:2]) or at + 4 > len(data):
+        return False
+    count, at = struct.unpack_from(">I", data, at)[0], at + 4
+    if not 1 <= count <= len(data) // 4:
+        return False
+    for _ in range(count):
+        got = _field(data, at)
+        if not got or not is_public_key(got[0]):
+            return False
+        at = got[1]
+    got = _field(data, at)
+    return bool(got) and len(got[0]) >= 8 and got[1] == len(data)
+
+
+def is_public_key(data: bytes) -> bool:
+    """A field with the name of an algorithm, and others, which fill the data."""
+    got = _field(data, 0)
+    return bool(got) and bool(re.fullmatch(rb"(ssh-|ecdsa-|sk-)[a-z0-9@.-]{1,60}", got[0])) and _fields(data, 0) >= 2
+
+
 def confirm(data: bytes) -> str | None:
     """The kind of key that the bytes encode, or None."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return "openssh"
-    if len(data) > 16 and data[:3] == b"\0\0\0" and data[3] < 40:
-        name = data[4 : 4 + data[3]]
-        if re.fullmatch(rb"(ssh-|ecdsa-|sk-)[a-z0-9@.-]+", name) and _fields(data, 0) >= 2:
-            return "sshpub"
+    if data.startswith(OPENSSH):
+        return "openssh" if is_openssh_key(data) else None
+    if len(data) > 16 and is_public_key(data):
+        return "sshpub"
     return "der" if is_der_key(data) else None
 
 
@@ -209,3 +246,12 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     angle brackets (overlapping secrets to the first one's).  Null text stays null."""
     at = docs.columns.index(text_col)
     return docs.mapInArrow(lambda batches: _drop_lines(batches, at), docs.schema)
+
+
+COUNTS_SQL = r"""
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: len(x) >= 12)) AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 18)) AS n_access,
+  len(regexp_extract_all(coalesce(text, ''), '[0-9a-f]{16,}')) AS n_hex
+FROM documents
+"""

@@ -19,8 +19,12 @@ corpus, in the same text or another one.
   128-bit hash instead, which gives the same answer.
 * Parse and suffix order combine: each occurrence of a phrase takes over the repeated starts
   of its dictionary entry, and a pass over the distinct texts cuts the covered bytes out.
+  The parse needs no suffix array of its own: it would order suffixes that agree beyond their
+  phrase, but phrases overlap by WIDTH - 1 bytes, so the first WIDTH bytes of every suffix lie
+  within one phrase, and no more is ever compared.
 
-Copies of a text are parsed once for each part of a batch and carried as a weight.
+Copies of a text are parsed once for each part of a batch and carried as a weight.  A text is
+known by 128 bits of hashes (r, q).
 """
 
 from __future__ import annotations
@@ -96,30 +100,44 @@ def phrase_hashes(text: bytes, view: memoryview, trigger: int, first: int, last:
     return _signed(block), _signed(phrase)
 
 
-PARSED = "r long, first int, last int, lead int, hb long, hx long, w long"
+PARSED = "r long, q long, first int, last int, lead int, hb long, hx long, w long"
 
 
 def _parse(batches):
     for batch in slices(batches):
-        texts: dict[int, list] = {}
-        for r, text in zip(batch.column("r").to_pylist(), batch.column("text").to_pylist()):
-            texts.setdefault(r, [text, 0])[1] += 1
-        out = [[] for _ in range(7)]
-        for r, (text, w) in texts.items():
+        texts: dict[tuple, list] = {}
+        for r, q, text in zip(*(batch.column(c).to_pylist() for c in ("r", "q", "text"))):
+            texts.setdefault((r, q), [text, 0])[1] += 1
+        out = [[] for _ in range(8)]
+        for (r, q), (text, w) in texts.items():
             view = memoryview(text)
             for trigger, first, last in phrases(text):
                 hb, hx = phrase_hashes(text, view, trigger, first, last)
-                for c, v in zip(out, (r, first, last, trigger - first, hb, hx, w)):
+                for c, v in zip(out, (r, q, first, last, trigger - first, hb, hx, w)):
                     c.append(v)
             if len(out[0]) > 50_000:
                 yield _batch(out)
-                out = [[] for _ in range(7)]
+                out = [[] for _ in range(8)]
         yield _batch(out)
 
 
 def _batch(out):
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["r", "first", "last", "lead", "hb", "hx", "w"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["r", "q", "first", "last", "lead", "hb", "hx", "w"])
+
+
+def _distinct(batches):
+    """Rows sorted by (r, q, first) without those that repeat the one before."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy() for c in ("r", "q", "first")]
+        keep = np.ones(batch.num_rows, bool)
+        keep[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        keep[0] = tuple(k[0] for k in keys) != last
+        last = tuple(k[-1] for k in keys)
+        yield batch.filter(pa.array(keep))
 
 
 def _once(batches):
@@ -129,14 +147,14 @@ def _once(batches):
         if len(seen) > 1_000_000:
             seen.clear()
         keep = []
-        for r in batch.column("r").to_pylist():
+        for r in zip(batch.column("r").to_pylist(), batch.column("q").to_pylist()):
             keep.append(r not in seen)
             seen.add(r)
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def _by_text(batches, columns):
-    """(r, rows, text) for each text, from rows sorted by (r, kind): the rows of kind 0 hold
+    """(r, q, rows, text) for each text, from rows sorted by (r, q, kind): the rows of kind 0 hold
     ``columns``, the first of kind 1 the text."""
     now, rows, done = None, [], True
     for batch in batches:
@@ -144,14 +162,14 @@ def _by_text(batches, columns):
             continue
         kinds, texts = batch.column("kind").to_pylist(), batch.column("text")
         lists = [batch.column(c) for c in columns]
-        for i, (r, kind) in enumerate(zip(batch.column("r").to_pylist(), kinds)):
+        for i, (*r, kind) in enumerate(zip(batch.column("r").to_pylist(), batch.column("q").to_pylist(), kinds)):
             if r != now:
                 now, rows, done = r, [], False
             if kind == 0:
                 rows.append(tuple(c[i].as_py() for c in lists))
             elif not done:
                 done = True
-                yield r, rows, texts[i].as_py()
+                yield *r, rows, texts[i].as_py()
 
 
 CONTEXTS = "hb long, hx long, w long, nd long, ctx binary"
@@ -164,7 +182,7 @@ def _bring(batches):
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["hb", "hx", "w", "nd", "ctx"])
 
-    for _, rows, text in _by_text(batches, ("first", "last", "hb", "hx", "w", "nd")):
+    for *_, rows, text in _by_text(batches, ("first", "last", "hb", "hx", "w", "nd")):
         for first, last, hb, hx, w, nd in rows:
             for c, v in zip(out, (hb, hx, w, nd, text[first : last + WIDTH])):
                 c.append(v)
@@ -235,18 +253,18 @@ def _strings(batches):
             yield pa.RecordBatch.from_arrays([pa.array([hb] * n), pa.array([hx] * n), pa.array([w] * n), pa.array(range(n), pa.int32()), pa.array(digests[:, 0]), pa.array(digests[:, 1])], names=["hb", "hx", "w", "a", "d0", "d1"])
 
 
-RESULTS = "r long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULTS = "r long, q long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def _cut(keep_text: bool):
     def run(batches):
-        out = [[] for _ in range(6)]
+        out = [[] for _ in range(7)]
 
         def made():
-            kinds = (pa.int64(),) * 4 + (pa.string(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["r", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            kinds = (pa.int64(),) * 5 + (pa.string(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["r", "q", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-        for r, rows, text in _by_text(batches, ("first", "last", "starts")):
+        for r, q, rows, text in _by_text(batches, ("first", "last", "starts")):
             mark = np.zeros(len(text) + 1, np.int32)
             # Copies of a text may bring a mark more than once; only covering counts.
             for first, last, starts in rows:
@@ -260,12 +278,12 @@ def _cut(keep_text: bool):
             gone = np.cumsum(mark[:-1]) > 0
             spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
-            row = (r, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None)
+            row = (r, q, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None)
             for c, v in zip(out, row):
                 c.append(v)
             if len(out[0]) >= 2000:
                 yield made()
-                out = [[] for _ in range(6)]
+                out = [[] for _ in range(7)]
         yield made()
 
     return run
@@ -281,8 +299,9 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     scratch = Scratch(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("r"), text.cast("binary").alias("text"))
-    parsed = scratch.save(rows.select("r", "text").mapInArrow(_parse, PARSED))
+    both = [F.xxhash64(text).alias("r"), F.xxhash64(F.lit(1), text).alias("q")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *both, text.cast("binary").alias("text"))
+    parsed = scratch.save(rows.select("r", "q", "text").mapInArrow(_parse, PARSED))
     blocks = parsed.groupBy("hb").agg(F.sum("w").alias("n"), F.min("hx").alias("x0"), F.max("hx").alias("x1")).where("n > 1")
     # Written first: a join of two plain tables is one that Spark can split where a block is hot.
     blocks = scratch.save(blocks.select("hb", (F.col("x0") == F.col("x1")).alias("whole")))
@@ -290,15 +309,15 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     scratch.free(parsed)
     scratch.release()
     # The dictionary: distinct phrases of trigger blocks that have several, with one place each.
-    place = F.struct("r", "first", "last")
+    place = F.struct("r", "q", "first", "last")
     words = scratch.save(shared.where("NOT whole").groupBy("hb", "hx").agg(F.sum("w").alias("w"), F.min(place).alias("p")))
     sizes = words.groupBy("hb").agg(F.count("*").alias("nd"))
     needed = words.join(sizes, "hb").select("p.*", "hb", "hx", "w", "nd")
-    texts = rows.select("r", "text").mapInArrow(_once, "r long, text binary")
+    texts = rows.select("r", "q", "text").mapInArrow(_once, "r long, q long, text binary")
     none = lambda kind: F.lit(None).cast(kind)
     asked = needed.withColumn("kind", F.lit(0)).withColumn("text", none("binary"))
-    given = texts.select("r", none("int").alias("first"), none("int").alias("last"), none("long").alias("hb"), none("long").alias("hx"), none("long").alias("w"), none("long").alias("nd"), F.lit(1).alias("kind"), "text")
-    contexts = scratch.save(asked.unionByName(given).repartition("r").sortWithinPartitions("r", "kind").mapInArrow(_bring, CONTEXTS))
+    given = texts.select("r", "q", none("int").alias("first"), none("int").alias("last"), none("long").alias("hb"), none("long").alias("hx"), none("long").alias("w"), none("long").alias("nd"), F.lit(1).alias("kind"), "text")
+    contexts = scratch.save(asked.unionByName(given).repartition("r", "q").sortWithinPartitions("r", "q", "kind").mapInArrow(_bring, CONTEXTS))
     scratch.release()
     few = contexts.where(F.col("nd") <= HOT).select("hb", "hx", "ctx").repartition("hb").sortWithinPartitions("hb")
     strings = contexts.where(F.col("nd") > HOT).mapInArrow(_strings, "hb long, hx long, w long, a int, d0 long, d1 long")
@@ -307,16 +326,19 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     starts = few.mapInArrow(_sort_shard, STARTS).unionByName(many)
     # A phrase that occurs more than once is repeated whatever its neighbours are: starts null.
     entry = words.select("hb", "hx", "w").join(starts, ["hb", "hx"], "left").where("w > 1 OR starts IS NOT NULL").select("hb", "hx", F.when(F.col("w") == 1, F.col("starts")).alias("starts"))
-    part = shared.where("NOT whole").select("r", "first", "last", "hb", "hx").join(entry, ["hb", "hx"]).select("r", "first", "last", "starts")
-    marks = shared.where("whole").select("r", "first", "last", none("array<int>").alias("starts")).unionByName(part)
-    marks = scratch.save(marks)
-    scratch.free(contexts)
+    entry = scratch.save(entry)  # a plain table again, for a phrase that very many texts hold
+    part = shared.where("NOT whole").select("r", "q", "first", "last", "hb", "hx").join(entry, ["hb", "hx"]).select("r", "q", "first", "last", "starts")
+    marks = shared.where("whole").select("r", "q", "first", "last", none("array<int>").alias("starts")).unionByName(part)
+    # Copies of a text have brought the same marks to the same task.
+    marks = scratch.save(marks.sortWithinPartitions("r", "q", "first").mapInArrow(_distinct, "r long, q long, first int, last int, starts array<int>"))
+    scratch.free(contexts, words, entry, shared, blocks)
     scratch.release()
     asked = marks.withColumn("kind", F.lit(0)).withColumn("text", none("binary"))
-    given = texts.select("r", none("int").alias("first"), none("int").alias("last"), none("array<int>").alias("starts"), F.lit(1).alias("kind"), "text")
-    cut = asked.unionByName(given).repartition("r").sortWithinPartitions("r", "kind").mapInArrow(_cut(with_text), RESULTS)
+    given = texts.select("r", "q", none("int").alias("first"), none("int").alias("last"), none("array<int>").alias("starts"), F.lit(1).alias("kind"), "text")
+    cut = scratch.save(asked.unionByName(given).repartition("r", "q").sortWithinPartitions("r", "q", "kind").mapInArrow(_cut(with_text), RESULTS))
+    scratch.free(marks)
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
-    return rows.select("doc_id", "r").join(cut, "r").select(*columns)
+    return rows.select("doc_id", "r", "q").join(cut, ["r", "q"]).select(*columns)
 
 
 ORACLE_SQL = """
