@@ -32,8 +32,8 @@ class Node:
 
 
 def parse(text: str) -> Node:
-    """The tree of a formula; any error rejects the whole of it."""
-    text = text.replace(",", ".")
+    """The tree of a formula; any error rejects the whole of it.  An empty text stands for x."""
+    text = text.replace(",", ".").strip() or "x"
     tokens, at = [], 0
     while at < len(text.rstrip()):
         m = TOKEN.match(text, at)

@@ -3,6 +3,7 @@
 References are averaged sample by sample first.  Segments of L samples overlap by half; a
 sample belongs to two of them at most, so segments are gathered in groups of neighbours and
 each task returns sums over its group, one row a bin and response, never its segments.
+Any number of recordings are analysed at once, each with its own length, cadence and status.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ ERRORS = {
     "None": "", "InvalidChannels": "references and responses must be distinct and not empty", "FrequencyData": "the recording holds a spectrum",
     "TooShort": "too few samples", "InvalidTime": "times must be finite and increase", "MissingValues": "a channel has missing values",
     "InvalidOptions": "segment length must be even and 4 or more, the threshold between 0 and 1", "WeakReference": "the reference has no usable frequency",
-    "Overflow": "values are too large", "ResourceLimit": "not enough memory", "SourceChanged": "the source has changed",
+    "Overflow": "values are too large", "SourceChanged": "the source has changed",
 }
 
 
@@ -49,47 +50,83 @@ def check_roles(references: Sequence[str], responses: Sequence[str]) -> None:
         raise RecordingError("InvalidChannels", ERRORS["InvalidChannels"])
 
 
+def check_options(options: FrfOptions) -> None:
+    length = options.segment_length
+    if not 0 < options.threshold < 1 or options.estimator not in ("h1", "direct") or options.estimator == "h1" and length and (length < 4 or length % 2):
+        raise RecordingError("InvalidOptions", ERRORS["InvalidOptions"])
+
+
 def plan(n: int, options: FrfOptions) -> tuple[int, int, int]:
     """(L, hop, K) for n samples: segment length, distance, number of whole segments."""
-    if not 0 < options.threshold < 1 or options.estimator not in ("h1", "direct"):
-        raise RecordingError("InvalidOptions", ERRORS["InvalidOptions"])
-    if n < 4:
-        raise RecordingError("TooShort", ERRORS["TooShort"])
+    check_options(options)
     if options.estimator == "direct":
-        return n, n, 1
-    length = options.segment_length or auto_length(n)
-    if length < 4 or length % 2:
-        raise RecordingError("InvalidOptions", ERRORS["InvalidOptions"])
-    if length > n:
+        length = hop = n
+    else:
+        length = options.segment_length or auto_length(n)
+        hop = length // 2
+    if n < 4 or length > n:
         raise RecordingError("TooShort", ERRORS["TooShort"])
-    return length, length // 2, (n - length) // (length // 2) + 1
+    return length, hop, (n - length) // hop + 1
+
+
+def _plan(rows: DataFrame, options: FrfOptions) -> DataFrame:
+    """Adds length, hop and segments, as ``plan`` has them, to rows with n."""
+    quarter = F.greatest(F.lit(4).cast("long"), F.floor(F.col("n") / 4))
+    auto = F.expr("shiftleft(1L, length(bin(quarter)) - 1)")  # the highest power of two within it
+    direct = options.estimator == "direct"
+    length = F.col("n") if direct else F.lit(options.segment_length).cast("long") if options.segment_length else auto
+    rows = rows.withColumn("quarter", quarter).withColumn("length", length).drop("quarter")
+    rows = rows.withColumn("hop", F.col("length") if direct else F.floor(F.col("length") / 2))
+    return rows.withColumn("segments", F.when(F.col("length") <= F.col("n"), F.floor(F.try_divide(F.col("n") - F.col("length"), F.col("hop"))) + 1))
 
 
-def prepare(long: DataFrame, references: Sequence[str], responses: Sequence[str]) -> tuple[DataFrame, int, float, list[str]]:
-    """Averaged reference and responses, aligned by sample: (recording_id, sample, x, channel, y),
-    the number of samples, the cadence, and the responses without missing values.
+def averaged(long: DataFrame, references: Sequence[str]) -> DataFrame:
+    """(recording_id, sample, x): the references' mean, each divided first so that sums don't overflow."""
+    some = long.where(F.col("channel").isin(*references))
+    return some.groupBy("recording_id", "sample").agg(F.sum(F.col("value") / len(references)).alias("x"))
 
-    A reference with a missing or infinite value fails the whole; such a response only itself."""
+
+def inspect(long: DataFrame, references: Sequence[str], responses: Sequence[str], options: FrfOptions = FrfOptions()) -> DataFrame:
+    """One row a recording: recording_id, n, step (cadence), length, hop, segments, peak (greatest
+    reference value), good (responses without missing values) and status, ``None`` or the first
+    reason against an analysis.
+
+    A reference with a missing or infinite value fails its recording; such a response only itself."""
     check_roles(references, responses)
+    check_options(options)
     roles = long.where(F.col("channel").isin(*references, *responses))
-    facts = {r["channel"]: r for r in roles.groupBy("channel").agg(F.count("*").alias("n"), F.bool_and(finite(F.col("value"))).alias("fine")).collect()}
-    for c in (*references, *responses):
-        if c not in facts:
-            raise RecordingError("InvalidChannels", f"no channel {c}")
-    n = facts[references[0]]["n"]
-    if n < 4:
-        raise RecordingError("TooShort", ERRORS["TooShort"])
-    if not all(facts[c]["fine"] and facts[c]["n"] == n for c in references):
-        raise RecordingError("MissingValues", ERRORS["MissingValues"])
-    good = [c for c in responses if facts[c]["fine"] and facts[c]["n"] == n]
+    facts = roles.groupBy("recording_id", "channel").agg(F.count("*").alias("c"), F.bool_and(finite(F.col("value"))).alias("fine"))
+    is_ref = F.col("channel").isin(*references)
+    per = facts.groupBy("recording_id").agg(
+        F.sum(is_ref.cast("int")).alias("refs"), F.min(F.when(is_ref, F.col("c"))).alias("n"), F.max(F.when(is_ref, F.col("c"))).alias("n_most"),
+        F.bool_and(F.col("fine") | ~is_ref).alias("fine"), F.collect_list(F.when(~is_ref, F.struct("channel", "c", "fine"))).alias("others"),
+    )
+    alike = F.filter("others", lambda o: (o["c"] == F.col("n")))
+    per = per.withColumn("good", F.transform(F.filter("others", lambda o: (o["c"] == F.col("n")) & o["fine"]), lambda o: o["channel"])).withColumn("alike", F.size(alike)).drop("others")
     axis = long.where(F.col("channel") == references[0])
-    wrong = intervals(axis).agg(F.max(~finite(F.col("t")) | F.coalesce(F.col("dt") <= 0, F.lit(False)))).first()[0]
-    if wrong:
-        raise RecordingError("InvalidTime", ERRORS["InvalidTime"])
-    step = cadence(axis).first()["cadence"]
-    x = roles.where(F.col("channel").isin(*references)).groupBy("recording_id", "sample").agg(F.avg("value").alias("x"))
-    y = roles.where(F.col("channel").isin(*good)).select("recording_id", "sample", "channel", F.col("value").alias("y"))
-    return y.join(x, ["recording_id", "sample"]), n, step, good
+    wrong = intervals(axis).groupBy("recording_id").agg(F.max(~finite(F.col("t")) | F.coalesce(~finite(F.col("dt")) & F.col("t_before").isNotNull(), F.lit(False)) | F.coalesce(F.col("dt") <= 0, F.lit(False))).alias("wrong"))
+    step = cadence(axis).select("recording_id", F.col("cadence").alias("step"))
+    x = averaged(long, references).groupBy("recording_id").agg(F.max(F.abs("x")).alias("peak"), F.max(~finite(F.col("x"))).alias("over"))
+    rows = long.select("recording_id").distinct().join(per, "recording_id", "left").join(wrong, "recording_id", "left").join(step, "recording_id", "left").join(x, "recording_id", "left")
+    status = (
+        F.when(F.coalesce(F.col("refs") < len(references), F.lit(True)) | (F.col("n") < F.col("n_most")), "InvalidChannels")
+        .when(~F.col("fine"), "MissingValues")
+        .when(F.col("over"), "Overflow")
+        .when(F.col("n") < 4, "TooShort")
+        .when(F.coalesce("wrong", F.lit(False)) | ~finite(F.col("step")) | ~finite(F.try_divide(F.lit(0.5), F.col("step"))), "InvalidTime")
+        .when(F.col("length") > F.col("n"), "TooShort")
+        .when(F.size("good") == 0, F.when(F.col("alike") == 0, "InvalidChannels").otherwise("MissingValues"))
+        .otherwise("None")
+    )
+    return _plan(rows, options).withColumn("status", status).select("recording_id", "n", "step", "length", "hop", "segments", F.coalesce("peak", F.lit(0.0)).alias("peak"), "good", "status")
+
+
+def frf_status(long: DataFrame, references: Sequence[str], responses: Sequence[str], options: FrfOptions = FrfOptions()) -> DataFrame:
+    """(recording_id, channel, status) for each response of each recording: the recording's
+    status, or MissingValues where only the response is at fault."""
+    rows = inspect(long, references, responses, options).withColumn("channel", F.explode(F.array(*map(F.lit, responses))))
+    own = F.when(F.array_contains("good", F.col("channel")), "None").otherwise("MissingValues")
+    return rows.select("recording_id", "channel", F.when(F.col("status") != "None", F.col("status")).otherwise(own).alias("status"))
 
 
 def has_gaps(long: DataFrame) -> bool:
@@ -97,23 +134,26 @@ def has_gaps(long: DataFrame) -> bool:
     return rows.where(F.col("dt") > GAP_FACTOR * F.col("cadence")).limit(1).count() > 0
 
 
-def cross_spectra(prepared: DataFrame, length: int, hop: int, segments: int, remove_mean: bool) -> DataFrame:
-    """Sums over all segments: (recording_id, channel, bin, sxx, syy, sxy_re, sxy_im)."""
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / length)
-    stride = GROUP * hop
+SUMS = "recording_id string, channel string, bin long, sxx double, syy double, sxy_re double, sxy_im double"
+
+
+def cross_spectra(prepared: DataFrame, remove_mean: bool) -> DataFrame:
+    """Sums over all segments: (recording_id, channel, bin, sxx, syy, sxy_re, sxy_im), from
+    (recording_id, channel, sample, x, y, length, hop, segments)."""
     # A group's samples: from its first segment's start to its last one's end.
-    last = F.floor(F.col("sample") / stride)
-    first = F.greatest(F.ceil((F.col("sample") - (length - hop) - stride + 1) / stride), F.lit(0))
-    rows = prepared.where(F.col("sample") < (segments - 1) * hop + length).withColumn("grp", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    stride = GROUP * F.col("hop")
+    last = F.least(F.floor(F.col("sample") / stride), F.floor((F.col("segments") - 1) / GROUP))
+    first = F.greatest(F.ceil((F.col("sample") - (F.col("length") - F.col("hop")) - stride + 1) / stride), F.lit(0))
+    rows = prepared.where(F.col("sample") < (F.col("segments") - 1) * F.col("hop") + F.col("length"))
+    rows = rows.withColumn("grp", F.explode(F.when(first <= last, F.sequence(first.cast("long"), last.cast("long")))))
 
     def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample")
-        begin, x, y = key[2] * stride, pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
+        length, hop, segments = (int(pdf[c].iloc[0]) for c in ("length", "hop", "segments"))
+        window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / length)
+        begin, x, y = key[2] * GROUP * hop, pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
         count = min(GROUP, segments - key[2] * GROUP)
-        at = np.arange(count)[:, None] * hop + np.arange(length)
-        at += begin - int(pdf["sample"].iloc[0]) if len(pdf) else 0
-        if count <= 0 or not len(pdf):
-            return pd.DataFrame(columns=["recording_id", "channel", "bin", "sxx", "syy", "sxy_re", "sxy_im"])
+        at = np.arange(count)[:, None] * hop + np.arange(length) + (begin - int(pdf["sample"].iloc[0]))
         sxx = syy = sxy = 0.0
         for part in np.array_split(at, max(1, count * length >> 20)):
             a, b = x[part], y[part]
@@ -125,26 +165,27 @@ def cross_spectra(prepared: DataFrame, length: int, hop: int, segments: int, rem
             sxy = sxy + (np.conj(fa) * fb).sum(0)
         return pd.DataFrame({"recording_id": key[0], "channel": key[1], "bin": np.arange(len(sxx)), "sxx": sxx, "syy": syy, "sxy_re": sxy.real, "sxy_im": sxy.imag})
 
-    schema = "recording_id string, channel string, bin long, sxx double, syy double, sxy_re double, sxy_im double"
-    parts = rows.groupBy(*SERIES, "grp").applyInPandas(sums, schema)
+    parts = rows.groupBy(*SERIES, "grp").applyInPandas(sums, SUMS)
     return parts.groupBy(*SERIES, "bin").agg(*(F.sum(c).alias(c) for c in ("sxx", "syy", "sxy_re", "sxy_im")))
 
 
-def response(spectra: DataFrame, length: int, segments: int, step: float, options: FrfOptions, peak: float) -> DataFrame:
-    """H, dynamic coefficient, validity, coherence and reference amplitude from the sums.
+def response(spectra: DataFrame, options: FrfOptions) -> DataFrame:
+    """H, dynamic coefficient, validity, coherence and reference amplitude from the sums, which
+    come with length, segments, step and peak.
 
     A bin (not the first) is valid if the reference's power there exceeds both its strongest
-    bin's times the squared threshold and the rounding noise of samples as large as ``peak``."""
+    bin's times the squared threshold and the rounding noise of samples as large as the peak."""
+    length, segments = F.col("length"), F.col("segments")
     top = F.max(F.when(F.col("bin") >= 1, F.col("sxx"))).over(Window.partitionBy(*SERIES))
-    noise = (peak * 32 * EPS * length) ** 2 * segments
-    valid = (F.col("bin") >= 1) & (F.col("sxx") > F.greatest(F.lit(noise), top * options.threshold**2))
+    noise = F.pow(F.col("peak") * (32 * EPS) * length, F.lit(2.0)) * segments
+    valid = (F.col("bin") >= 1) & (F.col("sxx") > F.greatest(noise, top * options.threshold**2))
     rows = spectra.withColumn("valid", valid)
     h = lambda c: F.when(F.col("valid"), F.try_divide(F.col(c), F.col("sxx")))
-    known = F.col("valid") & F.lit(options.estimator == "h1" and segments >= 2) & (F.col("syy") > 0)
+    known = F.col("valid") & F.lit(options.estimator == "h1") & (segments >= 2) & (F.col("syy") > 0)
     power = F.col("sxy_re") ** 2 + F.col("sxy_im") ** 2
     edge = 2 * F.col("bin") == length
     rows = rows.select(
-        *SERIES, "bin", (F.col("bin") / (length * step)).alias("freq"), h("sxy_re").alias("h_re"), h("sxy_im").alias("h_im"), "valid",
+        *SERIES, "bin", (F.col("bin") / (length * F.col("step"))).alias("freq"), h("sxy_re").alias("h_re"), h("sxy_im").alias("h_im"), "valid",
         F.when(known, F.least(F.greatest(F.try_divide(power, F.col("sxx") * F.col("syy")), F.lit(0.0)), F.lit(1.0))).alias("coherence"),
         known.alias("coherence_valid"),
         F.when(F.col("bin") >= 1, F.when(edge, 1.0).otherwise(2.0) * F.sqrt(F.col("sxx") / segments) / (0.5 * length)).alias("reference_amplitude"),
@@ -155,20 +196,27 @@ def response(spectra: DataFrame, length: int, segments: int, step: float, option
 
 def analyze_frf(long: DataFrame, references: Sequence[str], responses: Sequence[str], options: FrfOptions = FrfOptions()) -> DataFrame:
     """(recording_id, channel, bin, freq, h_re, h_im, valid, coherence, coherence_valid,
-    reference_amplitude, reference_valid, dynamic_coefficient) for each response channel.
-
-    Gaps are ignored: samples follow each other whatever their times.  One recording."""
-    prepared, n, step, good = prepare(long, references, responses)
-    length, hop, segments = plan(n, options)
-    if not good:
-        raise RecordingError("MissingValues", ERRORS["MissingValues"])
-    peak = prepared.agg(F.max(F.abs("x"))).first()[0] or 0.0
-    spectra = cross_spectra(prepared, length, hop, segments, options.remove_mean)
-    return response(spectra, length, segments, step, options, peak)
+    reference_amplitude, reference_valid, dynamic_coefficient) for each response channel of each
+    recording that ``frf_status`` finds nothing against; an error if there is none.
+
+    Gaps are ignored: samples follow each other whatever their times."""
+    facts = settle(inspect(long, references, responses, options))
+    if not facts.where("status = 'None'").limit(1).count():
+        row = facts.orderBy("recording_id").first()
+        kind = row["status"] if row else "TooShort"
+        raise RecordingError(kind, ERRORS[kind])
+    facts = facts.where("status = 'None'")
+    own = facts.select("recording_id", "length", "hop", "segments", F.explode("good").alias("channel"))
+    y = long.where(F.col("channel").isin(*responses)).select(*SERIES, "sample", F.col("value").alias("y"))
+    prepared = y.join(own, list(SERIES)).join(averaged(long, references), ["recording_id", "sample"])
+    spectra = cross_spectra(prepared, options.remove_mean).join(facts.select("recording_id", "length", "segments", "step", "peak"), "recording_id")
+    return response(spectra, options)
 
 
 def require_reference(result: DataFrame) -> DataFrame:
-    """The result, or WeakReference if no bin is valid."""
+    """The result; Overflow if its sums are beyond numbers, WeakReference if no bin is valid."""
+    if result.where("bin >= 1").where(~finite(F.col("reference_amplitude")) | F.col("valid") & ~finite(F.col("h_re"))).limit(1).count():
+        raise RecordingError("Overflow", ERRORS["Overflow"])
     if not result.where("valid").limit(1).count():
         raise RecordingError("WeakReference", ERRORS["WeakReference"])
     return result

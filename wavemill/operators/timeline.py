@@ -20,20 +20,30 @@ def monotonic(long: DataFrame) -> DataFrame:
     """Replaces t by strictly increasing times, in closed form.
 
     Where t stands still or runs back, all that follows moves on so that the row comes one
-    last positive step after its predecessor.  Exact up to rounding unless equal times follow
-    a backward jump; ``monotonic_exact`` repeats the recurrence digit by digit."""
-    rows = neighbours(long, {"__before": ("t", -1)}).withColumn("__d", F.col("t") - F.col("__before"))
+    last positive step after its predecessor.  Times that aren't finite become null and leave
+    no trace.  Exact up to rounding unless equal times follow a backward jump;
+    ``monotonic_exact`` repeats the recurrence digit by digit."""
+    if not long.where(~finite(F.col("t"))).limit(1).count():
+        return _monotonic(long, "sample").select(*long.columns)
+    # Only finite times count: they are numbered by themselves, the others join again at the end.
+    rows = running_sum(long, {"__place": finite(F.col("t")).cast("long")})
+    there = _monotonic(rows.where(finite(F.col("t"))), "__place").select(*long.columns)
+    return there.unionByName(long.where(~finite(F.col("t"))).withColumn("t", F.lit(None).cast("double")))
+
+
+def _monotonic(long: DataFrame, order: str) -> DataFrame:
+    rows = neighbours(long, {"__before": ("t", -1)}, order=order).withColumn("__d", F.col("t") - F.col("__before"))
     # The last positive step before a row: within its block, else of the blocks before.
-    rows = rows.withColumn("__block", F.floor(F.col("sample") / BLOCK)).withColumn("__up", F.when(F.col("__d") > 0, F.col("__d")))
-    held = rows.where("__up IS NOT NULL").groupBy(*SERIES, "__block").agg(F.max(F.struct("sample", "__up")).alias("__l"))
+    rows = rows.withColumn("__block", F.floor(F.col(order) / BLOCK)).withColumn("__up", F.when(F.col("__d") > 0, F.col("__d")))
+    held = rows.where("__up IS NOT NULL").groupBy(*SERIES, "__block").agg(F.max(F.struct(order, "__up")).alias("__l"))
     blocks = rows.select(*SERIES, "__block").distinct().join(held, [*SERIES, "__block"], "left")
     past = Window.partitionBy(*SERIES).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(*SERIES, "__block", F.last("__l.__up", ignorenulls=True).over(past).alias("__carried"))
-    ahead = Window.partitionBy(*SERIES, "__block").orderBy("sample").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*SERIES, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(settle(blocks), [*SERIES, "__block"]).withColumn("__step", F.coalesce(F.last("__up", ignorenulls=True).over(ahead), "__carried", F.lit(FIRST_STEP)))
     shift = F.when(F.col("__d") <= 0, F.col("__step") - F.col("__d")).otherwise(0.0)
-    rows = running_sum(rows, {"__shift": shift})
-    return rows.withColumn("t", F.col("t") + F.col("__shift")).select(*long.columns)
+    rows = running_sum(rows.drop("__block"), {"__shift": shift}, order=order)
+    return rows.withColumn("t", F.col("t") + F.col("__shift"))
 
 
 def advance(times: np.ndarray) -> np.ndarray:
@@ -79,7 +89,8 @@ def _median_at(n):
 
 
 def cadence(long: DataFrame) -> DataFrame:
-    """Typical sample spacing of each channel: (keys, cadence, n_intervals).
+    """Typical sample spacing of each channel: (keys, cadence, n_intervals), from the intervals
+    that are finite and positive; a channel without any has no row.
 
     Intervals are sorted.  They are cut where one is more than 4 times its predecessor; or
     already where one is more than 1.5 times its predecessor, if every interval is within
@@ -87,7 +98,7 @@ def cadence(long: DataFrame) -> DataFrame:
     intervals at least, and its median is the cadence.  Equal intervals count as one row
     with a weight, so a clocked recording of any length is a handful of rows here."""
     w = Window.partitionBy(*SERIES).orderBy("dt")
-    d = intervals(long).where("dt IS NOT NULL").groupBy(*SERIES, "dt").agg(F.count("*").alias("c"))
+    d = intervals(long).where(finite(F.col("dt")) & (F.col("dt") > 0)).groupBy(*SERIES, "dt").agg(F.count("*").alias("c"))
     d = d.withColumn("i", F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("r", F.col("dt") / F.lag("dt").over(w))
     whole = Window.partitionBy(*SERIES)
     far, near = F.col("r") > 4, F.col("r") > GAP_FACTOR
@@ -174,12 +185,25 @@ def stitched(long: DataFrame) -> DataFrame:
 
 
 def display_to_time(places: DataFrame, segs: DataFrame) -> DataFrame:
-    """Times of (keys, display): within a segment its own axis; between two, in proportion."""
-    w = Window.partitionBy(*SERIES).orderBy("segment")
+    """Times of (keys, display): within a segment its own axis; between two, in proportion.
+
+    The axis of a channel is cut into as many equal parts as it has segments; a place meets
+    only the segments that reach into its part."""
+    w, whole = Window.partitionBy(*SERIES).orderBy("segment"), Window.partitionBy(*SERIES)
     s = segs.withColumn("display_end", F.col("display_start") + F.col("t_end") - F.col("t_start")).withColumn("t_next", F.lead("t_start").over(w)).withColumn("display_next", F.lead("display_start").over(w))
-    first = F.col("segment") == F.min("segment").over(Window.partitionBy(*SERIES))
-    s = s.withColumn("lo", F.when(first, float("-inf")).otherwise(F.col("display_start"))).withColumn("hi", F.coalesce("display_next", F.lit(float("inf"))))
-    rows = places.join(s, list(SERIES)).where((F.col("display") >= F.col("lo")) & (F.col("display") < F.col("hi")))
+    s = s.withColumn("__n", F.count("*").over(whole)).withColumn("__from", F.min("display_start").over(whole))
+    width = F.greatest(F.max("display_end").over(whole) - F.col("__from"), F.lit(1e-300)) / F.col("__n")
+    first = F.col("display_start") == F.col("__from")
+    s = s.withColumn("__width", width).withColumn("lo", F.when(first, float("-inf")).otherwise(F.col("display_start"))).withColumn("hi", F.coalesce("display_next", F.lit(float("inf"))))
+    s = settle(s)
+
+    def part(x):
+        return F.least(F.greatest(F.floor(F.least(F.greatest((x - F.col("__from")) / F.col("__width"), F.lit(0.0)), F.col("__n"))), F.lit(0)), F.col("__n") - 1)
+
+    axis = s.groupBy(*SERIES).agg(F.first("__n").alias("__n"), F.first("__from").alias("__from"), F.first("__width").alias("__width"))
+    dealt = places.join(axis, list(SERIES)).withColumn("__part", part(F.col("display"))).drop("__n", "__from", "__width")
+    reach = s.withColumn("__part", F.explode(F.sequence(part(F.col("lo")), part(F.col("hi"))))).drop("__n", "__from", "__width", *(set(places.columns) & set(s.columns) - set(SERIES)))
+    rows = dealt.join(reach, [*SERIES, "__part"]).where((F.col("display") >= F.col("lo")) & (F.col("display") < F.col("hi")))
     inside = F.least(F.greatest(F.col("display") - F.col("display_start"), F.lit(0.0)), F.col("t_end") - F.col("t_start"))
     between = F.col("t_end") + (F.col("display") - F.col("display_end")) / (F.col("display_next") - F.col("display_end")) * (F.col("t_next") - F.col("t_end"))
     t = F.when((F.col("display") > F.col("display_end")) & F.col("t_next").isNotNull(), between).otherwise(F.col("t_start") + inside)

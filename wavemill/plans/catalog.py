@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import formula, scalars
 from wavemill.operators import annotations, filters, frf, overview, spectrum, stats, timeline
+from wavemill.operators.blocks import neighbours
 from wavemill.recording import from_rows, long_to_wide, wide_to_long
 from wavemill.scratch import shared_dir
 from wavemill.sources import export, recording_file
@@ -98,7 +99,7 @@ DT = "iv AS (SELECT *, lag(t) OVER (PARTITION BY channel ORDER BY sample) AS t_b
 CADENCE = (
     DT
     + """,
-d AS (SELECT channel, dt, row_number() OVER (PARTITION BY channel ORDER BY dt) - 1 AS i, dt / lag(dt) OVER (PARTITION BY channel ORDER BY dt) AS r FROM iv WHERE dt IS NOT NULL),
+d AS (SELECT channel, dt, row_number() OVER (PARTITION BY channel ORDER BY dt) - 1 AS i, dt / lag(dt) OVER (PARTITION BY channel ORDER BY dt) AS r FROM iv WHERE dt > 0),
 c AS (SELECT channel, count(*) AS n, min(i) FILTER (i >= 2 AND r > 4) AS i4, min(i) FILTER (i >= 2 AND r > 1.5) AS i15 FROM d GROUP BY channel),
 b AS (SELECT channel, median(dt) FILTER (i < i15) AS base FROM d JOIN c USING (channel) GROUP BY channel),
 f AS (SELECT channel, bool_and(coalesce(dt / base >= 0.95 AND abs(dt / base - round(dt / base)) <= 0.05, false)) AS fits FROM d JOIN b USING (channel) GROUP BY channel),
@@ -173,6 +174,36 @@ def monotonic_events(spark, sf_dir):
 ORACLE_SQL["monotonic_exact_events"] = ORACLE_SQL["monotonic_events"]
 
 
+def broken_axis(ev: DataFrame) -> DataFrame:
+    """Every ninth time repeats the one before it; every fiftieth is missing."""
+    rows = neighbours(ev, {"t_before": ("t", -1)})
+    t = F.when(F.col("sample") % 50 == 49, F.lit(None)).when((F.col("sample") % 9 == 8), F.col("t_before")).otherwise(F.col("t"))
+    return rows.withColumn("t", t).drop("t_before")
+
+
+BROKEN = f"""{EV.replace('ev AS', 'raw AS', 1)}, ev AS (SELECT * REPLACE (CASE WHEN sample % 50 = 49 THEN NULL WHEN sample % 9 = 8 THEN lag(t) OVER (PARTITION BY channel ORDER BY sample) ELSE t END AS t) FROM raw)"""
+
+
+@query(f"""WITH {BROKEN}, x AS (SELECT * FROM ev WHERE t IS NOT NULL),
+d AS (SELECT *, t - lag(t) OVER (PARTITION BY channel ORDER BY sample) AS d FROM x),
+s AS (SELECT *, coalesce(last_value(CASE WHEN d > 0 THEN d END IGNORE NULLS) OVER (PARTITION BY channel ORDER BY sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e-6) AS st FROM d),
+m AS (SELECT channel, sample, t + sum(CASE WHEN d <= 0 THEN st - d ELSE 0 END) OVER (PARTITION BY channel ORDER BY sample ROWS UNBOUNDED PRECEDING) AS moved FROM s)
+SELECT recording_id, channel, sample, {R('moved', 't')}, {R('value')} FROM ev LEFT JOIN m USING (channel, sample)""")
+def monotonic_missing_times(spark, sf_dir):
+    return timeline.monotonic(broken_axis(events(spark, sf_dir)))
+
+
+@query(f"WITH {BROKEN}, {CADENCE} SELECT 'r' AS recording_id, channel, {R('cadence')}, n_intervals FROM cad")
+def cadence_repeated_times(spark, sf_dir):
+    return timeline.cadence(broken_axis(events(spark, sf_dir)))
+
+
+@query(f"""WITH {BROKEN}, {CADENCE} SELECT iv.recording_id, channel, count(*) AS n, {R('min(t)', 't_start')}, {R('max(t)', 't_end')}, {R('any_value(cadence)', 'cadence')},
+coalesce(bool_or(dt > 1.5 * cadence), false) AS has_gaps, CASE WHEN count(*) < 4 THEN 'TooShort' WHEN bool_or(t IS NULL OR dt <= 0) THEN 'InvalidTime' ELSE 'OK' END AS status FROM iv JOIN cad USING (channel) GROUP BY ALL""")
+def timeline_report_repeated_times(spark, sf_dir):
+    return timeline.timeline_report(broken_axis(events(spark, sf_dir)))
+
+
 @query()
 def monotonic_exact_events(spark, sf_dir):
     return timeline.monotonic_exact(reset_axis(events(spark, sf_dir)))
@@ -217,10 +248,10 @@ def stitched_events(spark, sf_dir):
     return timeline.stitched(events(spark, sf_dir))
 
 
-@query(f"""WITH {EV}, {CADENCE}, {GAPS}, {SEGS} SELECT sg.recording_id, channel, sample, {R('(display_start + t - t_start) * pi()', 'pi_display')}, {R('t * pi()', 'pi_t')} FROM sg JOIN sd USING (channel, segment) WHERE sample % 7 = 0""", 4)
+@query(f"""WITH {EV}, {CADENCE}, {GAPS}, {SEGS} SELECT sg.recording_id, channel, sample, {R('(display_start + t - t_start) * pi()', 'pi_display')}, {R('t * pi()', 'pi_t')} FROM sg JOIN sd USING (channel, segment)""", 4)
 def display_to_time_events(spark, sf_dir):
     ev = events(spark, sf_dir)
-    places = timeline.stitched(ev).where("sample % 7 = 0").select("recording_id", "channel", "sample", "display")
+    places = timeline.stitched(ev).select("recording_id", "channel", "sample", "display")
     # Times pi, as times are whole microseconds and would round at ties.
     back = timeline.display_to_time(places, timeline.segments(ev))
     return back.select("recording_id", "channel", "sample", (F.col("display") * F.pi()).alias("pi_display"), (F.col("t") * F.pi()).alias("pi_t"))
@@ -347,9 +378,9 @@ def fft_peaks_hourly_value(spark, sf_dir):
     return spectrum.find_peaks(spectrum.amplitude_spectrum(hourly(spark, sf_dir)), 3)
 
 
-@query(HOURLY_DFT + f" SELECT recording_id, channel, bin, {R('freq')}, {R('amp')} FROM sp WHERE bin <= 40")
+@query(HOURLY_DFT + f" SELECT recording_id, channel, bin, {R('freq')}, {R('amp')} FROM sp")
 def discrete_transform_hourly(spark, sf_dir):
-    return spectrum.discrete_transform(spectrum.even_samples(hourly(spark, sf_dir)), 40)
+    return spectrum.discrete_transform(spectrum.even_samples(hourly(spark, sf_dir)))
 
 
 @query(dft_sql(f"WITH {WAVES}", "64", "0.001") + f" SELECT recording_id, channel, bin, {R('freq')}, {R('amp')} FROM sp")
@@ -443,16 +474,27 @@ def frf_rows_daily(spark, sf_dir):
     return rows.select((F.col("frequency_hz") * 1e6).alias("micro_hz"), "dynamic_coefficient", "valid", "response_index", "response_name")
 
 
-def direct_source(spark, sf_dir):
-    return daily(spark, sf_dir).where("sample < 301")
+@query(frf_sql(None) + " " + FRF_ROWS.replace("@L", "(SELECT count(*) FROM w)"), 4)
+def frf_direct_daily(spark, sf_dir):
+    return _frf(frf.analyze_frf(daily(spark, sf_dir), ["A", "R"], ["N"], frf.FrfOptions(estimator="direct")))
 
 
-@query(frf_sql(None).replace("r FROM dd)", "r FROM dd QUALIFY sample < 301)", 1) + " " + FRF_ROWS.replace("@L", "301"), 5)
-def frf_direct_daily(spark, sf_dir):
-    return _frf(frf.analyze_frf(direct_source(spark, sf_dir), ["A", "R"], ["N"], frf.FrfOptions(estimator="direct")))
+ORACLE_SQL["frf_direct_daily"] = ORACLE_SQL["frf_direct_daily"].replace(", 6)", ", 4)")
+
 
+def two_recordings(spark, sf_dir):
+    """The daily sums as two recordings: whole, and the response halved."""
+    long = daily(spark, sf_dir)
+    half = long.withColumn("recording_id", F.lit("half")).withColumn("value", F.when(F.col("channel") == "N", F.col("value") / 2).otherwise(F.col("value")))
+    return long.unionByName(half)
+
+
+@query(frf_sql(64) + f", bo AS ({FRF_ROWS.replace('@L', '64')}) SELECT * FROM bo UNION ALL SELECT * REPLACE ('half' AS recording_id, round(h_re / 2, 5) + 0.0 AS h_re, round(h_im / 2, 5) + 0.0 AS h_im, round(dynamic_coefficient / 2, 5) AS dynamic_coefficient) FROM bo", 5)
+def frf_two_recordings(spark, sf_dir):
+    return _frf(frf.analyze_frf(two_recordings(spark, sf_dir), ["A", "R"], ["N"], frf.FrfOptions(segment_length=64)))
 
-ORACLE_SQL["frf_direct_daily"] = ORACLE_SQL["frf_direct_daily"].replace(", 6)", ", 5)")
+
+ORACLE_SQL["frf_two_recordings"] = ORACLE_SQL["frf_two_recordings"].replace("round(CASE WHEN valid THEN re / sxx END, 6)", "CASE WHEN valid THEN re / sxx END").replace("round(CASE WHEN valid THEN im / sxx END, 6)", "CASE WHEN valid THEN im / sxx END").replace("round(CASE WHEN valid THEN sqrt(re * re + im * im) / sxx END, 6)", "CASE WHEN valid THEN sqrt(re * re + im * im) / sxx END").replace("SELECT * FROM bo UNION ALL", "SELECT * REPLACE (round(h_re, 5) + 0.0 AS h_re, round(h_im, 5) + 0.0 AS h_im, round(dynamic_coefficient, 5) AS dynamic_coefficient) FROM bo UNION ALL").replace(", 6)", ", 5)")
 
 
 # Filters -----------------------------------------------------------------------------------
@@ -512,22 +554,22 @@ def recording_file_round_trip_daily(spark, sf_dir):
     return long.select("channel", "sample", "t", "value")
 
 
-@query(HOURLY_DFT + f" SELECT channel, bin, {R('amp')} FROM sp WHERE bin <= 100")
+@query(HOURLY_DFT + f" SELECT channel, bin, {R('amp')} FROM sp")
 def stored_spectrum_round_trip_hourly(spark, sf_dir):
     """Amplitudes written to a spectrum file and imported again without a transform."""
     path = shared_file(spark, "spectrum.csv")
     export.write_spectrum_file(spectrum.amplitude_spectrum(hourly(spark, sf_dir)), path, ["hourly"])
-    return spectrum.import_spectrum(recording_file.read_recording(spark, path)).where("bin <= 100").select("channel", "bin", "amp")
+    return spectrum.import_spectrum(recording_file.read_recording(spark, path)).select("channel", "bin", "amp")
 
 
 # Annotations -------------------------------------------------------------------------------
 
 def points(spark, sf_dir):
-    o = tbl(spark, sf_dir, "orders").where("o_custkey <= 40")
+    o = tbl(spark, sf_dir, "orders")
     return o.select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("idx"), F.datediff("o_orderdate", F.lit("1995-01-01")).cast("double").alias("x"), F.sqrt("o_totalprice").alias("y"))
 
 
-POINTS = "pt AS (SELECT o_custkey AS grp, o_orderkey AS idx, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE))::DOUBLE AS x, sqrt(o_totalprice) AS y FROM orders WHERE o_custkey <= 40)"
+POINTS = "pt AS (SELECT o_custkey AS grp, o_orderkey AS idx, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE))::DOUBLE AS x, sqrt(o_totalprice) AS y FROM orders)"
 
 
 @query(f"""WITH {POINTS}, dl AS (SELECT *, x - lag(x) OVER (PARTITION BY grp ORDER BY idx) AS dx, y - lag(y) OVER (PARTITION BY grp ORDER BY idx) AS dy FROM pt)

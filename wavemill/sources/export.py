@@ -168,9 +168,22 @@ def result_key(recipe: object) -> str:
     return hashlib.sha256(repr(recipe).encode()).hexdigest()[:32]
 
 
-def store_result(df: DataFrame, folder: str, recipe: object) -> DataFrame:
-    """The result of a recipe, written once as Parquet and read back ever after."""
-    spark, path = df.sparkSession, f"{folder}/{result_key(recipe)}"
+def source_stamp(spark, paths: Sequence[str]) -> list[tuple[str, int, int]]:
+    """(path, bytes, time of change) of each source, by whatever file system holds it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((str(status.getPath()), status.getLen(), status.getModificationTime()))
+    return out
+
+
+def store_result(df: DataFrame, folder: str, recipe: object, sources: Sequence[str] = ()) -> DataFrame:
+    """The result of a recipe over source files, written once as Parquet and read back for as
+    long as none of the sources changes."""
+    spark = df.sparkSession
+    path = f"{folder}/{result_key((recipe, source_stamp(spark, sources)))}"
     return spark.read.schema(df.schema).parquet(path) if _exists(spark, path) else _write(df, path)
 
 

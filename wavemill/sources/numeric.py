@@ -11,8 +11,9 @@ METADATA_KEYS = frozenset({
     "Operator", "Date", "Time", "Channels", "Samples", "Y_Unit_Label", "X_Dimension", "X0", "Delta_X",
 })
 AXIS_LABELS = frozenset({"Time", "X_Value", "X", "Comment"})
-HEX = re.compile(r"[+-]?0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)([pP][+-]?\d+)?")
-DECIMAL = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?")
+HEX = re.compile(r"[+-]?0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)([pP][+-]?[0-9]+)?")
+DECIMAL = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
+BLANKS = " \t\r\n\f\v"
 WORD = re.compile(r"[+-]?(nan(\([A-Za-z0-9_]*\))?|inf(inity)?)", re.IGNORECASE)
 
 
@@ -70,6 +71,8 @@ def split_csv(record: str) -> list[str] | None:
                     at += 1
                     continue
                 break
+            while at < n and record[at] in BLANKS:
+                at += 1
             if at < n and record[at] != ",":
                 raise ValueError("malformed CSV record: text after a closing quote")
             fields.append("".join(parts).strip(" \t\r\n\f\v"))

@@ -238,6 +238,18 @@ def parse_stats(path: str) -> dict[str, int]:
     return {"header_markers": i.header_markers, "data_sections": i.data_sections, "data_rows": i.data_rows, "max_columns": i.max_columns}
 
 
+def recording_ids(paths: list[str]) -> dict[str, str]:
+    """An id for each path: the file's name, or as many folders of its path as tell files of one name apart."""
+    parts = {p: os.path.abspath(p).split(os.sep) for p in paths}
+    out = {}
+    for p, own in parts.items():
+        for k in range(1, len(own) + 1):
+            if sum(other[-k:] == own[-k:] for other in parts.values()) == 1:
+                break
+        out[p] = "/".join(own[-k:])
+    return out
+
+
 @dataclass
 class Stretch(InputPartition):
     path: str
@@ -264,9 +276,8 @@ class RecordingReader(DataSourceReader):
         self.monotonic = options.get("monotonic", "true").lower() == "true"
 
     def partitions(self):
-        out = []
-        for path in self.paths:
-            path = path.removeprefix("file://")
+        out, names = [], recording_ids([p.removeprefix("file://") for p in self.paths])
+        for path in names:
             index = scan(path, self.monotonic, int(self.options.get("checkpoint", CHECKPOINT)))
             if not index.data_rows:
                 raise RecordingError("TooShort", f"no numeric data in {path}")
@@ -284,7 +295,7 @@ class RecordingReader(DataSourceReader):
                 after = places[k + 1][2] if k + 1 < len(places) else math.inf
                 # Times increase, so a stretch that ends before the window or starts after it is skipped.
                 if rows and not (self.monotonic and (after < self.lo or before > self.hi)):
-                    out.append(Stretch(path, os.path.basename(path), byte, row, rows, clock, markers, columns, index.stamp, self.lo, self.hi, index.frequency_axis))
+                    out.append(Stretch(path, names[path], byte, row, rows, clock, markers, columns, index.stamp, self.lo, self.hi, index.frequency_axis))
         return out
 
     def read(self, part: Stretch):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wavemill.operators.filters import RESET_STEPS, FilterSettings, Linear, cascade
-from wavemill.recording import LONG_SCHEMA, SERIES
+from wavemill.recording import LONG_SCHEMA, SERIES, finite
 
 
 def _channel_rows(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -31,7 +31,8 @@ def filter_stream(long: DataFrame, settings: FilterSettings) -> DataFrame:
         return long
     sections, subtract = cascade(settings)
     if not sections:
-        return long
+        # Nothing is left of an open band-stop, as in the batch form.
+        return long.withColumn("value", F.when(finite(F.col("value")) & finite(F.col("t")), 0.0).otherwise(F.col("value"))) if subtract else long
     linear, n, limit = Linear(sections), 2 * len(sections), RESET_STEPS * settings.step
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
