@@ -133,3 +133,61 @@ def test_command_line(spark, tmp_path):
     assert run([p, "--start", "5", "--end", "6"], spark, out) == 1
     assert run([p, "--peaks", "0"], spark, out) == 2
     assert run([p, "--channels", "3"], spark, out) == 1
+
+
+def test_ranges_of_bytes_give_the_index_of_one_pass(spark, tmp_path):
+    from wavemill.sources import recording_file as R
+
+    def lines(times):
+        return "".join(f"{t}\t{i}\t{'' if i % 7 else -i}\n" for i, t in enumerate(times))
+
+    even = [i / 100 for i in range(3000)]
+    files = {
+        "plain.txt": "Time\tA\tB\n" + lines(even),
+        "dated.lvm": "Date\t2024/05/01\t\nTime\t10:00:00\t\nX0\t5\t\n***End_of_Header***\nX_Value\tA\tB\n" + lines(even),
+        "back.txt": lines(even[:2000] + even[:1000]),
+        "section.lvm": "X_Value\tA\tB\n" + lines(even[:2000]) + "***End_of_Header***\n" + lines(even[:500]),
+        "comma.csv": "Time,A,B\n# a note\n" + lines(even).replace("\t", ","),
+        "quoted.csv": 'Time,"A, B",B\n' + lines(even[:2500]).replace("\t", ",") + '30,"4",5\n31,"6\n",7\n' + lines([40, 41]).replace("\t", ","),
+        "late.txt": lines(even[:2500]) + "30\t1\t2\t3\n# end\n",
+    }
+    simple = {"plain.txt", "dated.lvm", "comma.csv", "late.txt"}
+    paths = []
+    for name, text in files.items():
+        paths.append(str(tmp_path / name))
+        (tmp_path / name).write_text(text)
+    for monotonic in (True, False):
+        folder = str(tmp_path / f"index{monotonic}")
+        R.make_indexes(spark, paths, folder, monotonic, 100, width=4000)
+        for p in paths:
+            got, one = R.load_index(folder, p, monotonic, 100), R.scan(p, monotonic, 100)
+            assert got.counts() == one.counts() and got.channels() == one.channels() and got.bounds == one.bounds and sorted(got.comments) == sorted(one.comments)
+            key = lambda i: [(b, r, t, c.offset, c.shift, c.placed if monotonic else None, m) for b, r, t, c, m in i.places]
+            name = p.rsplit("/", 1)[1]
+            if name not in simple:
+                assert key(got) == key(one), name
+            # Ranges begin places of their own; each place is one where a pass may go on.
+            rows = [(r["sample"], r["t"], r["value"]) for r in R.read_recording(spark, p, monotonic=monotonic, checkpoint=100, index=folder).where("channel = 'A' OR channel LIKE 'Channel%1' OR channel LIKE 'A%'").orderBy("sample").collect()]
+            seen = []
+            R.scan(p, monotonic, 100, lambda raw, t, values: seen.append((len(seen), t, values[1])))
+            assert rows == seen, name
+        before = R.stamp(paths[0])
+        R.make_indexes(spark, paths, folder, monotonic, 100, width=4000)  # nothing is missing
+        assert R.stamp(paths[0]) == before
+
+
+def test_files_of_one_name_are_recordings_of_their_own(spark, tmp_path):
+    from wavemill.sources import recording_file as R
+
+    for folder in "ab":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text("Time,A\n" + "".join(f"{i},{i}\n" for i in range(5)))
+    got = R.read_recording(spark, str(tmp_path / "a" / "x.csv"), str(tmp_path / "b" / "x.csv")).groupBy("recording_id").count().collect()
+    assert {(r["recording_id"], r["count"]) for r in got} == {("a/x.csv", 5), ("b/x.csv", 5)}
+
+
+def test_white_space_after_a_quote_and_other_digits():
+    from wavemill.sources.numeric import parse_cell, split_csv
+
+    assert split_csv('"a" ,1') == ["a", "1"] and split_csv('"a"\t') == ["a"]
+    assert parse_cell("\u0663") == (None, False)

@@ -383,7 +383,10 @@ def discrete_transform_hourly(spark, sf_dir):
     return spectrum.discrete_transform(spectrum.even_samples(hourly(spark, sf_dir)))
 
 
-@query(dft_sql(f"WITH {WAVES}", "64", "0.001") + f" SELECT recording_id, channel, bin, {R('freq')}, {R('amp')} FROM sp")
+DFT_WAVES = dft_sql(f"WITH {WAVES}", "64", "0.001")
+
+
+@query(DFT_WAVES + f" SELECT recording_id, channel, bin, {R('freq')}, {R('amp')} FROM sp")
 def spectrum_waveforms(spark, sf_dir):
     return spectrum.amplitude_spectrum(waveforms(spark, sf_dir))
 
@@ -540,7 +543,10 @@ for _name, _settings in FILTERS.items():
 
 def shared_file(spark, name: str) -> str:
     """A new file's path in the shared folder, which every node sees as a file system."""
-    folder = f"{shared_dir(spark).removeprefix('file://')}/wavemill-{uuid.uuid4().hex}"
+    shared = shared_dir(spark)
+    if not shared.startswith(("file:/", "/")):
+        raise RuntimeError(f"{shared} is not a folder that files can be opened in; single files need a shared file system")
+    folder = f"{shared.removeprefix('file://')}/wavemill-{uuid.uuid4().hex}"
     os.makedirs(folder)
     return f"{folder}/{name}"
 

@@ -22,7 +22,7 @@ from wavemill.operators import spectrum, stats
 from wavemill.operators.filters import FilterSettings, filter_channels
 from wavemill.recording import RecordingError
 from wavemill.sources import export
-from wavemill.sources.recording_file import parse_stats, read_recording, scan
+from wavemill.sources.recording_file import indexed, read_recording
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,7 @@ def run(argv: Sequence[str], spark: SparkSession | None = None, out=sys.stdout)
         return 2 if e.code else 0
     spark = spark or SparkSession.builder.appName("wavemill").getOrCreate()
     try:
-        index = scan(a.file, a.monotonic)
+        index = indexed(spark, a.file, a.monotonic)
         if not index.data_rows:
             raise RecordingError("TooShort", "no numeric data")
         kept = index.channels(a.keep_dup_time)
@@ -114,7 +114,7 @@ def run(argv: Sequence[str], spark: SparkSession | None = None, out=sys.stdout)
         long = long.withColumn("sample", F.col("sample") - first).cache()
         axis = "Frequency" if index.frequency_axis else "Time"
         if a.info or not (a.stats or a.head is not None or a.csv or a.fft or a.fft_csv):
-            for k, v in (parse_stats(a.file) | stats.recording_info(long).first().asDict()).items():
+            for k, v in (index.counts() | stats.recording_info(long).first().asDict()).items():
                 print(f"{k}: {export.number(v, 12) if isinstance(v, float) else v}", file=out)
         if a.stats:
             got = {r["channel"]: r for r in stats.channel_stats(long).collect()}

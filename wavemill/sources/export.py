@@ -81,9 +81,13 @@ def atomic_write(path: str, parts: Iterable[str], source: str | None = None) ->
         raise
 
 
-def table_rows(wide: DataFrame, channels: Sequence[str], axis: str = "t") -> DataFrame:
-    """(axis, channels) in the order of the axis, one partition after another."""
-    return wide.select(axis, *(F.col(f"`{c}`") for c in channels)).orderBy(axis)
+def make_folder(path: str) -> None:
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+
+
+def table_rows(wide: DataFrame, channels: Sequence[str], axis: str = "t", order: str | None = None) -> DataFrame:
+    """(axis, channels) in the order of the axis (or of ``order``), one partition after another."""
+    return wide.orderBy(order or axis).select(axis, *(F.col(f"`{c}`") for c in channels))
 
 
 def write_text(long: DataFrame, path: str, channels: Sequence[str], delimiter: str = ",") -> None:
@@ -99,10 +103,10 @@ def _text(header: Sequence[str], rows, delimiter: str, newline: str, digits: int
         yield delimiter.join(number(v, digits) for v in row) + newline
 
 
-def write_file(long: DataFrame, path: str, channels: Sequence[str], metadata: Mapping | None = None, digits: int = 17, source: str | None = None) -> None:
+def write_file(long: DataFrame, path: str, channels: Sequence[str], metadata: Mapping | None = None, digits: int = 17, source: str | None = None, order: str = "t") -> None:
     """One CSV file (name in .csv) or tab-separated file: Time and the channels."""
     comma = path.lower().endswith(".csv")
-    rows = table_rows(long_to_wide(long, channels), channels).toLocalIterator()
+    rows = table_rows(long_to_wide(long, channels), channels, "t", order).toLocalIterator()
     newline = "\n" if comma else "\r\n"
     head = (line + newline for line in metadata_lines(metadata or {}))
     atomic_write(path, (p for part in (head, _text(["Time", *channels], rows, "," if comma else "\t", newline, digits)) for p in part), source)

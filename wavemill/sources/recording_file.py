@@ -2,30 +2,40 @@
 
 LabVIEW measurement files (.lvm), tab-separated text (.txt) and comma-separated text (.csv)
 hold one time column and any number of channels.  A file's sections, clock and labels are a
-state machine over its lines, so planning makes one pass that notes the state at every
-CHECKPOINT rows; each stretch between notes is a partition that any executor reads alone.
+state machine over its lines, so one pass notes the state at every CHECKPOINT rows (the index);
+each stretch between notes is a partition that any executor reads alone.  ``read_recording``
+makes the pass in a Spark job: a task reads RANGE bytes, and ranges of rows whose times
+increase follow from each other by a row of facts; only files with sections or breaks in
+their body are read through by one task.  Indexes are stored in the shared folder and hold
+for as long as their file keeps its size and time.  Without an index the driver makes the pass.
 Paths must be readable on every node (a shared file system).
 
 Long rows: recording_id, channel, sample, t, value (see wavemill.recording), and raw_t.
 Options: ``path`` (several joined by commas), ``start``/``end`` (seconds, inclusive),
 ``monotonic`` (default true: times never stand still), ``channels`` (1-based, by commas),
-``keep_duplicate_time`` (default false), ``checkpoint`` (rows for each partition).
+``keep_duplicate_time`` (default false), ``checkpoint`` (rows for each partition), ``index`` (folder
+of stored indexes).
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import os
 import time
-from dataclasses import dataclass, field, replace
+import uuid
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from wavemill.recording import RecordingError
+from wavemill.scratch import shared_dir
 from wavemill.sources.numeric import METADATA_KEYS, channel_label, parse_cell, split_csv, split_tabs
 
 SCHEMA = "recording_id string, channel string, sample long, t double, raw_t double, value double"
 CHECKPOINT = 65_536
+RANGE = 64 << 20
 BOM = "\ufeff"
 
 
@@ -85,6 +95,12 @@ class Index:
     bounds: tuple[float, float] | None = None
     places: list[tuple[int, int, float, Clock, int]] = field(default_factory=list)  # byte, row, t, clock, header markers
     stamp: tuple[int, int] = (0, 0)
+    broken: bool = False  # a body that isn't rows alone
+    end: int = 0  # the byte the pass has come to
+    clock: Clock | None = None
+
+    def counts(self) -> dict[str, int]:
+        return {k: getattr(self, k) for k in ("header_markers", "data_sections", "data_rows", "max_columns")}
 
     def channels(self, keep_duplicate_time: bool = False) -> list[tuple[int, str]]:
         """(physical column, name) of the channels kept."""
@@ -146,16 +162,22 @@ def _one(record):
     return [] if fields is None else [fields]
 
 
-def scan(path: str, monotonic: bool = True, checkpoint: int = CHECKPOINT, on_row=None, start: int = 0, clock: Clock | None = None, markers: int = 0, labelled: bool = False, rows: int | None = None) -> Index:
+def scan(path: str, monotonic: bool = True, checkpoint: int = CHECKPOINT, on_row=None, start: int = 0, clock: Clock | None = None, markers: int = 0, labelled: bool = False, rows: int | None = None, until: int | None = None, notes: bool = True) -> Index:
     """One pass over a file, or from a noted place on over so many rows.
 
     ``on_row(raw_t, t, values)`` gets every row that counts: two numbers or more, the first
-    of them finite."""
+    of them finite.  ``until``: lines that start before that byte; ``notes``: whether to keep
+    facts for an index."""
     index, clock = Index(header_markers=markers, stamp=stamp(path)), clock or Clock(monotonic=monotonic)
     pending: dict[str, str] = {}
     metadata_seen, section_has_data = False, False
     with open(path, "rb") as f:
+        begin = start
         for end, line, fields in _records(path, f, start):
+            if until is not None and begin >= until:
+                break
+            begin = index.end = end
+            index.broken = index.broken or '"' in line and (labelled or index.data_rows > 0)
             if fields is None:
                 if not line:
                     continue
@@ -163,6 +185,7 @@ def scan(path: str, monotonic: bool = True, checkpoint: int = CHECKPOINT, on_row
                     if comment := line[1:].strip():
                         index.comments.append(comment)
                     continue
+                index.broken = index.broken or line.startswith("***")
                 if line.startswith("***End_of_Header***"):
                     index.header_markers += 1
                     section_has_data = metadata_seen = False
@@ -183,6 +206,7 @@ def scan(path: str, monotonic: bool = True, checkpoint: int = CHECKPOINT, on_row
                 index.labels = fields
                 continue
             if tabbed and (key := line.split("\t", 1)[0].strip()) in METADATA_KEYS:
+                index.broken = True
                 metadata_seen = metadata_seen or index.header_markers > 0
                 value = (line.split("\t") + [""])[1].strip()
                 if key in ("Date", "Time") and value:
@@ -207,7 +231,7 @@ def scan(path: str, monotonic: bool = True, checkpoint: int = CHECKPOINT, on_row
             if on_row:
                 if on_row(raw, t, values):
                     break
-            if rows is not None:
+            if not notes:
                 if index.data_rows == rows:
                     break
                 continue
@@ -222,6 +246,9 @@ def scan(path: str, monotonic: bool = True, checkpoint: int = CHECKPOINT, on_row
                     index.repeats_time[c] = index.repeats_time[c] and _close(v, raw)
             if index.data_rows % checkpoint == 0:
                 index.places.append((end, index.data_rows, t, replace(clock), index.header_markers))
+            if index.data_rows == rows:
+                break
+    index.clock = clock
     return index
 
 
@@ -234,8 +261,7 @@ def scan_time_bounds(path: str, monotonic: bool = True) -> tuple[float, float]:
 
 
 def parse_stats(path: str) -> dict[str, int]:
-    i = scan(path)
-    return {"header_markers": i.header_markers, "data_sections": i.data_sections, "data_rows": i.data_rows, "max_columns": i.max_columns}
+    return scan(path).counts()
 
 
 def recording_ids(paths: list[str]) -> dict[str, str]:
@@ -250,6 +276,143 @@ def recording_ids(paths: list[str]) -> dict[str, str]:
     return out
 
 
+def to_json(index: Index) -> str:
+    return json.dumps(asdict(index))
+
+
+def from_json(text: str) -> Index:
+    got = json.loads(text)
+    got["places"] = [(b, r, t, Clock(**c), m) for b, r, t, c, m in got["places"]]
+    got["bounds"] = got["bounds"] and tuple(got["bounds"])
+    got["clock"] = got["clock"] and Clock(**got["clock"])
+    return Index(**got | {"stamp": tuple(got["stamp"])})
+
+
+def index_file(folder: str, path: str, monotonic: bool, checkpoint: int) -> str:
+    """Where the index of a file, as it is now, is stored."""
+    key = repr((os.path.abspath(path), stamp(path), monotonic, checkpoint))
+    return f"{folder}/{hashlib.sha256(key.encode()).hexdigest()[:40]}.json"
+
+
+def load_index(folder: str | None, path: str, monotonic: bool, checkpoint: int) -> Index | None:
+    try:
+        with open(index_file(folder, path, monotonic, checkpoint), encoding="utf-8") as f:
+            return from_json(f.read())
+    except FileNotFoundError:
+        return None
+
+
+def store_index(folder: str, path: str, index: Index, monotonic: bool, checkpoint: int) -> None:
+    os.makedirs(folder, exist_ok=True)
+    name = index_file(folder, path, monotonic, checkpoint)
+    with open(part := f"{name}.{uuid.uuid4().hex}", "w", encoding="utf-8") as f:
+        f.write(to_json(index))
+    os.replace(part, name)
+
+
+def line_start(path: str, byte: int) -> int:
+    """The first line that starts at this byte or after it."""
+    with open(path, "rb") as f:
+        f.seek(byte - 1)
+        return byte - 1 + len(f.readline())
+
+
+def scan_range(path: str, start: int, end: int, shift: float | None, checkpoint: int) -> tuple[Index, list]:
+    """Facts of the lines that start within a range of bytes, and (first, last, smallest step,
+    last step) of its times, before they are made monotonic."""
+    first = last = step = None
+    least = math.inf
+
+    def on_row(raw, t, values):
+        nonlocal first, last, step, least
+        if last is not None:
+            step = t - last
+            least = min(least, step)
+        first, last = t if first is None else first, t
+
+    begin, until = line_start(path, start), end
+    clock = Clock(shift=shift, monotonic=False)
+    try:
+        index = scan(path, False, checkpoint, on_row, begin, clock, labelled=True, until=until)
+    except RecordingError:  # a record that begins before the range
+        index = Index(broken=True)
+    return index, [first, last, least, step]
+
+
+def follow(index: Index, parts: list[tuple[Index, list]], monotonic: bool) -> Index | None:
+    """The index of a file from that of its first rows and its other ranges in order, or None if
+    their times don't simply go on."""
+    clock = index.clock
+    for part, (first, last, least, step) in parts:
+        if part.broken or part.frequency_axis:
+            return None
+        index.comments += part.comments
+        if not part.data_rows:
+            continue
+        if clock.source is not None and monotonic and not (first > clock.source and least > 0 and first + clock.offset > clock.placed):
+            return None
+        place = lambda now, step: replace(clock, source=now, placed=now + clock.offset, step=step) if monotonic else replace(clock)
+        for byte, row, t, at, _ in part.places:
+            index.places.append((byte, index.data_rows + row, t + clock.offset if monotonic else t, place(t, at.step), index.header_markers))
+        index.data_rows += part.data_rows
+        index.bounds = (index.bounds[0], last + clock.offset if monotonic else last)
+        while index.max_columns < part.max_columns:
+            index.max_columns += 1
+            index.valid.append(False)
+            index.repeats_time.append(True)
+        for c in range(part.max_columns):
+            index.valid[c] = index.valid[c] or part.valid[c]
+            index.repeats_time[c] = index.repeats_time[c] and part.repeats_time[c]
+        clock = place(last, first - clock.source if step is None and monotonic else step)
+    index.clock, index.end = clock, index.stamp[0]
+    return index
+
+
+def make_indexes(spark, paths: list[str], folder: str, monotonic: bool, checkpoint: int, width: int = RANGE) -> None:
+    """Stores the indexes that are missing: a job over ranges of bytes, and one over the files
+    that have to be read from end to end."""
+    import pyarrow as pa
+
+    paths = [p for p in dict.fromkeys(paths) if load_index(folder, p, monotonic, checkpoint) is None]
+    heads = {p: scan(p, monotonic, checkpoint, rows=checkpoint) for p in paths if os.path.getsize(p) > width}
+    ranges = []
+    for p, head in heads.items():
+        if head.data_rows == checkpoint and not head.frequency_axis:
+            cuts = [head.end, *range((head.end // width + 1) * width, head.stamp[0], width), head.stamp[0]]
+            ranges += [(p, k, a, b, head.clock.shift) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+    def facts(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            got = []
+            for r in rows:
+                index, times = scan_range(r["path"], r["start"], r["end"], r["shift"], checkpoint)
+                got.append(json.dumps([asdict(index), times]))
+            yield pa.RecordBatch.from_pydict({"path": pa.array([r["path"] for r in rows], pa.string()), "k": pa.array([r["k"] for r in rows], pa.int32()), "facts": pa.array(got, pa.string())})
+
+    done = set()
+    if ranges:
+        table = spark.createDataFrame(ranges, "path string, k int, start long, end long, shift double").repartition(len(ranges))
+        found: dict[str, dict] = {}
+        for r in table.mapInArrow(facts, "path string, k int, facts string").collect():  # a row of facts for each RANGE bytes
+            index, times = json.loads(r["facts"])
+            found.setdefault(r["path"], {})[r["k"]] = (from_json(json.dumps(index)), times)
+        for p, parts in found.items():
+            if (index := follow(heads[p], [parts[k] for k in sorted(parts)], monotonic)) is not None and stamp(p) == index.stamp:
+                store_index(folder, p, index, monotonic, checkpoint)
+                done.add(p)
+    rest = [(p,) for p in paths if p not in done]
+
+    def whole(batches):
+        for batch in batches:
+            for p in batch.column("path").to_pylist():
+                store_index(folder, p, scan(p, monotonic, checkpoint), monotonic, checkpoint)
+            yield batch
+
+    if rest:
+        spark.createDataFrame(rest, "path string").repartition(len(rest)).mapInArrow(whole, "path string").count()
+
+
 @dataclass
 class Stretch(InputPartition):
     path: str
@@ -278,7 +441,10 @@ class RecordingReader(DataSourceReader):
     def partitions(self):
         out, names = [], recording_ids([p.removeprefix("file://") for p in self.paths])
         for path in names:
-            index = scan(path, self.monotonic, int(self.options.get("checkpoint", CHECKPOINT)))
+            checkpoint = int(self.options.get("checkpoint", CHECKPOINT))
+            folder = self.options.get("index")
+            index = load_index(folder, path, self.monotonic, checkpoint) if folder else None
+            index = index or scan(path, self.monotonic, checkpoint)
             if not index.data_rows:
                 raise RecordingError("TooShort", f"no numeric data in {path}")
             columns = index.channels(self.options.get("keep_duplicate_time", "false").lower() == "true")
@@ -301,20 +467,30 @@ class RecordingReader(DataSourceReader):
     def read(self, part: Stretch):
         if stamp(part.path) != part.stamp:
             raise RecordingError("SourceChanged", part.path)
-        batch, sample = [], part.first_row
+        import pyarrow as pa
+
+        samples, times, raws = [], [], []
+        columns, sample = [[] for _ in part.columns], part.first_row
 
         def on_row(raw, t, values):
             nonlocal sample
             if part.lo <= t <= part.hi:
-                for c, name in part.columns:
-                    batch.append((part.recording_id, name, sample, t, raw, values[c] if c < len(values) else None))
+                samples.append(sample)
+                times.append(t)
+                raws.append(raw)
+                for out, (c, _) in zip(columns, part.columns):
+                    out.append(values[c] if c < len(values) else None)
             sample += 1
             return t > part.hi and part.clock.monotonic
 
-        scan(part.path, self.monotonic, on_row=on_row, start=part.start, clock=replace(part.clock), markers=part.markers, labelled=part.start > 0, rows=part.rows)
+        scan(part.path, self.monotonic, on_row=on_row, start=part.start, clock=replace(part.clock), markers=part.markers, labelled=part.start > 0, rows=part.rows, notes=False)
         if stamp(part.path) != part.stamp:
             raise RecordingError("SourceChanged", part.path)
-        yield from batch
+        n = len(samples)
+        axis = [pa.array(samples, pa.int64()), pa.array(times, pa.float64()), pa.array(raws, pa.float64())]
+        for (_, name), values in zip(part.columns, columns):
+            names = [pa.repeat(pa.scalar(x, pa.string()), n) for x in (part.recording_id, name)]
+            yield pa.RecordBatch.from_arrays([*names, *axis, pa.array(values, pa.float64())], names=["recording_id", "channel", "sample", "t", "raw_t", "value"])
 
 
 class RecordingSource(DataSource):
@@ -333,9 +509,28 @@ def register(spark) -> None:
     spark.dataSource.register(RecordingSource)
 
 
+def index_folder(spark) -> str | None:
+    """The folder of stored indexes, if the shared folder is one that files can be opened in."""
+    shared = shared_dir(spark)
+    return f"{shared.removeprefix('file://')}/wavemill-index" if shared.startswith(("file:/", "/")) else None
+
+
+def indexed(spark, path: str, monotonic: bool = True, checkpoint: int = CHECKPOINT) -> Index:
+    """The index of a file, made now if it isn't stored."""
+    folder = index_folder(spark)
+    if folder is None:
+        return scan(path, monotonic, checkpoint)
+    make_indexes(spark, [path], folder, monotonic, checkpoint)
+    return load_index(folder, path, monotonic, checkpoint)
+
+
 def read_recording(spark, *paths: str, **options):
     """Long rows of one or more files; options as for the data source."""
     register(spark)
+    if "index" not in options and (folder := index_folder(spark)):
+        plain = [p.removeprefix("file://") for p in paths]
+        make_indexes(spark, plain, folder, str(options.get("monotonic", True)).lower() == "true", int(options.get("checkpoint", CHECKPOINT)))
+        options["index"] = folder
     reader = spark.read.format("recording").option("path", ",".join(paths))
     for k, v in options.items():
         reader = reader.option(k, str(v).lower() if isinstance(v, bool) else str(v))
