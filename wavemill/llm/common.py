@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wavemill.scratch import Scratch
 
-__all__ = ["Scratch", "plain_names", "row_hash", "slices", "table", "word_count"]
+__all__ = ["Scratch", "plain_names", "row_hash", "sift", "slices", "table", "word_count"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +38,19 @@ def plain_names(df: DataFrame, **more):
 def row_hash(names):
     """A hash of these columns, which orders rows that share their keys."""
     return F.xxhash64(F.to_json(F.struct(*names)))
+
+
+SLOTS = 1 << 18  # words of 64 bits in a sieve, whatever the table
+
+
+def sift(rows: DataFrame, mark: str, listed: DataFrame, listed_mark: str) -> DataFrame:
+    """``rows`` with ``maybe``: false only where the mark (a 64-bit hash) is not among the listed ones.
+
+    A bitmap of SLOTS words, which is never larger, goes to all tasks, so that rows of few
+    listed marks needn't be shuffled to find out about all the others."""
+    slot, bit = F.pmod(F.shiftrightunsigned(F.col(listed_mark), 6), F.lit(SLOTS)), F.col(listed_mark).bitwiseAND(F.lit(63)).cast("int")
+    sieve = listed.select(slot.alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("slot").agg(F.bit_or("b").alias("bits"))
+    at = F.pmod(F.shiftrightunsigned(F.col(mark), 6), F.lit(SLOTS))
+    found = rows.withColumn("slot", at).join(F.broadcast(sieve), "slot", "left")
+    held = F.getbit("bits", F.col(mark).bitwiseAND(F.lit(63)).cast("int")) == 1
+    return found.withColumn("maybe", F.coalesce(held, F.lit(False))).drop("slot", "bits")

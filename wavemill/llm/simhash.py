@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import Scratch, plain_names, row_hash, slices
+from wavemill.llm.common import Scratch, plain_names, row_hash, sift, slices
 from wavemill.llm.components import connected_components
 from wavemill.llm.tiles import deal_tiles, runs, spanning_links
 
@@ -342,9 +342,10 @@ def drop_near_duplicates(docs: DataFrame, similarity=SIMILARITY, id_col: str = "
     keyed = classes.where("fp IS NOT NULL").select("cls", *(F.get("fp", F.lit(i)).alias(f"f{i}") for i in range(NEAR)), F.explode(keys).alias("key"))
     near = deal_tiles(keyed, "key", "cls", TILE, scratch).mapInArrow(_candidates(similarity), "u long, v long")
     near = connected_components(near, scratch).withColumnRenamed("node", "cls")
-    # One text of each class in a component; written, so that Spark knows how few they are.
+    # One text of each class in a component; only texts that may be among these are shuffled.
     picked = scratch.save(near.join(classes, "cls").select("component", "cls", "size", F.col("least.doc_id").alias("__id"), F.col("least.mark").alias("__mark")))
-    texts = rows.join(picked, (F.col("mark") == F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("component", "cls", "size", "text")
+    some = sift(rows, "mark", picked, "__mark").where("maybe")
+    texts = some.join(picked.hint("merge"), (F.col("mark") == F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("component", "cls", "size", "text")
     sets = scratch.save(texts.mapInArrow(_sets, "component long, cls long, size long, shingles binary").dropDuplicates(["cls"]))
     links = deal_tiles(sets, "component", "cls", tile, scratch, "size", SETS).mapInArrow(_verified(similarity), "u long, v long")
     parts = connected_components(links, scratch).withColumnRenamed("node", "cls").withColumnRenamed("component", "grp")
@@ -364,10 +365,12 @@ def _mark(text: Column) -> Column:
 def _without(docs: DataFrame, listed: DataFrame, doc: Column, mark: Column) -> DataFrame:
     """``docs`` less the rows whose (doc_id, mark) are listed as gone, and one row of each other listed."""
     rows, names, named = plain_names(docs, doc=doc, hash=mark)
-    same = lambda table: (rows["hash"] == table["mark"]) & rows["doc"].eqNullSafe(table["doc_id"])
-    kept = rows.join(listed, same(listed), "left_anti").select(*names)
+    rows = sift(rows, "hash", listed, "mark")
+    asked = rows.where("maybe")
+    same = lambda table: (asked["hash"] == table["mark"]) & asked["doc"].eqNullSafe(table["doc_id"])
+    kept = rows.where("NOT maybe").select(*names).unionByName(asked.join(listed.hint("merge"), same(listed), "left_anti").select(*names))
     repeated = listed.where("NOT gone")
     if repeated.limit(1).count():
-        one = rows.join(repeated, same(repeated), "left_semi").groupBy("doc", "hash").agg(F.min_by(F.struct(*names), row_hash(names)).alias("row"))
+        one = asked.join(repeated.hint("merge"), same(repeated), "left_semi").groupBy("doc", "hash").agg(F.min_by(F.struct(*names), row_hash(names)).alias("row"))
         kept = kept.unionByName(one.select("row.*"))
     return named(kept)
