@@ -231,3 +231,84 @@ def test_nearest_sample_and_overview_equal_brute_force(spark):
         assert {f: merged[k][f] for f in ("first", "last", "low", "high", "finite_count", "sample_count")} == {f: direct[k][f] for f in ("first", "last", "low", "high", "finite_count", "sample_count")}
     ties = overview.build_overview(series(spark, range(6), a=[1, 3, 3, 0, 0, 2])).first()
     assert ties["low"]["sample"] == 3 and ties["high"]["sample"] == 1
+
+
+def test_views():
+    from wavemill.operators.view import View
+
+    v = View(0.0, 100.0, 0.0, 100.0, 1.0)
+    z = v.zoom(0.5, 0.25)
+    assert (z.start, z.end) == (12.5, 62.5) and (z.zoom(4).start, z.zoom(4).end) == (0.0, 100.0)
+    assert (z.pan(-1).start, z.pan(-1).end) == (0.0, 50.0) and (z.pan(2).start, z.pan(2).end) == (50.0, 100.0)
+    tiny = z.zoom(1e-9, 1.0)
+    assert tiny.end == pytest.approx(62.5) and tiny.end - tiny.start == pytest.approx(1.0)
+    assert View(-5.0, 2.0, 0.0, 4.0).clamped() == View(0.0, 4.0, 0.0, 4.0)
+
+
+def test_repeated_and_missing_times(spark):
+    from wavemill.operators import timeline
+
+    long = series(spark, [0, 0, 1, 2, 3, 4], a=range(6))
+    assert timeline.cadence(long).first()["cadence"] == 1 and timeline.timeline_report(long).first()["status"] == "InvalidTime"
+    assert timeline.gaps(long).count() == 0 and timeline.segments(long).count() == 1 and timeline.stitched(long).count() == 6
+    assert spectrum.amplitude_spectrum(long).count() == 0
+    rows = [("r", "a", i, t, 0.0) for i, t in enumerate([0.0, 1.0, None, 0.5, 1.5])]
+    broken = spark.createDataFrame(rows, long.schema)
+    for f in (timeline.monotonic, timeline.monotonic_exact):
+        assert [r["t"] for r in f(broken).orderBy("sample").collect()] == [0, 1, None, 2, 3]
+
+
+def test_recordings_are_analysed_each_by_itself(spark):
+    i = np.arange(512)
+    x = np.sin(2 * np.pi * 13 * i / 64)
+    good = series(spark, i / 1024, x=x, y=3 * x, z=x)
+    half = series(spark, i[:256] / 512, x=x[:256], y=5 * x[:256], z=[None, *x[1:256]]).withColumn("recording_id", F.lit("half"))
+    bad = series(spark, i[:64] * 0.0, x=x[:64], y=x[:64], z=x[:64]).withColumn("recording_id", F.lit("still"))
+    short = series(spark, i[:3], x=x[:3], y=x[:3], z=x[:3]).withColumn("recording_id", F.lit("short"))
+    huge = series(spark, i[:64], x=np.full(64, 1e308) * (-1) ** i[:64], y=x[:64], z=x[:64]).withColumn("recording_id", F.lit("huge"))
+    long = good.unionByName(half).unionByName(bad).unionByName(short)
+    status = {(r["recording_id"], r["channel"]): r["status"] for r in frf.frf_status(long, ["x"], ["y", "z"]).collect()}
+    assert status["r", "y"] == status["r", "z"] == status["half", "y"] == "None" and status["half", "z"] == "MissingValues"
+    assert status["still", "y"] == "InvalidTime" and status["short", "z"] == "TooShort"
+    got = {(r["recording_id"], r["channel"]): r["dynamic_coefficient"] for r in frf.analyze_frf(long, ["x"], ["y", "z"], frf.FrfOptions(segment_length=64)).where("bin = 13").collect()}
+    assert got == {("r", "y"): pytest.approx(3), ("r", "z"): pytest.approx(1), ("half", "y"): pytest.approx(5)}
+    with pytest.raises(RecordingError, match="InvalidTime"):
+        frf.analyze_frf(bad, ["x"], ["y"])
+    with pytest.raises(RecordingError, match="Overflow"):
+        frf.require_reference(frf.analyze_frf(huge, ["x"], ["y"], frf.FrfOptions(segment_length=64)))
+
+
+def test_ranges_number_samples_as_one_sort_does(spark):
+    from wavemill.recording import from_rows
+
+    rng = np.random.default_rng(6)
+    rows = [(int(k), float(v), "ab"[i % 2]) for i, (k, v) in enumerate(zip(rng.integers(0, 50, 500) ** 2, rng.standard_normal(500)))]
+    df = spark.createDataFrame(rows, "k long, v double, c string")
+    args = (F.col("k"), F.col("v"), F.col("c"), [F.col("k"), F.col("v")])
+    one, cut = from_rows(df, *args), from_rows(df, *args, block=40)
+    assert sorted(one.collect()) == sorted(cut.collect())
+
+
+def test_progress_and_cancellation(spark):
+    import threading
+    import time
+
+    from wavemill.streaming.progress import tracked
+
+    with tracked(spark) as p:
+        assert spark.range(1000).repartition(3).count() == 1000
+        assert 0 < p.counts()["done"] <= p.counts()["tasks"] and p.counts()["active"] == 0
+
+        def stop():
+            while not p.counts()["active"]:
+                time.sleep(0.05)
+            p.cancel()
+
+        threading.Thread(target=stop).start()
+        with pytest.raises(Exception, match="cancel"):
+            spark.range(8).repartition(8).mapInArrow(lambda bs: (time.sleep(20), bs)[1], "id long").collect()
+
+
+def test_stored_sampling():
+    lines = ["[export]", "sample_dt=9", "[fft_sampling]", "source_start=1.5", "sample_dt=-1", "sample_count=12", "resampled=1", "gaps_ignored=0", "x=1", "source_end=nan"]
+    assert spectrum.stored_sampling(lines) == {"source_start": 1.5, "sample_count": 12, "resampled": True, "gaps_ignored": False}

@@ -12,6 +12,7 @@ from wavemill.operators.blocks import neighbours, running_sum
 from wavemill.operators.timeline import GAP_FACTOR, cadence, intervals
 from wavemill.recording import SERIES, RecordingError, finite
 from wavemill.scratch import settle
+from wavemill.sources.numeric import parse_cell
 
 SPECTRUM = "recording_id string, channel string, bin long, freq double, amp double"
 
@@ -30,7 +31,9 @@ def compressed_axis(long: DataFrame) -> DataFrame:
     facts = facts.withColumn("grid", F.col("span") / (F.col("n") - 1))
     rows = running_sum(rows.withColumn("__step", step), {"offset": F.col("__step")}).join(settle(facts), list(SERIES))
     inner = (F.col("sample") > 0) & (F.col("sample") < F.col("n") - 1)
-    off = inner & (F.abs(F.col("offset") - F.col("sample") * F.col("grid")) > 1e-6 * F.col("grid"))
+    # Rounding of extended precision, or a millionth of the spacing, whichever is more.
+    slack = F.greatest(F.col("span") * 2.0**-62, 1e-6 * F.col("grid"))
+    off = inner & (F.abs(F.col("offset") - F.col("sample") * F.col("grid")) > slack)
     uneven = settle(rows.groupBy(*SERIES).agg(F.max(off).alias("resampled")))
     return rows.join(uneven, list(SERIES)).drop("t_before", "dt", "cadence", "span", "__step")
 
@@ -157,6 +160,22 @@ def display_points(spectrum: DataFrame, lo: float, hi: float, pixels: int) -> Da
     return got.select(*SERIES, "pixel", F.explode(four).alias("p")).select(*SERIES, "pixel", "p.*")
 
 
+def stored_sampling(comments: list[str]) -> dict[str, float | int | bool]:
+    """What a stored spectrum's [fft_sampling] section says of the signal it came from."""
+    kinds = {"source_start": float, "source_end": float, "sample_dt": float, "sample_count": int, "resampled": bool, "gaps_ignored": bool}
+    out, within = {}, False
+    for line in comments:
+        if line.startswith("["):
+            within = line == "[fft_sampling]"
+            continue
+        key, _, text = line.partition("=")
+        value = parse_cell(text)[0]
+        if not within or key not in kinds or value is None or (key == "sample_dt" and value <= 0) or (key == "sample_count" and value < 0):
+            continue
+        out[key] = value == 1 if kinds[key] is bool else kinds[key](value)
+    return out
+
+
 def import_spectrum(long: DataFrame) -> DataFrame:
     """A stored spectrum (t is the frequency) as it stands; frequencies must be finite, not
     negative and strictly increasing, amplitudes finite and not negative."""

@@ -524,6 +524,15 @@ def indexed(spark, path: str, monotonic: bool = True, checkpoint: int = CHECKPOI
     return load_index(folder, path, monotonic, checkpoint)
 
 
+def open_interval(spark, path: str, start: float, end: float, **options):
+    """The rows of a file within [start, end]; two samples at least must lie there.  The file's
+    index stays that of the whole file."""
+    long = read_recording(spark, path, start=start, end=end, **options)
+    if long.select("sample").distinct().limit(2).count() < 2:
+        raise RecordingError("TooShort", "fewer than two rows in the interval")
+    return long
+
+
 def read_recording(spark, *paths: str, **options):
     """Long rows of one or more files; options as for the data source."""
     register(spark)
