@@ -64,3 +64,73 @@ def test_temperature_finds_the_scale():
     p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
     labels = np.array([rng.choice(3, p=q) for q in p])
     assert L.temperature(logits * 4, labels) == pytest.approx(4, rel=0.15)
+
+
+def literal_predictions(spark, rows, epochs=3, alpha=0.3, beta=1.0, l1=0.002, l2=0.001):
+    """The whole method with dictionaries and loops: TF-IDF, proximal updates weight by weight,
+    a scan over temperatures, and the softmax of every text."""
+    import math
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    counts = [Counter(int(s) for g in L.grams(t) for s in g) for _, t, *_ in rows]
+    teach = [k for k, (i, t, lang, _) in enumerate(rows) if t is not None and lang is not None and zlib.crc32(str(i).encode()) % 5]
+    total = sum(bool(counts[k]) for k in teach)
+    df = Counter(s for k in teach for s in counts[k])
+    idf = {s: math.log((1 + total) / (1 + df[s])) + 1 for c in counts for s in c}
+    ids = spark.createDataFrame([(str(rows[k][0]), k) for k in teach], "i string, k int")
+    order = [r["k"] for r in ids.orderBy(F.xxhash64("i")).collect() if counts[r["k"]]]
+    langs = sorted({rows[k][2] for k in teach})
+    features = [{s: n / sum(c.values()) * idf[s] * L.SCALE for s, n in c.items()} | {"bias": 1.0} if c else {} for c in counts]
+    learn, aside, seen = [], [], Counter()
+    for k in order:
+        seen[rows[k][2]] += 1
+        (aside if seen[rows[k][2]] % 5 == 0 else learn).append(k)
+    z, n = Counter(), Counter()
+
+    def weight(s, y):
+        v = z[s, y]
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((beta + math.sqrt(n[s, y])) / alpha + l2)
+
+    def softmax(scores):
+        e = [math.exp(s - max(scores)) for s in scores]
+        return [x / sum(e) for x in e]
+
+    def scores(k):
+        return [sum(v * weight(s, y) for s, v in features[k].items()) for y in range(len(langs))]
+
+    for _ in range(epochs):
+        for k in learn:
+            p, old = softmax(scores(k)), {(s, y): weight(s, y) for s in features[k] for y in range(len(langs))}
+            for s, v in features[k].items():
+                for y, lang in enumerate(langs):
+                    g = v * (p[y] - (lang == rows[k][2]))
+                    sigma = (math.sqrt(n[s, y] + g * g) - math.sqrt(n[s, y])) / alpha
+                    z[s, y] += g - sigma * old[s, y]
+                    n[s, y] += g * g
+    held = [(scores(k), langs.index(rows[k][2])) for k in aside]
+    loss = lambda t: -sum(math.log(max(softmax([x / t for x in s])[y], 1e-300)) for s, y in held)
+    temp = min((math.exp(math.log(0.05) + i / 2000 * math.log(400)) for i in range(2001)), key=loss)
+    out = {}
+    for k, (i, *_) in enumerate(rows):
+        p = softmax([s / temp for s in scores(k)]) if counts[k] else None
+        out[i] = (langs[p.index(max(p))], max(p)) if p else ("und", 0.0)
+    return out
+
+
+def test_whole_method_equals_a_literal_one(spark, docs):
+    import random
+
+    rng = random.Random(1)
+    shared = "alpha beta gamma delta".split()
+    rows = []
+    for i in range(90):  # languages that share words, so that scores lie between 0 and 1
+        lang = sorted(WORDS)[i % 3]
+        words = [rng.choice(WORDS[lang].split() if rng.random() < 0.3 else WORDS[sorted(WORDS)[(i + 1) % 3]].split() if rng.random() < 0.3 else shared) for _ in range(6)]
+        rows.append((i, " ".join(words), lang, "s"))
+    rows += [(500, "12 ?", "aa", "s"), (501, None, "bb", "s"), (502, "alpha", None, "s")]
+    expected = literal_predictions(spark, rows)
+    for r in L.identify_languages(docs(rows)).collect():
+        lang, score = expected[r["doc_id"]]
+        assert r["score"] == pytest.approx(score, abs=0.02) and (r["lang_pred"] == lang or abs(score - 0.5) < 0.02)
