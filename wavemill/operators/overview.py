@@ -50,6 +50,11 @@ def merge_overview(overview: DataFrame, factor: int = 2) -> DataFrame:
     Spacing across a seam is the time from the last point of one to the first of the next."""
     w = Window.partitionBy(*SERIES, F.floor(F.col("bucket") / factor)).orderBy("bucket")
     rows = overview.withColumn("__seam", F.col("first.t") - F.lag("last.t").over(w)).withColumn("bucket", F.floor(F.col("bucket") / factor))
+    return _merged(rows.withColumn("max_spacing", F.greatest("max_spacing", "__seam")))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Rows of one bucket together."""
     got = rows.groupBy(*SERIES, "bucket").agg(
         F.min("first").alias("first"),
         F.max("last").alias("last"),
@@ -57,7 +62,7 @@ def merge_overview(overview: DataFrame, factor: int = 2) -> DataFrame:
         F.max(F.when(F.col("high").isNotNull(), F.struct("high.value", (-F.col("high.sample")).alias("sample"), "high.t"))).alias("high"),
         F.sum("finite_count").alias("finite_count"),
         F.sum("sample_count").alias("sample_count"),
-        F.max(F.greatest("max_spacing", "__seam")).alias("max_spacing"),
+        F.max("max_spacing").alias("max_spacing"),
     )
     return _points(got, *SERIES, "bucket")
 
@@ -81,6 +86,27 @@ def view(long: DataFrame, start: float, end: float, pixels: int) -> DataFrame:
     return _points(inside.withColumn("bucket", pixel).groupBy(*SERIES, "bucket").agg(*_aggregates()), *SERIES, "bucket")
 
 
+def view_of(overview: DataFrame, long: DataFrame, start: float, end: float, pixels: int, leaf: int = LEAF) -> DataFrame:
+    """The same view (but for max_spacing) of a recording whose times increase, from its overview
+    of ``leaf`` samples a bucket: buckets that lie within a pixel column are taken as they are,
+    samples are read only of those that cross a border or miss values."""
+    if pixels < 1 or not start < end:
+        raise RecordingError("InvalidOptions", "a view needs pixels and a width")
+
+    def pixel(t):
+        return F.least(F.floor((t - start) / (end - start) * pixels), F.lit(pixels - 1))
+
+    first, last = F.col("first.t"), F.col("last.t")
+    near = overview.where(first.isNull() | (first <= end) & (last >= start) | (F.col("finite_count") < F.col("sample_count")))
+    whole = F.coalesce((F.col("finite_count") == F.col("sample_count")) & (first >= start) & (last <= end) & (pixel(first) == pixel(last)), F.lit(False))
+    taken = near.where(whole).withColumn("bucket", pixel(first))
+    crossing = near.where(~whole).select(*SERIES, "bucket")
+    rows = long.withColumn("bucket", F.floor(F.col("sample") / leaf)).join(crossing, [*SERIES, "bucket"], "left_semi")
+    rows = rows.where((F.col("t") >= start) & (F.col("t") <= end)).withColumn("bucket", pixel(F.col("t"))).withColumn("dt", F.lit(None).cast("double"))
+    read = _points(rows.groupBy(*SERIES, "bucket").agg(*_aggregates()), *SERIES, "bucket")
+    return _merged(taken.unionByName(read)).drop("max_spacing")
+
+
 def pixel_range(long: DataFrame, start: float, end: float, pixels: int) -> DataFrame:
     """Lowest and highest value of each pixel column."""
     return view(long, start, end, pixels).select(*SERIES, F.col("bucket").alias("pixel"), F.col("low.value").alias("min_value"), F.col("high.value").alias("max_value"))

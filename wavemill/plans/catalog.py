@@ -341,6 +341,13 @@ def view_events(spark, sf_dir):
     return _flat(overview.view(events(spark, sf_dir), 10000.0, 410000.0, 50))
 
 
+@query(f"WITH {EV}, {DT} SELECT * EXCLUDE max_spacing FROM ({_bucket_sql(VIEW, 'WHERE t >= 10000 AND t <= 410000')})")
+def view_from_overview_events(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    seen = overview.view_of(overview.build_overview(ev, 4), ev, 10000.0, 410000.0, 50, 4)
+    return _flat(seen.withColumn("max_spacing", F.lit(None).cast("double"))).drop("max_spacing")
+
+
 @query(f"WITH {EV} SELECT recording_id, channel, CAST({VIEW} AS BIGINT) AS pixel, {R('min(value)', 'min_value')}, {R('max(value)', 'max_value')} FROM ev WHERE t >= 10000 AND t <= 410000 GROUP BY ALL")
 def pixel_range_events(spark, sf_dir):
     return overview.pixel_range(events(spark, sf_dir), 10000.0, 410000.0, 50)
