@@ -50,7 +50,7 @@ WORDS = 5
 MISS = 0.001
 BUCKET = 1024  # fingerprints that share a key by chance, on average
 NEAR = 4  # words of a fingerprint that are compared
-SETS = 1 << 22  # shingles that a block of a tile holds
+SETS = 1 << 20  # shingles that a block of a tile holds
 WEIGHTS = np.random.default_rng(SEED).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 PIVOTS = tuple([0] + [3 << 2 * i for i in range(32)])
