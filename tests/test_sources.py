@@ -164,7 +164,7 @@ def test_ranges_of_bytes_give_the_index_of_one_pass(spark, tmp_path):
             assert got.counts() == one.counts() and got.channels() == one.channels() and got.bounds == one.bounds and sorted(got.comments) == sorted(one.comments)
             key = lambda i: [(b, r, t, c.offset, c.shift, c.placed if monotonic else None, m) for b, r, t, c, m in i.places]
             name = p.rsplit("/", 1)[1]
-            if name not in simple:
+            if name in ("section.lvm", "quoted.csv") or monotonic and name not in simple:
                 assert key(got) == key(one), name
             # Ranges begin places of their own; each place is one where a pass may go on.
             rows = [(r["sample"], r["t"], r["value"]) for r in R.read_recording(spark, p, monotonic=monotonic, checkpoint=100, index=folder).where("channel = 'A' OR channel LIKE 'Channel%1' OR channel LIKE 'A%'").orderBy("sample").collect()]
@@ -181,7 +181,7 @@ def test_files_of_one_name_are_recordings_of_their_own(spark, tmp_path):
 
     for folder in "ab":
         (tmp_path / folder).mkdir()
-        (tmp_path / folder / "x.csv").write_text("Time,A\n" + "".join(f"{i},{i}\n" for i in range(5)))
+        (tmp_path / folder / "x.csv").write_text("Time,A\n" + "".join(f"{i},{i * i + 1}\n" for i in range(5)))
     got = R.read_recording(spark, str(tmp_path / "a" / "x.csv"), str(tmp_path / "b" / "x.csv")).groupBy("recording_id").count().collect()
     assert {(r["recording_id"], r["count"]) for r in got} == {("a/x.csv", 5), ("b/x.csv", 5)}
 
