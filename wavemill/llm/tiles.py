@@ -57,8 +57,11 @@ def runs(batches, key: str, values: dict):
             continue
         k, t, side = (batch.column(c).to_numpy(zero_copy_only=False) for c in (key, "tile_no", "side"))
         columns = [(f or (lambda c: c.to_numpy(zero_copy_only=False)))(batch.column(c)) for c, f in values.items()]
-        cut = (np.flatnonzero((k[1:] != k[:-1]) | (t[1:] != t[:-1])) + 1).tolist()
-        for a, b in zip([0, *cut], [*cut, len(k)]):
+        cut = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]) | (t[1:] != t[:-1])) + 1, [len(k)]])
+        # A row that is alone within its batch has no pair; at either end its tile may go on.
+        some = np.diff(cut) > 1
+        some[[0, -1]] = True
+        for a, b in zip(cut[:-1][some].tolist(), cut[1:][some].tolist()):
             if (ident := (int(k[a]), int(t[a]))) != now:
                 if held:
                     yield from ready()
