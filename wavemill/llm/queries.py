@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavemill.llm import ann_search, embedding_dedup, html_extract, language_id, mixing, packing, secret_scan, simhash, substring_dedup, url_filter
+from wavemill.llm import ann_search, embedding_dedup, html_extract, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, url_filter
 from wavemill.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op13_line_first_cleaning(spark, sf_dir):
+    return quality_rules.clean_lines(table(spark, sf_dir, "documents")).drop("text")
+
+
 def mixing_targets(spark, sf_dir):
     """What the mix is held to: the columns of op2's result that don't depend on whole copies."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_multi_index": op8_multi_index,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
+    "op13_line_first_cleaning": op13_line_first_cleaning,
     "mixing_targets": mixing_targets,
     "secret_counts": secret_counts,
 }
@@ -79,6 +84,7 @@ ORACLE_SQL = {
     "op6_prefix_free_parsing": substring_dedup.ORACLE_SQL,
     "op7_itq_dedup": embedding_dedup.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
+    "op13_line_first_cleaning": quality_rules.ORACLE_SQL,
     "mixing_targets": mixing.TARGETS_SQL,
     "secret_counts": secret_scan.COUNTS_SQL,
 }
