@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavemill.llm import ann_search, embedding_dedup, html_extract, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, url_filter
+from wavemill.llm import ann_search, embedding_dedup, html_extract, language_id, mixing, packing, quality_rules, secret_scan, simhash, substring_dedup, url_filter, vector_codes, whitening
 from wavemill.llm.common import table
 
 
@@ -51,10 +51,25 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_jacobi_whitening(spark, sf_dir):
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_delta_lloyd(spark, sf_dir):
+    out = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "code", *(F.col(c).try_cast("long").alias(c) for c in ("error", "label_error")), "codebooks_sha256")
+
+
 def op13_line_first_cleaning(spark, sf_dir):
     return quality_rules.clean_lines(table(spark, sf_dir, "documents")).drop("text")
 
 
+def whitening_deviations(spark, sf_dir):
+    """What of op11's result is exact: its first component's count and deviation."""
+    return op11_jacobi_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
+
+
 def mixing_targets(spark, sf_dir):
     """What the mix is held to: the columns of op2's result that don't depend on whole copies."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
@@ -76,7 +91,10 @@ QUERIES = {
     "op8_multi_index": op8_multi_index,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
+    "op11_jacobi_whitening": op11_jacobi_whitening,
+    "op12_delta_lloyd": op12_delta_lloyd,
     "op13_line_first_cleaning": op13_line_first_cleaning,
+    "whitening_deviations": whitening_deviations,
     "mixing_targets": mixing_targets,
     "secret_counts": secret_counts,
 }
@@ -84,7 +102,9 @@ ORACLE_SQL = {
     "op6_prefix_free_parsing": substring_dedup.ORACLE_SQL,
     "op7_itq_dedup": embedding_dedup.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
+    "op12_delta_lloyd": vector_codes.ORACLE_SQL,
     "op13_line_first_cleaning": quality_rules.ORACLE_SQL,
+    "whitening_deviations": whitening.DEVIATIONS_SQL,
     "mixing_targets": mixing.TARGETS_SQL,
     "secret_counts": secret_scan.COUNTS_SQL,
 }
