@@ -41,7 +41,7 @@ def brute(text):
 
 
 def test_lines_fail_by_rule(spark):
-    got = spark.createDataFrame([(x,) for x in CASES], "x string").select("x", quality_rules.failing_rule(quality_rules.F.col("x")).alias("r")).collect()
+    got = spark.createDataFrame([(x,) for x in CASES], "x string").select("x", quality_rules.failing_rule(quality_rules.line_facts(quality_rules.F.col("x"))).alias("r")).collect()
     assert {r["x"]: r["r"] for r in got} == CASES
 
 
