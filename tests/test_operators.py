@@ -68,10 +68,15 @@ def test_missing_values_become_the_mean(spark):
 def test_formulas(spark):
     assert formula.affine(formula.parse("2*x + 3")) == (2, 3)
     assert formula.affine(formula.parse("x*x")) is None and formula.affine(formula.parse("1/x")) is None
-    for bad in ("2x", "x 2", "x+()", "1e999", "sin x", "x(2)", "", "y", "(x"):
+    for bad in ("2x", "x 2", "x+()", "1e999", "sin x", "x(2)", "y", "(x"):
         with pytest.raises(formula.FormulaError):
             formula.parse(bad)
+    assert formula.parse("") == formula.parse("x")
+    for endless in ("1e308*10*x", "x+1e308*10", "sin(1e308*10)", "exp(1e9)", "x/(1e308*10)"):
+        assert formula.affine(formula.parse(endless)) is None
     df = spark.createDataFrame([(v,) for v in (-4.0, 0.0, 2.0, None)], "x double")
+    assert [r[0] for r in df.select(formula.compose("2*x", "sin(1e308*10)", F.col("x"))).collect()] == [None] * 4
+    assert [r[0] for r in df.select(formula.compose("1e200*x", "1e200*x", F.col("x")).alias("y")).collect()] == [-math.inf, 0, math.inf, None]
     got = {f: [r[0] for r in df.select(formula.compile_formula(f, F.col("x"))).collect()] for f in ("1/x", "sqrt(x)", "LOG(x)", "-x*2,5", "-(1/0)")}
     assert got["1/x"] == [-0.25, None, 0.5, None] and got["sqrt(x)"] == pytest.approx([None, 0, math.sqrt(2), None], nan_ok=True)
     assert got["LOG(x)"] == [None, None, math.log(2), None] and got["-x*2,5"] == [10, 0, -5, None] and got["-(1/0)"] == [None] * 4

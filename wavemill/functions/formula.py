@@ -130,7 +130,13 @@ def evaluate(tree: Node, x: Column) -> Column:
 
 
 def affine(tree: Node) -> tuple[float, float] | None:
-    """(mul, add) if the formula is mul * x + add: products and quotients with constants only."""
+    """(mul, add) if the formula is mul * x + add: products and quotients with constants only, and
+    all numbers on the way finite."""
+    out = _affine(tree)
+    return out if out is not None and all(map(math.isfinite, out)) else None
+
+
+def _affine(tree: Node) -> tuple[float, float] | None:
     a = [affine(n) for n in tree.args]
     if None in a:
         return None
@@ -162,7 +168,7 @@ def _constant(name: str, v: float) -> float | None:
         return None
     try:
         out = abs(v) if name == "abs" else getattr(math, name)(v)
-    except OverflowError:
+    except (OverflowError, ValueError):
         return None
     return out if math.isfinite(out) else None
 
@@ -179,8 +185,9 @@ def compose(outer_first: str | None, then: str | None, x: Column) -> Column:
     formulas = [f for f in (outer_first, then) if f]
     if len(formulas) == 2 and all(affine(parse(f)) for f in formulas):
         (gm, ga), (lm, la) = (affine(parse(f)) for f in formulas)
-        out = F.lit(lm * gm) * x + F.lit(lm * ga + la)
-        return F.when(~F.isnan(out) & (F.abs(out) != float("inf")), out)
+        if math.isfinite(lm * gm) and math.isfinite(lm * ga + la):
+            out = F.lit(lm * gm) * x + F.lit(lm * ga + la)
+            return F.when(~F.isnan(out) & (F.abs(out) != float("inf")), out)
     for f in formulas:
         x = compile_formula(f, x)
     return x

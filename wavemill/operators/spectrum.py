@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wavemill.operators.blocks import neighbours, running_sum
+from wavemill.operators.long_spectrum import SPECTRUM, long_spectrum
 from wavemill.operators.timeline import GAP_FACTOR, cadence, intervals
 from wavemill.recording import SERIES, RecordingError, finite
 from wavemill.scratch import settle
 from wavemill.sources.numeric import parse_cell
 
-SPECTRUM = "recording_id string, channel string, bin long, freq double, amp double"
+LIMIT = 1 << 22  # samples that one task transforms
 
 
 def compressed_axis(long: DataFrame) -> DataFrame:
@@ -50,16 +51,21 @@ def clocked(long: DataFrame) -> DataFrame:
     facts = settle(facts.withColumn("grid", F.try_divide(F.col("t1") - F.col("t0"), F.col("n") - 1)))
     off = long.join(facts.select(*SERIES, "t0", "grid"), list(SERIES)).groupBy(*SERIES).agg(F.max(F.abs(F.col("t") - F.col("t0") - F.col("sample") * F.col("grid"))).alias("off"))
     even = F.col("fine") & (F.col("last") == F.col("n") - 1) & (F.col("grid") > 0) & (F.col("off") <= 0.5e-6 * F.col("grid"))
-    return facts.join(off, list(SERIES)).select(*SERIES, "n", "grid", "mean", ((F.col("got") >= 4) & ~F.col("infinite")).alias("usable"), F.coalesce(even, F.lit(False)).alias("clocked"))
+    usable = (F.col("got") >= 4) & ~F.col("infinite") & F.col("fine")
+    return facts.join(off, list(SERIES)).select(*SERIES, "n", "grid", "mean", usable.alias("usable"), F.coalesce(even, F.lit(False)).alias("clocked"))
 
 
 def even_samples(long: DataFrame) -> DataFrame:
     """Values on the even grid: missing ones become the channel's mean, uneven channels are
     interpolated linearly at k * grid, the first and the last sample staying.
 
-    Channels with fewer than 4 finite samples or with an infinite one, or whose time stands
-    still or runs back, are left out.  Clocked channels are taken as they are."""
-    facts = settle(clocked(long).where("usable"))
+    Channels with fewer than 4 finite samples or with an infinite one, or whose time is missing
+    somewhere, stands still or runs back, are left out (``spectrum_status`` names the reason).
+    Clocked channels are taken as they are."""
+    return _even(long, settle(clocked(long).where("usable")))
+
+
+def _even(long: DataFrame, facts: DataFrame) -> DataFrame:
     value = F.coalesce("value", "mean").alias("value")
     out = long.join(facts.where("clocked"), list(SERIES)).select(*SERIES, "sample", value, "n", "grid", F.lit(False).alias("resampled"), F.lit(False).alias("gaps_ignored"))
     others = facts.where("NOT clocked").select(*SERIES)
@@ -68,6 +74,26 @@ def even_samples(long: DataFrame) -> DataFrame:
     return out
 
 
+def spectrum_status(long: DataFrame) -> DataFrame:
+    """(keys, n, status) of each channel: OK; TooShort, if it has fewer than 4 samples with a value;
+    InvalidTime, if its times aren't all finite and strictly increasing; InfiniteValues."""
+    rows = intervals(long)
+    wrong = ~finite(F.col("t")) | F.coalesce(F.col("dt") <= 0, F.lit(False))
+    infinite = F.col("value").isNotNull() & ~finite(F.col("value"))
+    facts = rows.groupBy(*SERIES).agg(F.count("*").alias("n"), F.count("value").alias("got"), F.max(wrong).alias("wrong"), F.max(infinite).alias("infinite"))
+    status = F.when(F.col("got") < 4, "TooShort").when(F.col("wrong"), "InvalidTime").when(F.col("infinite"), "InfiniteValues").otherwise("OK")
+    return facts.select(*SERIES, "n", status.alias("status"))
+
+
+def require_spectrum(long: DataFrame) -> DataFrame:
+    """The spectra of the channels that have one; an error if there is none."""
+    status = settle(spectrum_status(long))
+    if not status.where("status = 'OK'").limit(1).count():
+        row = status.orderBy(*SERIES).first()
+        raise RecordingError(row["status"] if row else "TooShort", f"no spectrum{' of ' + row['channel'] if row else ''}")
+    return amplitude_spectrum(long)
+
+
 def _regridded(long: DataFrame) -> DataFrame:
     rows = compressed_axis(long).where("got >= 4 AND NOT infinite AND NOT backward")
     rows = rows.withColumn("value", F.coalesce("value", "mean")).select(*SERIES, "sample", "offset", "value", "n", "grid", "resampled", "gaps_ignored")
@@ -93,17 +119,30 @@ def _amplitudes(x: np.ndarray) -> np.ndarray:
     return amp
 
 
-def amplitude_spectrum(long: DataFrame, max_samples: int = 0) -> DataFrame:
+def amplitude_spectrum(long: DataFrame, max_samples: int = 0, limit: int = LIMIT) -> DataFrame:
     """One-sided amplitudes of the mean-free signal: (keys, bin, freq, amp), 2/N in between,
     1/N at zero and, for even N, at the highest bin.
 
-    ``max_samples`` takes the first so many samples (0: all; else 4 at least)."""
+    ``max_samples`` takes the first so many samples (0: all; else 4 at least).  Channels of more
+    than ``limit`` samples are transformed by many tasks of about that size each."""
     if max_samples:
         if max_samples < 4:
             raise RecordingError("TooShort", "at least 4 samples are needed")
         long = long.where(F.col("sample") < max_samples)
-
-    even = even_samples(long).select(*SERIES, "sample", "value", "grid")
+    facts = settle(clocked(long).where("usable"))
+    lengths = facts.where(F.col("n") > limit).select("n").distinct()
+    if not lengths.limit(1).count():
+        return _by_channel(_even(long, facts))
+    short, far = (facts.where(F.col("n") <= limit), facts.where(F.col("n") > limit))
+    even = _even(long.join(far.select(*SERIES), list(SERIES), "left_semi"), far).join(far.select(*SERIES, "mean"), list(SERIES))
+    out = long_spectrum(even, lengths, limit)
+    if not short.limit(1).count():
+        return out
+    return out.unionByName(_by_channel(_even(long.join(short.select(*SERIES), list(SERIES), "left_semi"), short)))
+
+
+def _by_channel(even: DataFrame) -> DataFrame:
+    even = even.select(*SERIES, "sample", "value", "grid")
     return even.repartition(*SERIES).sortWithinPartitions(*SERIES, "sample").mapInArrow(_transform, SPECTRUM)
 
 
@@ -164,10 +203,9 @@ def find_peaks(spectrum: DataFrame, n: int = 5) -> DataFrame:
         raise RecordingError("InvalidOptions", "n must be at least 1")
     rows = neighbours(spectrum, {"__left": ("amp", -1), "__right": ("amp", 1)}, order="bin")
     rows = rows.withColumn("peak", F.coalesce((F.col("bin") >= 1) & (F.col("amp") > F.col("__left")) & F.when(F.col("__right").isNull(), F.col("amp") > 0).otherwise(F.col("amp") >= F.col("__right")), F.lit(False)))
-    # A channel's spectrum comes from one task's transform, so one task can look at it whole.
-    whole, best = Window.partitionBy(*SERIES), Window.partitionBy(*SERIES).orderBy(F.desc("amp"), "freq")
-    rows = rows.withColumn("__fine", F.bool_and(finite(F.col("amp"))).over(whole)).withColumn("__any", F.max("peak").over(whole))
-    rows = rows.where("__fine AND bin >= 1 AND (peak OR NOT __any AND amp > 0)").withColumn("rank", F.row_number().over(best))
+    facts = rows.groupBy(*SERIES).agg(F.bool_and(finite(F.col("amp"))).alias("__fine"), F.max("peak").alias("__any"))
+    rows = rows.join(settle(facts), list(SERIES)).where("__fine AND bin >= 1 AND (peak OR NOT __any AND amp > 0)")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*SERIES).orderBy(F.desc("amp"), "freq")))
     return rows.where((F.col("rank") <= n) & (F.col("__any") | (F.col("rank") == 1))).select(*SERIES, "rank", "bin", "freq", "amp")
 
 

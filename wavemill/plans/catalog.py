@@ -390,6 +390,12 @@ def discrete_transform_hourly(spark, sf_dir):
     return spectrum.discrete_transform(spectrum.even_samples(hourly(spark, sf_dir)))
 
 
+@query(HOURLY_DFT + f" SELECT recording_id, channel, bin, {R('freq')}, {R('amp')} FROM sp")
+def spectrum_long_hourly(spark, sf_dir):
+    """The hourly spectrum by many tasks of 256 samples at most."""
+    return spectrum.amplitude_spectrum(hourly(spark, sf_dir), limit=256)
+
+
 DFT_WAVES = dft_sql(f"WITH {WAVES}", "64", "0.001")
 
 
@@ -420,6 +426,25 @@ def even_samples_events(spark, sf_dir):
     return spectrum.even_samples(events(spark, sf_dir)).select("recording_id", "channel", "sample", "value", "n", "grid")
 
 
+@query(EVEN + f""", m AS (SELECT *, value - avg(value) OVER (PARTITION BY channel) AS cv FROM e),
+sp AS (SELECT recording_id, channel, k.bin, nn, grid, sum(cv * cos(2 * pi() * ((k.bin * sample) % nn) / nn)) AS re, sum(cv * sin(2 * pi() * ((k.bin * sample) % nn) / nn)) AS im FROM m JOIN range(0, 20000) AS k(bin) ON 2 * k.bin <= nn GROUP BY ALL)
+SELECT recording_id, channel, bin, round(bin / (nn * grid), 9) + 0.0 AS freq, round(CASE WHEN bin = 0 THEN 0 WHEN 2 * bin = nn THEN sqrt(re ** 2 + im ** 2) / nn ELSE 2 * sqrt(re ** 2 + im ** 2) / nn END, 4) + 0.0 AS amp FROM sp""", 9)
+def spectrum_long_events(spark, sf_dir):
+    """Spectra of all channels of the jittered recording, resampled, by many tasks of 1,024 samples at
+    most; amplitudes to four places, as resampling sums times in another order than the SQL."""
+    out = spectrum.amplitude_spectrum(events(spark, sf_dir), limit=1024)
+    return out.withColumn("amp", F.round("amp", 4))
+
+
+@query(f"""WITH {BROKEN.replace("ev AS (SELECT * REPLACE (", "ev AS (SELECT * REPLACE (CASE WHEN channel IN ('view', 'click') THEN t ELSE ", 1).replace(" END AS t)", " END END AS t)", 1)}, {DT}
+SELECT recording_id, channel, count(*) AS n, CASE WHEN count(value) < 4 THEN 'TooShort' WHEN bool_or(t IS NULL OR dt <= 0) THEN 'InvalidTime' ELSE 'OK' END AS status FROM iv GROUP BY ALL""")
+def spectrum_status_broken_times(spark, sf_dir):
+    """What a spectrum says of channels with repeated and missing times, and of two without."""
+    ev = events(spark, sf_dir)
+    good = F.col("channel").isin("view", "click")
+    return spectrum.spectrum_status(ev.where(good).unionByName(broken_axis(ev.where(~good))))
+
+
 ORACLE_SQL["even_samples_events"] = ORACLE_SQL["even_samples_events"].replace(", 6)", ", 4)")
 
 
