@@ -13,7 +13,7 @@ from wavemill.plans import recipe
 from wavemill.plans.catalog import DAYS, DAYS_WIDE, DFT_WAVES, EV, FRF_ROWS, HOUR, HOURS, ORACLE_SQL, R, daily, events, frf_sql, hourly, query, reset_axis, shared_file, waveforms
 from wavemill.scratch import Scratch, shared_dir
 from wavemill.sources import export, recording_file
-from wavemill.streaming import stateful, source
+from wavemill.streaming import recording_stream, source, stateful
 
 
 # Files -------------------------------------------------------------------------------------
@@ -56,6 +56,54 @@ def sections_by_date_daily(spark, sf_dir):
     return recording_file.read_recording(spark, path).select("sample", "t", "value")
 
 
+@query(f"""WITH {DAYS_WIDE} SELECT channel, CAST(sample AS BIGINT) AS sample, {R('t')}, {R('value')} FROM (SELECT 'A' AS channel, sample, t, a AS value FROM w UNION ALL SELECT 'N', sample, t, n FROM w UNION ALL SELECT 'R', sample, t, r FROM w)
+WHERE (channel = 'A' AND t BETWEEN 864000 AND 86400000) OR (channel = 'R' AND sample >= 100 AND t < 50000000)""")
+def pushed_filters_daily(spark, sf_dir):
+    """Two conditions on one file, taken over by the source: stretches outside aren't read, other channels' cells aren't parsed."""
+    path = shared_file(spark, "daily.csv")
+    export.write_file(daily(spark, sf_dir), path, ["A", "N", "R"])
+    one = recording_file.read_where(spark, "channel = 'A' AND t BETWEEN 864000 AND 86400000", path, checkpoint=200)
+    two = recording_file.read_where(spark, "channel IN ('R') AND sample >= 100 AND t < 50000000", path, checkpoint=200)
+    return one.unionByName(two).select(*LONG)
+
+
+@query(f"""WITH {DAYS_WIDE} SELECT channel, CAST(sample AS BIGINT) AS sample, {R('t + CAST(floor(sample / 50) AS BIGINT) * 10', 't')}, {R('value')}
+FROM (SELECT 'A' AS channel, sample, t, a AS value FROM w UNION ALL SELECT 'N', sample, t, n FROM w UNION ALL SELECT 'R', sample, t, r FROM w)""")
+def many_sections_daily(spark, sf_dir):
+    """A file with a dated section for each fifty days, each clock ten seconds further ahead, whose index is made over
+    ranges of 16 KB."""
+    path = shared_file(spark, "many.lvm")
+    days = daily(spark, sf_dir).groupBy("sample").pivot("channel", ["A", "N", "R"]).agg(F.max("value")).join(daily(spark, sf_dir).where("channel = 'A'").select("sample", "t"), "sample").orderBy("sample")
+
+    def parts():
+        for r in days.toLocalIterator():
+            if r["sample"] % 50 == 0:
+                k = 10 * (r["sample"] // 50)
+                yield f"Date\t2024/05/01\t\nTime\t{10 + k // 3600}:{k // 60 % 60:02d}:{k % 60:02d}\t\nX0\t0\t\n***End_of_Header***\n" + ("" if r["sample"] else "X_Value\tA\tN\tR\n")
+            yield "\t".join(export.number(r[c]) for c in ("t", "A", "N", "R")) + "\n"
+
+    export.atomic_write(path, parts())
+    folder = f"{path}.index"
+    if rest := recording_file.make_indexes(spark, [path], folder, True, 100, width=1 << 14):
+        raise RuntimeError(f"{rest} were read by one task")
+    return recording_file.read_recording(spark, path, checkpoint=100, index=folder).select(*LONG)
+
+
+@query(DAY_ROWS)
+def stream_recording_file_daily(spark, sf_dir):
+    """A recording file as a stream, in micro-batches of 8 KB, from its first byte to its last."""
+    path, scratch = shared_file(spark, "stream.csv"), Scratch(spark)
+    export.write_file(daily(spark, sf_dir), path, ["A", "N"])
+    rows = recording_stream.stream_recording(spark, path, max_bytes=8192, checkpoint=100)
+    out = f"{scratch.root}/rows"
+    running = rows.writeStream.format("parquet").option("checkpointLocation", f"{scratch.root}/state").option("path", out).trigger(processingTime="0 seconds").start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.schema(rows.schema).parquet(out).select(*LONG)
+
+
 @query(f"WITH {DAYS} SELECT {R('min(t)', 't_start')}, {R('max(t)', 't_end')}, (SELECT count(*) FROM w) AS data_rows, 4 AS max_columns FROM ev")
 def scan_time_bounds_daily(spark, sf_dir):
     path = shared_file(spark, "daily.csv")

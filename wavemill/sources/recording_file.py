@@ -4,10 +4,13 @@ LabVIEW measurement files (.lvm), tab-separated text (.txt) and comma-separated
 hold one time column and any number of channels.  A file's sections, clock and labels are a
 state machine over its lines, so one pass notes the state at every CHECKPOINT rows (the index);
 each stretch between notes is a partition that any executor reads alone.  ``read_recording``
-makes the pass in a Spark job: a task reads RANGE bytes, and ranges of rows whose times
-increase follow from each other by a row of facts; only files with sections or breaks in
-their body are read through by one task.  Indexes are stored in the shared folder and hold
-for as long as their file keeps its size and time.  Without an index the driver makes the pass.
+makes the pass in Spark jobs over ranges of RANGE bytes: what section headers do to the clock is
+a small function of each range, and so is what its rows do to the times; composing these gives the
+state at every note.  Only CSV files with quotes in their body, and times that hardly increase,
+are read through by one task.  Indexes are stored in the shared folder and hold for as long as
+their file keeps its size and time.  Without an index the driver makes the pass.
+``read_where`` hands a condition on t, sample, channel and recording_id to the source: it chooses
+stretches, and cells of other channels are not parsed.  As a stream, see wavemill.streaming.recording_stream.
 Paths must be readable on every node (a shared file system).
 
 Long rows: recording_id, channel, sample, t, value (see wavemill.recording), and raw_t.
@@ -27,7 +30,8 @@ import time
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from wavemill.recording import RecordingError
 from wavemill.scratch import shared_dir
@@ -37,6 +41,8 @@ SCHEMA = "recording_id string, channel string, sample long, t double, raw_t doub
 CHECKPOINT = 65_536
 RANGE = 64 << 20
 BOM = "\ufeff"
+HEADER_END = "***End_of_Header***"
+RUNS = 65_536  # stretches of increasing times that one range of bytes may hold
 
 
 @dataclass
@@ -98,6 +104,9 @@ class Index:
     broken: bool = False  # a body that isn't rows alone
     end: int = 0  # the byte the pass has come to
     clock: Clock | None = None
+    pending: dict[str, str] = field(default_factory=dict)  # metadata of the section to come
+    section_open: bool = False  # the section under way has rows
+    leading_rows: bool = False  # rows before the pass met a header
 
     def counts(self) -> dict[str, int]:
         return {k: getattr(self, k) for k in ("header_markers", "data_sections", "data_rows", "max_columns")}
@@ -120,6 +129,51 @@ def is_csv(path: str) -> bool:
     return path.lower().endswith(".csv")
 
 
+def note_metadata(pending: dict[str, str], line: str) -> None:
+    """Keeps what a metadata line says of the section that follows."""
+    key, value = line.split("\t", 1)[0].strip(), (line.split("\t") + [""])[1].strip()
+    if key in ("Date", "Time") and value:
+        pending[key] = value
+    elif key == "X0" and (x0 := parse_cell(value.replace(",", "."))[0]) is not None:
+        pending[key] = repr(x0)
+
+
+def section_start(pending: dict[str, str]) -> tuple[float, float] | None:
+    """(seconds of its date, X0) of the section that these metadata lines begin, if it is dated."""
+    if {"Date", "Time", "X0"} <= pending.keys() and (s := section_seconds(pending["Date"], pending["Time"])) is not None:
+        return s, float(pending["X0"])
+    return None
+
+
+def begin_section(clock: Clock, start: tuple[float, float] | None) -> None:
+    clock.shift = None
+    if start:
+        clock.anchor = start[0] if clock.anchor is None else clock.anchor
+        clock.shift = start[0] - clock.anchor - start[1]
+
+
+UNREAD = (None, False)
+
+
+def read_cells(fields: list[str], wanted) -> list[tuple[float | None, bool]]:
+    """The cells of a row, of which only the first one and the wanted ones are parsed, and as many more as it
+    takes to see that two are numbers."""
+    if wanted is None:
+        return [parse_cell(c) for c in fields]
+    cells, numbers = [UNREAD] * len(fields), 0
+    for c in (0, *wanted):
+        if c < len(fields):
+            cells[c] = parse_cell(fields[c])
+            numbers += cells[c][1]
+    for c, text in enumerate(fields):
+        if numbers >= 2:
+            break
+        if c and c not in wanted:
+            cells[c] = parse_cell(text)
+            numbers += cells[c][1]
+    return cells
+
+
 def _close(a: float, b: float) -> bool:
     return abs(a - b) <= 1e-12 + 1e-9 * abs(b)
 
@@ -134,7 +188,7 @@ def _lines(f, start: int):
         yield at, text.removeprefix(BOM) if at == len(raw) else text
 
 
-def _records(path, f, start):
+def _records(path, f, start, whole_records=False):
     """(end byte, line or None, fields or None): CSV records have fields, other lines text."""
     if not is_csv(path):
         for at, line in _lines(f, start):
@@ -150,7 +204,7 @@ def _records(path, f, start):
         if got is not None:
             yield end, pending, got
             pending = None
-    if pending is not None:
+    if pending is not None and not whole_records:
         raise RecordingError("InvalidOptions", "malformed CSV record: a quote is left open")
 
 
@@ -162,22 +216,25 @@ def _one(record):
     return [] if fields is None else [fields]
 
 
-def scan(path: str, monotonic: bool = True, checkpoint: int = CHECKPOINT, on_row=None, start: int = 0, clock: Clock | None = None, markers: int = 0, labelled: bool = False, rows: int | None = None, until: int | None = None, notes: bool = True) -> Index:
+def scan(path: str, monotonic: bool = True, checkpoint: int = CHECKPOINT, on_row=None, start: int = 0, clock: Clock | None = None, markers: int = 0, labelled: bool = False, rows: int | None = None, until: int | None = None, notes: bool = True, wanted=None, pending: dict[str, str] | None = None, whole_records: bool = False, note_last: bool = False) -> Index:
     """One pass over a file, or from a noted place on over so many rows.
 
     ``on_row(raw_t, t, values)`` gets every row that counts: two numbers or more, the first
     of them finite.  ``until``: lines that start before that byte; ``notes``: whether to keep
-    facts for an index."""
+    facts for an index; ``wanted``: columns whose cells are parsed (the others are None then);
+    ``pending``: metadata lines that stand before ``start``; ``whole_records``: a record that a
+    quote leaves open at the end is still being written, and no error; ``note_last``: the
+    last row is noted as a place, too."""
     index, clock = Index(header_markers=markers, stamp=stamp(path)), clock or Clock(monotonic=monotonic)
-    pending: dict[str, str] = {}
+    pending = dict(pending or {})
     metadata_seen, section_has_data = False, False
     with open(path, "rb") as f:
         begin = start
-        for end, line, fields in _records(path, f, start):
+        for end, line, fields in _records(path, f, start, whole_records):
             if until is not None and begin >= until:
                 break
             begin = index.end = end
-            index.broken = index.broken or '"' in line and (labelled or index.data_rows > 0)
+            index.broken = index.broken or is_csv(path) and '"' in line and (labelled or index.data_rows > 0)
             if fields is None:
                 if not line:
                     continue
@@ -185,34 +242,25 @@ def scan(path: str, monotonic: bool = True, checkpoint: int = CHECKPOINT, on_row
                     if comment := line[1:].strip():
                         index.comments.append(comment)
                     continue
-                index.broken = index.broken or line.startswith("***")
-                if line.startswith("***End_of_Header***"):
+                if line.startswith(HEADER_END):
                     index.header_markers += 1
                     section_has_data = metadata_seen = False
-                    clock.shift = None
-                    if {"Date", "Time", "X0"} <= pending.keys() and (s := section_seconds(pending["Date"], pending["Time"])) is not None:
-                        clock.anchor = s if clock.anchor is None else clock.anchor
-                        clock.shift = s - clock.anchor - float(pending["X0"])
+                    begin_section(clock, section_start(pending))
                     pending = {}
                     continue
                 if line.startswith("***"):
                     continue
                 fields = split_tabs(line)
-            cells = [parse_cell(c) for c in fields]
+            cells = read_cells(fields, wanted if labelled or index.labels else None)
             numbers = sum(ok for _, ok in cells)
             labels_open = not index.labels and not labelled and numbers == 0 and len(fields) > 1
             tabbed = not is_csv(path)
             if tabbed and index.header_markers and not metadata_seen and labels_open:
                 index.labels = fields
                 continue
-            if tabbed and (key := line.split("\t", 1)[0].strip()) in METADATA_KEYS:
-                index.broken = True
+            if tabbed and line.split("\t", 1)[0].strip() in METADATA_KEYS:
                 metadata_seen = metadata_seen or index.header_markers > 0
-                value = (line.split("\t") + [""])[1].strip()
-                if key in ("Date", "Time") and value:
-                    pending[key] = value
-                elif key == "X0" and (x0 := parse_cell(value.replace(",", "."))[0]) is not None:
-                    pending[key] = repr(x0)
+                note_metadata(pending, line)
                 continue
             if labels_open:
                 index.labels = fields
@@ -226,6 +274,7 @@ def scan(path: str, monotonic: bool = True, checkpoint: int = CHECKPOINT, on_row
                 index.frequency_axis = index.labels[:1] == ["Frequency"] or "plot_mode=frequency" in index.comments
             t = raw if index.frequency_axis else clock.advance(raw)
             index.data_rows += 1
+            index.leading_rows = index.leading_rows or index.header_markers == markers
             if not section_has_data:
                 section_has_data, index.data_sections = True, index.data_sections + 1
             if on_row:
@@ -244,11 +293,15 @@ def scan(path: str, monotonic: bool = True, checkpoint: int = CHECKPOINT, on_row
                 if v is not None:
                     index.valid[c] = True
                     index.repeats_time[c] = index.repeats_time[c] and _close(v, raw)
+            if note_last:
+                last, row_clock = (end, t, index.header_markers), replace(clock)
             if index.data_rows % checkpoint == 0:
                 index.places.append((end, index.data_rows, t, replace(clock), index.header_markers))
             if index.data_rows == rows:
                 break
-    index.clock = clock
+    if note_last and notes and index.data_rows and index.data_rows % checkpoint:
+        index.places.append((last[0], index.data_rows, last[1], row_clock, last[2]))
+    index.clock, index.pending, index.section_open = clock, pending, section_has_data
     return index
 
 
@@ -317,45 +370,126 @@ def line_start(path: str, byte: int) -> int:
         return byte - 1 + len(f.readline())
 
 
-def scan_range(path: str, start: int, end: int, shift: float | None, checkpoint: int) -> tuple[Index, list]:
-    """Facts of the lines that start within a range of bytes, and (first, last, smallest step,
-    last step) of its times, before they are made monotonic."""
-    first = last = step = None
-    least = math.inf
+def section_effect(path: str, start: int, end: int) -> dict:
+    """What the lines that start within a range of bytes do to the section clock: metadata before
+    the first header's end, how many headers end, the first dated section that begins and
+    ends its header here, the start of the last one, and metadata after it."""
+    before, pending, markers, anchor, last = {}, {}, 0, None, None
+    keys = {k.encode() for k in METADATA_KEYS}
+    with open(path, "rb") as f:
+        for at, raw in _raw_lines(f, line_start(path, start)):
+            if at >= end:
+                break
+            if raw.startswith(HEADER_END.encode()):
+                if markers:
+                    last = section_start(pending)
+                    anchor = anchor if anchor is not None or not last else last[0]
+                else:
+                    before = pending
+                pending, markers = {}, markers + 1
+            elif not raw.startswith((b"***", b"#")) and raw.split(b"\t", 1)[0].strip() in keys:
+                note_metadata(pending, raw.decode("utf-8", "replace").rstrip("\n").removesuffix("\r"))
+    return {"before": before if markers else pending, "markers": markers, "anchor": anchor, "last": last, "after": pending if markers else {}}
+
+
+def _raw_lines(f, start: int):
+    f.seek(start)
+    at = start
+    for raw in f:
+        yield at, raw
+        at += len(raw)
+
+
+def after_range(state: dict, effect: dict) -> dict:
+    """The section clock behind a range, from the one before it and the range's effect."""
+    clock, pending = Clock(state["anchor"], state["shift"]), state["pending"] | effect["before"]
+    if not effect["markers"]:
+        return state | {"pending": pending}
+    begin_section(clock, section_start(pending))
+    if effect["markers"] > 1:
+        clock.anchor = effect["anchor"] if clock.anchor is None else clock.anchor
+        begin_section(clock, effect["last"] and tuple(effect["last"]))
+    return {"anchor": clock.anchor, "shift": clock.shift, "pending": effect["after"]}
+
+
+def scan_range(path: str, start: int, end: int, state: dict, checkpoint: int) -> tuple[Index, list, list]:
+    """Facts of the lines that start within a range of bytes: an index, the range's runs of
+    increasing times (first, last, smallest step, last step, number of the first row), before they
+    are made monotonic, and for each of the index's places the last step within its run."""
+    runs, steps, rows = [], [], 0
 
     def on_row(raw, t, values):
-        nonlocal first, last, step, least
-        if last is not None:
-            step = t - last
-            least = min(least, step)
-        first, last = t if first is None else first, t
+        nonlocal rows
+        rows += 1
+        if runs and t > runs[-1][1]:
+            run = runs[-1]
+            step = t - run[1]
+            run[1:4] = t, min(run[2], step), step
+        elif len(runs) == RUNS:
+            return True
+        else:
+            runs.append([t, t, math.inf, None, rows])
+        if rows % checkpoint == 0:
+            steps.append(runs[-1][3])
 
     begin, until = line_start(path, start), end
-    clock = Clock(shift=shift, monotonic=False)
+    clock = Clock(state["anchor"], state["shift"], monotonic=False)
     try:
-        index = scan(path, False, checkpoint, on_row, begin, clock, labelled=True, until=until)
+        index = scan(path, False, checkpoint, on_row, begin, clock, labelled=True, until=until, pending=state["pending"])
     except RecordingError:  # a record that begins before the range
         index = Index(broken=True)
-    return index, [first, last, least, step]
-
-
-def follow(index: Index, parts: list[tuple[Index, list]], monotonic: bool) -> Index | None:
+    index.broken = index.broken or len(runs) == RUNS
+    return index, runs, steps
+
+
+def _begin_run(clock: Clock, run: list) -> bool:
+    """Moves the clock to the first row of a run, as Clock.advance would; and whether the run's
+    steps are wide enough that rounding can't bring two of its times together."""
+    first, last, least, _, _ = run
+    new = first + clock.offset
+    if clock.placed is not None:
+        if first > clock.source:
+            clock.step = first - clock.source
+        if new <= clock.placed:
+            new = clock.placed + clock.step
+            if new <= clock.placed:
+                new = math.nextafter(clock.placed, math.inf)
+            clock.offset = new - first
+    clock.source, clock.placed = first, new
+    return least > 8 * math.ulp(max(abs(first), abs(last)) + abs(clock.offset))
+
+
+def follow(index: Index, parts: list[tuple[Index, list, list]], monotonic: bool) -> Index | None:
     """The index of a file from that of its first rows and its other ranges in order, or None if
-    their times don't simply go on."""
+    only a pass from end to end can tell (quotes in a CSV's body, times that hardly increase)."""
     clock = index.clock
-    for part, (first, last, least, step) in parts:
+    for part, runs, steps in parts:
         if part.broken or part.frequency_axis:
             return None
         index.comments += part.comments
-        if not part.data_rows:
-            continue
-        if clock.source is not None and monotonic and not (first > clock.source and least > 0 and first + clock.offset > clock.placed):
-            return None
-        place = lambda now, step: replace(clock, source=now, placed=now + clock.offset, step=step) if monotonic else replace(clock)
-        for byte, row, t, at, _ in part.places:
-            index.places.append((byte, index.data_rows + row, t + clock.offset if monotonic else t, place(t, at.step), index.header_markers))
+        index.data_sections += part.data_sections - (part.leading_rows and index.section_open)
+        if part.header_markers or part.data_rows:
+            index.section_open = part.section_open
+        places = list(zip(part.places, steps))
+        for k, run in enumerate(runs):
+            first, last, least, step, row = run
+            end = runs[k + 1][4] if k + 1 < len(runs) else part.data_rows + 1
+            if monotonic and not _begin_run(clock, run):
+                return None
+            while places and places[0][0][1] < end:
+                (byte, at_row, t, at, markers), at_step = places.pop(0)
+                now = replace(at)
+                if monotonic:
+                    inner = at_row > row
+                    now = replace(clock, anchor=at.anchor, shift=at.shift, source=t, placed=t + clock.offset if inner else clock.placed, step=at_step if inner else clock.step)
+                index.places.append((byte, index.data_rows + at_row, now.placed if monotonic else t, now, index.header_markers + markers))
+            if monotonic and end - row > 1:
+                clock.source, clock.placed, clock.step = last, last + clock.offset, step
+        if part.data_rows:
+            index.bounds = (index.bounds[0], clock.placed if monotonic else part.bounds[1])
+        clock.anchor, clock.shift = part.clock.anchor, part.clock.shift
+        index.header_markers += part.header_markers
         index.data_rows += part.data_rows
-        index.bounds = (index.bounds[0], last + clock.offset if monotonic else last)
         while index.max_columns < part.max_columns:
             index.max_columns += 1
             index.valid.append(False)
@@ -363,45 +497,61 @@ def follow(index: Index, parts: list[tuple[Index, list]], monotonic: bool) -> In
         for c in range(part.max_columns):
             index.valid[c] = index.valid[c] or part.valid[c]
             index.repeats_time[c] = index.repeats_time[c] and part.repeats_time[c]
-        clock = place(last, first - clock.source if step is None and monotonic else step)
+        index.pending = part.pending
     index.clock, index.end = clock, index.stamp[0]
     return index
 
 
-def make_indexes(spark, paths: list[str], folder: str, monotonic: bool, checkpoint: int, width: int = RANGE) -> None:
-    """Stores the indexes that are missing: a job over ranges of bytes, and one over the files
-    that have to be read from end to end."""
+def _by_range(spark, ranges: list[tuple], work) -> dict[str, dict]:
+    """work(row) of each range, a JSON value of bounded size, as {path: {k: value}}."""
     import pyarrow as pa
 
-    paths = [p for p in dict.fromkeys(paths) if load_index(folder, p, monotonic, checkpoint) is None]
-    heads = {p: scan(p, monotonic, checkpoint, rows=checkpoint) for p in paths if os.path.getsize(p) > width}
-    ranges = []
-    for p, head in heads.items():
-        if head.data_rows == checkpoint and not head.frequency_axis:
-            cuts = [head.end, *range((head.end // width + 1) * width, head.stamp[0], width), head.stamp[0]]
-            ranges += [(p, k, a, b, head.clock.shift) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-
-    def facts(batches):
+    def run(batches):
         for batch in batches:
             rows = batch.to_pylist()
-            got = []
-            for r in rows:
-                index, times = scan_range(r["path"], r["start"], r["end"], r["shift"], checkpoint)
-                got.append(json.dumps([asdict(index), times]))
-            yield pa.RecordBatch.from_pydict({"path": pa.array([r["path"] for r in rows], pa.string()), "k": pa.array([r["k"] for r in rows], pa.int32()), "facts": pa.array(got, pa.string())})
+            out = [json.dumps(work(r)) for r in rows]
+            yield pa.RecordBatch.from_pydict({"path": pa.array([r["path"] for r in rows], pa.string()), "k": pa.array([r["k"] for r in rows], pa.int32()), "facts": pa.array(out, pa.string())})
 
-    done = set()
+    found: dict[str, dict] = {}
     if ranges:
-        table = spark.createDataFrame(ranges, "path string, k int, start long, end long, shift double").repartition(len(ranges))
-        found: dict[str, dict] = {}
-        for r in table.mapInArrow(facts, "path string, k int, facts string").collect():  # a row of facts for each RANGE bytes
-            index, times = json.loads(r["facts"])
-            found.setdefault(r["path"], {})[r["k"]] = (from_json(json.dumps(index)), times)
-        for p, parts in found.items():
-            if (index := follow(heads[p], [parts[k] for k in sorted(parts)], monotonic)) is not None and stamp(p) == index.stamp:
-                store_index(folder, p, index, monotonic, checkpoint)
-                done.add(p)
-    rest = [(p,) for p in paths if p not in done]
+        table = spark.createDataFrame(ranges, "path string, k int, start long, end long, state string").repartition(len(ranges))
+        for r in table.mapInArrow(run, "path string, k int, facts string").collect():  # a row for each RANGE bytes
+            found.setdefault(r["path"], {})[r["k"]] = json.loads(r["facts"])
+    return found
+
+
+def make_indexes(spark, paths: list[str], folder: str, monotonic: bool, checkpoint: int, width: int = RANGE) -> list[str]:
+    """Stores the indexes that are missing, and gives the paths that had to be read from end to end.
+
+    One job over ranges of bytes looks for section headers only; what they do to the clock is
+    composed range by range, so that the next job knows the clock at the start of each range
+    and finds the rows' facts; the recurrence of the times is composed from their runs."""
+    import pyarrow as pa
+
+    paths = [p for p in dict.fromkeys(paths) if load_index(folder, p, monotonic, checkpoint) is None]
+    heads = {p: scan(p, monotonic, checkpoint, rows=checkpoint) for p in paths if os.path.getsize(p) > width}
+    heads = {p: head for p, head in heads.items() if head.data_rows == checkpoint and not head.frequency_axis}
+    cuts = {p: [h.end, *range((h.end // width + 1) * width, h.stamp[0], width), h.stamp[0]] for p, h in heads.items()}
+    ranges = {p: list(enumerate(zip(c, c[1:]))) for p, c in cuts.items()}
+    effects = _by_range(spark, [(p, k, a, b, "") for p, parts in ranges.items() if not is_csv(p) for k, (a, b) in parts], lambda r: section_effect(r["path"], r["start"], r["end"]))
+    known = []
+    for p, parts in ranges.items():
+        state = {"anchor": heads[p].clock.anchor, "shift": heads[p].clock.shift, "pending": heads[p].pending}
+        for k, (a, b) in parts:
+            known.append((p, k, a, b, json.dumps(state)))
+            state = after_range(state, effects[p][k]) if p in effects else state
+
+    def facts(r):
+        index, runs, steps = scan_range(r["path"], r["start"], r["end"], json.loads(r["state"]), checkpoint)
+        return [to_json(index), runs, steps]
+
+    done = set()
+    for p, parts in _by_range(spark, known, facts).items():
+        parts = [(from_json(parts[k][0]), *parts[k][1:]) for k in sorted(parts)]
+        if (index := follow(heads[p], parts, monotonic)) is not None and stamp(p) == index.stamp:
+            store_index(folder, p, index, monotonic, checkpoint)
+            done.add(p)
+    rest = [p for p in paths if p not in done]
 
     def whole(batches):
         for batch in batches:
@@ -410,7 +560,8 @@ def make_indexes(spark, paths: list[str], folder: str, monotonic: bool, checkpoi
             yield batch
 
     if rest:
-        spark.createDataFrame(rest, "path string").repartition(len(rest)).mapInArrow(whole, "path string").count()
+        spark.createDataFrame([(p,) for p in rest], "path string").repartition(len(rest)).mapInArrow(whole, "path string").count()
+    return rest
 
 
 @dataclass
@@ -423,74 +574,154 @@ class Stretch(InputPartition):
     clock: Clock
     markers: int
     columns: list[tuple[int, str]]
-    stamp: tuple[int, int]
+    stamp: tuple[int, int] | None  # None: a file that grows
     lo: float
     hi: float
-    frequency_axis: bool
+    samples: tuple[int, int]
 
 
-class RecordingReader(DataSourceReader):
+@dataclass
+class Bounds:
+    """What rows a reader is asked for: an interval of time, one of samples, names of channels and
+    recordings (None: all)."""
+
+    lo: float = -math.inf
+    hi: float = math.inf
+    first: int = 0
+    last: int = 1 << 62
+    channels: set | None = None
+    recordings: set | None = None
+
+    def push(self, f) -> bool:
+        """Takes a filter over; False if Spark has to apply it."""
+        name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+        value = getattr(f, "value", None)
+        if isinstance(f, IsNotNull):
+            return name in ("recording_id", "channel", "sample", "t")
+        if name in ("channel", "recording_id") and isinstance(f, (EqualTo, In)):
+            named = {value} if isinstance(f, EqualTo) else set(value)
+            attribute = "channels" if name == "channel" else "recordings"
+            held = getattr(self, attribute)
+            setattr(self, attribute, named if held is None else held & named)
+            return True
+        if name not in ("t", "sample") or not isinstance(value, (int, float)) or value != value:
+            return False
+        least, most = isinstance(f, (EqualTo, GreaterThanOrEqual, GreaterThan)), isinstance(f, (EqualTo, LessThanOrEqual, LessThan))
+        strict = isinstance(f, (GreaterThan, LessThan))
+        if not least and not most:
+            return False
+        if name == "t":
+            value = float(value)
+            self.lo = max(self.lo, math.nextafter(value, math.inf) if strict else value) if least else self.lo
+            self.hi = min(self.hi, math.nextafter(value, -math.inf) if strict else value) if most else self.hi
+        elif isinstance(value, int):
+            self.first = max(self.first, value + strict) if least else self.first
+            self.last = min(self.last, value - strict) if most else self.last
+        else:
+            return False
+        return True
+
+
+def kept_columns(columns: list[tuple[int, str]], places: str | None, names: set | None) -> list[tuple[int, str]]:
+    """The channels that were asked for by place (1-based, by commas) and by name."""
+    if places:
+        asked = [int(x) for x in places.split(",")]
+        if any(not 1 <= p <= len(columns) for p in asked):
+            raise RecordingError("InvalidChannels", f"channels are 1 to {len(columns)}")
+        columns = [columns[p - 1] for p in asked]
+    if not columns:
+        raise RecordingError("InvalidChannels", "no data channels")
+    return [c for c in columns if names is None or c[1] in names]
+
+
+class Options:
+    """The options of the data source."""
+
     def __init__(self, options):
-        self.options = options
-        self.paths = [p for p in options.get("path", "").split(",") if p]
-        self.lo, self.hi = float(options.get("start", "-inf")), float(options.get("end", "inf"))
-        if not self.paths or math.isnan(self.lo) or math.isnan(self.hi) or self.lo > self.hi:
+        get = options.get
+        self.paths = [p.removeprefix("file://") for p in get("path", "").split(",") if p]
+        self.bounds = Bounds(float(get("start", "-inf")), float(get("end", "inf")))
+        if not self.paths or not self.bounds.lo <= self.bounds.hi:
             raise RecordingError("InvalidOptions", "a path and bounds in order are needed")
-        self.monotonic = options.get("monotonic", "true").lower() == "true"
+        self.monotonic = get("monotonic", "true").lower() == "true"
+        self.checkpoint, self.index, self.channels = int(get("checkpoint", CHECKPOINT)), get("index"), get("channels")
+        self.keep_duplicate_time = get("keep_duplicate_time", "false").lower() == "true"
+        self.max_bytes = int(get("max_bytes", 1 << 28))
+
+
+def stretches(o: Options, path: str, name: str, places: list, end_row: int, end_t: float, columns: list, mark) -> list[Stretch]:
+    """The parts of a file between its places that may hold rows within the bounds."""
+    out, b = [], o.bounds
+    columns = kept_columns(columns, o.channels, b.channels)
+    if not columns or b.recordings is not None and name not in b.recordings or b.lo > b.hi:
+        return out
+    for k, (byte, row, before, clock, markers) in enumerate(places):
+        upto = places[k + 1][1] if k + 1 < len(places) else end_row
+        after = places[k + 1][2] if k + 1 < len(places) else end_t
+        # Times increase, so a stretch that ends before the window or starts after it is skipped.
+        outside = o.monotonic and (after < b.lo or before >= b.hi) or upto <= b.first or row > b.last
+        if upto > row and not outside:
+            out.append(Stretch(path, name, byte, row, upto - row, clock, markers, columns, mark, b.lo, b.hi, (b.first, b.last)))
+    return out
+
+
+def read_stretch(part: Stretch):
+    """Long rows of a stretch, channel by channel; only the cells of its channels are parsed."""
+    import pyarrow as pa
+
+    if part.stamp is not None and stamp(part.path) != part.stamp:
+        raise RecordingError("SourceChanged", part.path)
+    samples, times, raws = [], [], []
+    columns, sample = [[] for _ in part.columns], part.first_row
+
+    def on_row(raw, t, values):
+        nonlocal sample
+        if part.lo <= t <= part.hi and part.samples[0] <= sample <= part.samples[1]:
+            samples.append(sample)
+            times.append(t)
+            raws.append(raw)
+            for out, (c, _) in zip(columns, part.columns):
+                out.append(values[c] if c < len(values) else None)
+        sample += 1
+        return t > part.hi and part.clock.monotonic or sample > part.samples[1]
+
+    got = scan(part.path, part.clock.monotonic, on_row=on_row, start=part.start, clock=replace(part.clock), markers=part.markers, labelled=part.start > 0, rows=part.rows, notes=False, wanted=[c for c, _ in part.columns], whole_records=part.stamp is None)
+    if stamp(part.path) != part.stamp if part.stamp is not None else not samples and got.data_rows == 0:
+        raise RecordingError("SourceChanged", part.path)
+    n = len(samples)
+    axis = [pa.array(samples, pa.int64()), pa.array(times, pa.float64()), pa.array(raws, pa.float64())]
+    for (_, name), values in zip(part.columns, columns):
+        names = [pa.repeat(pa.scalar(x, pa.string()), n) for x in (part.recording_id, name)]
+        yield pa.RecordBatch.from_arrays([*names, *axis, pa.array(values, pa.float64())], names=["recording_id", "channel", "sample", "t", "raw_t", "value"])
+
+
+class RecordingReader(DataSourceReader):
+    def __init__(self, options):
+        self.options = Options(options)
 
     def partitions(self):
-        out, names = [], recording_ids([p.removeprefix("file://") for p in self.paths])
-        for path in names:
-            checkpoint = int(self.options.get("checkpoint", CHECKPOINT))
-            folder = self.options.get("index")
-            index = load_index(folder, path, self.monotonic, checkpoint) if folder else None
-            index = index or scan(path, self.monotonic, checkpoint)
+        out, o = [], self.options
+        for path, name in recording_ids(o.paths).items():
+            index = load_index(o.index, path, o.monotonic, o.checkpoint) if o.index else None
+            index = index or scan(path, o.monotonic, o.checkpoint)
             if not index.data_rows:
                 raise RecordingError("TooShort", f"no numeric data in {path}")
-            columns = index.channels(self.options.get("keep_duplicate_time", "false").lower() == "true")
-            if wanted := self.options.get("channels"):
-                places = [int(x) for x in wanted.split(",")]
-                if any(not 1 <= p <= len(columns) for p in places):
-                    raise RecordingError("InvalidChannels", f"channels are 1 to {len(columns)}")
-                columns = [columns[p - 1] for p in places]
-            if not columns:
-                raise RecordingError("InvalidChannels", "no data channels")
-            places = [(0, 0, -math.inf, Clock(monotonic=self.monotonic), 0), *index.places]
-            for k, (byte, row, before, clock, markers) in enumerate(places):
-                rows = (places[k + 1][1] if k + 1 < len(places) else index.data_rows) - row
-                after = places[k + 1][2] if k + 1 < len(places) else math.inf
-                # Times increase, so a stretch that ends before the window or starts after it is skipped.
-                if rows and not (self.monotonic and (after < self.lo or before > self.hi)):
-                    out.append(Stretch(path, names[path], byte, row, rows, clock, markers, columns, index.stamp, self.lo, self.hi, index.frequency_axis))
+            places = [(0, 0, -math.inf, Clock(monotonic=o.monotonic), 0), *index.places]
+            out += stretches(o, path, name, places, index.data_rows, index.bounds[1], index.channels(o.keep_duplicate_time), index.stamp)
         return out
 
-    def read(self, part: Stretch):
-        if stamp(part.path) != part.stamp:
-            raise RecordingError("SourceChanged", part.path)
-        import pyarrow as pa
-
-        samples, times, raws = [], [], []
-        columns, sample = [[] for _ in part.columns], part.first_row
-
-        def on_row(raw, t, values):
-            nonlocal sample
-            if part.lo <= t <= part.hi:
-                samples.append(sample)
-                times.append(t)
-                raws.append(raw)
-                for out, (c, _) in zip(columns, part.columns):
-                    out.append(values[c] if c < len(values) else None)
-            sample += 1
-            return t > part.hi and part.clock.monotonic
-
-        scan(part.path, self.monotonic, on_row=on_row, start=part.start, clock=replace(part.clock), markers=part.markers, labelled=part.start > 0, rows=part.rows, notes=False)
-        if stamp(part.path) != part.stamp:
-            raise RecordingError("SourceChanged", part.path)
-        n = len(samples)
-        axis = [pa.array(samples, pa.int64()), pa.array(times, pa.float64()), pa.array(raws, pa.float64())]
-        for (_, name), values in zip(part.columns, columns):
-            names = [pa.repeat(pa.scalar(x, pa.string()), n) for x in (part.recording_id, name)]
-            yield pa.RecordBatch.from_arrays([*names, *axis, pa.array(values, pa.float64())], names=["recording_id", "channel", "sample", "t", "raw_t", "value"])
+    def read(self, part: Stretch | None):
+        yield from read_stretch(part) if part else ()
+
+
+class FilteringReader(RecordingReader):
+    """Takes filters over.  Spark keeps one read plan for each relation that was loaded, whatever plans
+    use it; so this reader is for relations of one condition (``read_where``)."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if not self.options.bounds.push(f):
+                yield f
 
 
 class RecordingSource(DataSource):
@@ -502,10 +733,17 @@ class RecordingSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return RecordingReader(self.options)
+        return (FilteringReader if self.options.get("pushdown") == "true" else RecordingReader)(self.options)
+
+    def streamReader(self, schema):
+        from wavemill.streaming.recording_stream import RecordingStreamReader
+
+        return RecordingStreamReader(self.options)
 
 
 def register(spark) -> None:
+    """Makes the format known, and lets Spark hand it filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RecordingSource)
 
 
@@ -545,3 +783,12 @@ def read_recording(spark, *paths: str, **options):
         reader = reader.option(k, str(v).lower() if isinstance(v, bool) else str(v))
     return reader.load()
 
+
+def read_where(spark, condition, *paths: str, **options):
+    """Long rows that meet a condition (text or Column), of which the source takes over comparisons of t, sample,
+    channel and recording_id with constants.
+
+    Each call loads a relation of its own, and nothing that is done with the result is pushed below
+    the condition, so the source sees the same filters in every plan."""
+    rows = read_recording(spark, *paths, pushdown=True, **options).where(condition)
+    return rows.observe(f"rows_{uuid.uuid4().hex}", F.count("*").alias("n"))
