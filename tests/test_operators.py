@@ -317,3 +317,20 @@ def test_progress_and_cancellation(spark):
 def test_stored_sampling():
     lines = ["[export]", "sample_dt=9", "[fft_sampling]", "source_start=1.5", "sample_dt=-1", "sample_count=12", "resampled=1", "gaps_ignored=0", "x=1", "source_end=nan"]
     assert spectrum.stored_sampling(lines) == {"source_start": 1.5, "sample_count": 12, "resampled": True, "gaps_ignored": False}
+
+
+@pytest.mark.parametrize("block", [3, 7, 1 << 18])
+def test_exact_times_by_blocks(spark, block):
+    rng = np.random.default_rng(8)
+    axes = {
+        "steps": np.cumsum(rng.choice([0.1, 0.1, 0.3, 0.0, -0.5], 200)), "tens": np.tile(np.arange(10) * 0.1, 20), "still": np.zeros(30), "falls": -np.arange(40.0),
+        "holes": np.where(rng.random(100) < 0.4, np.nan, np.cumsum(rng.choice([1.0, -2.0, 0.7], 100))), "none": np.full(20, np.nan), "fine": 1e9 + np.arange(60) * 2.0**-23,
+        "jump": np.r_[np.arange(30.0), 1e17, np.arange(30.0)],
+    }
+    rows = [("r", c, i, None if x != x else float(x), 0.0) for c, t in axes.items() for i, x in enumerate(t.tolist())]
+    got = timeline.monotonic_exact(spark.createDataFrame(rows, LONG_SCHEMA).repartition(5), block).orderBy("channel", "sample").collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["channel"], []).append(math.nan if r["t"] is None else r["t"])
+    for c, t in axes.items():
+        assert np.array_equal(found[c], timeline.advance(t), equal_nan=True), c

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wavemill.clock import FIRST_STEP, MonotonicClock, Runs
 from wavemill.operators.blocks import BLOCK, neighbours, running_sum
 from wavemill.recording import SERIES, RecordingError, finite
 from wavemill.scratch import settle
 
-FIRST_STEP = 1e-6  # step assumed before any positive interval was seen
 GAP_FACTOR = 1.5  # an interval beyond this many cadences is a gap
 
 
@@ -46,36 +47,77 @@ def _monotonic(long: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("t", F.col("t") + F.col("__shift"))
 
 
-def advance(times: np.ndarray) -> np.ndarray:
+def advance(times: np.ndarray, clock: MonotonicClock | None = None) -> np.ndarray:
     """The recurrence itself; times that aren't finite become NaN and leave no trace."""
-    out, offset, step = np.full(len(times), np.nan), 0.0, FIRST_STEP
-    source = placed = None
-    for i, now in enumerate(times.tolist()):
-        if not np.isfinite(now):
-            continue
-        new = now + offset
-        if placed is not None:
-            if np.isfinite(now - source) and now > source:
-                step = now - source
-            if new <= placed:
-                new = placed + step
-                if new <= placed:
-                    new = float(np.nextafter(placed, np.inf))
-                offset = new - now
-        source, placed = now, new
-        out[i] = new
-    return out
+    clock = clock or MonotonicClock()
+    return np.array([clock.place(now) if np.isfinite(now) else np.nan for now in times.tolist()], float)
+
+
+RUN = "recording_id string, channel string, block long, row long, first double, last double, least double, step double, rows long"
+CARRY = "recording_id string, channel string, block long, source double, placed double, offset double, step double, sure boolean"
 
 
-def monotonic_exact(long: DataFrame) -> DataFrame:
-    """As ``monotonic``, by the literal recurrence, one task for each channel's time axis."""
+def monotonic_exact(long: DataFrame, block: int = BLOCK) -> DataFrame:
+    """As ``monotonic``, digit by digit: the literal recurrence, a block of samples a task.
+
+    Blocks give their runs of increasing times, along which the recurrence only adds an offset; a
+    pass over these rows, in order, gives the state before each block, from which blocks are
+    done for good.  Channels with runs whose steps are lost to rounding go through one task each."""
+    rows = long.withColumn("__block", F.floor(F.col("sample") / block))
+    runs = rows.groupBy(*SERIES, "__block").applyInPandas(_block_runs, RUN)
+    carry = settle(runs.repartition(*SERIES).sortWithinPartitions(*SERIES, "block", "row").mapInArrow(_fold_runs, CARRY))
+    fine = carry.groupBy(*SERIES).agg(F.bool_and("sure").alias("sure"))
+    unsure = settle(fine.where("NOT sure").select(*SERIES))
+    carry = carry.join(unsure, list(SERIES), "left_anti").select(*SERIES, F.col("block").alias("__block"), *(F.col(c).alias(f"__{c}") for c in ("source", "placed", "offset", "step")))
+
+    columns = long.columns
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("sample")
-        group["t"] = advance(group["t"].to_numpy(float))
-        return group
+        group, first = group.sort_values("sample"), group.iloc[0]
+        clock = MonotonicClock()
+        if not pd.isna(first["__offset"]):
+            clock = MonotonicClock(*(None if pd.isna(first[c]) else float(first[c]) for c in ("__source", "__placed")), float(first["__offset"]), float(first["__step"]))
+        group["t"] = advance(group["t"].to_numpy(float), clock)
+        return group[columns]
+
+    # Blocks without finite times have no state and need none.
+    out = rows.join(unsure, list(SERIES), "left_anti").join(carry, [*SERIES, "__block"], "left").groupBy(*SERIES, "__block").applyInPandas(run, long.schema)
+    if unsure.limit(1).count():
+        whole = long.join(unsure, list(SERIES), "left_semi").groupBy(*SERIES)
+        out = out.unionByName(whole.applyInPandas(lambda g: (g := g.sort_values("sample")).assign(t=advance(g["t"].to_numpy(float))), long.schema))
+    return out
 
-    return long.groupBy(*SERIES).applyInPandas(run, long.schema)
+
+def _block_runs(group: pd.DataFrame) -> pd.DataFrame:
+    group, runs = group.sort_values("sample"), Runs()
+    times = group["t"].to_numpy(float)
+    for t in times[np.isfinite(times)].tolist():
+        runs.note(t)
+    out = pd.DataFrame([*runs], columns=["first", "last", "least", "step", "row"])
+    out["rows"] = np.diff(np.r_[out["row"].to_numpy(np.int64), runs.rows + 1]) if len(out) else np.zeros(0, np.int64)
+    return out.assign(**{c: group[c].iloc[0] for c in SERIES}, block=group["__block"].iloc[0])[["recording_id", "channel", "block", "row", "first", "last", "least", "step", "rows"]]
+
+
+def _fold_runs(batches):
+    """Runs come in order; gives the state before each block, and whether all runs up to the next
+    block are wider than rounding."""
+    now = key = clock = None
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            here = (r["recording_id"], r["channel"])
+            if here != key:
+                key, clock, now = here, MonotonicClock(), None
+            if r["block"] != now:
+                now = r["block"]
+                out.append([*key, now, clock.source, clock.placed, clock.offset, clock.step, True])
+            if not clock.begin_run(r["first"], r["last"], r["least"]):
+                out.append([*key, now, None, None, None, None, False])
+            if r["rows"] > 1:
+                clock.end_run(r["last"], r["step"])
+        if out:
+            kinds = [pa.string(), pa.string(), pa.int64(), *[pa.float64()] * 4, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[c.split()[0] for c in CARRY.split(", ")])
 
 
 def intervals(long: DataFrame) -> DataFrame:
@@ -83,43 +125,66 @@ def intervals(long: DataFrame) -> DataFrame:
     return neighbours(long, {"t_before": ("t", -1)}).withColumn("dt", F.col("t") - F.col("t_before"))
 
 
-def _median_at(n):
-    """Places (from 0) of the two middle ones of n sorted values."""
-    return F.floor((n - 1) / 2), F.floor(n / 2)
+SELECT = 1 << 18  # values that one task sorts to select among them
+PARTS = 4096
+
+
+def select_places(values: DataFrame, targets: DataFrame) -> DataFrame:
+    """(keys, which, at): the value that has so many before it in the order of a channel's values.
+
+    ``values`` has (keys, x); ``targets`` (keys, which, place, lo, hi, n, before): the place lies among
+    n values within [lo, hi], ``before`` values are less than these.  Ranges with more than SELECT
+    values are cut into PARTS, whose counts tell where the place lies, until the rest can be sorted."""
+    found = settle(targets)
+    while found.where((F.col("lo") < F.col("hi")) & (F.col("n") > SELECT)).limit(1).count():
+        wide = (F.col("lo") < F.col("hi")) & (F.col("n") > SELECT)
+        rows = values.join(found.where(wide), list(SERIES)).where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+        part = F.least(F.floor((F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * PARTS), F.lit(PARTS - 1))
+        keys = [*SERIES, "which", "place"]
+        parts = rows.groupBy(*keys, "before", part.alias("part")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+        below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = parts.withColumn("before", F.col("before") + below).where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("n")))
+        found = settle(found.where(~wide).unionByName(parts.drop("part")))
+    known = found.where("lo = hi").select(*SERIES, "which", F.col("lo").alias("at"))
+    rows = values.join(found.where("lo < hi"), list(SERIES)).where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+    nth = F.row_number().over(Window.partitionBy(*SERIES, "which", "place").orderBy("x"))
+    rows = rows.withColumn("nth", nth).where(F.col("nth") == F.col("place") - F.col("before") + 1)
+    return known.unionByName(rows.select(*SERIES, "which", F.col("x").alias("at")))
 
 
 def cadence(long: DataFrame) -> DataFrame:
     """Typical sample spacing of each channel: (keys, cadence, n_intervals), from the intervals
     that are finite and positive; a channel without any has no row.
 
-    Intervals are sorted.  They are cut where one is more than 4 times its predecessor; or
+    In the order of their sizes, intervals are cut where one is more than 4 times its predecessor; or
     already where one is more than 1.5 times its predecessor, if every interval is within
     5 % of a whole multiple of the median of those before the cut.  The lower part keeps two
-    intervals at least, and its median is the cadence.  Equal intervals count as one row
-    with a weight, so a clocked recording of any length is a handful of rows here."""
-    w = Window.partitionBy(*SERIES).orderBy("dt")
-    d = intervals(long).where(finite(F.col("dt")) & (F.col("dt") > 0)).groupBy(*SERIES, "dt").agg(F.count("*").alias("c"))
-    d = d.withColumn("i", F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("r", F.col("dt") / F.lag("dt").over(w))
-    whole = Window.partitionBy(*SERIES)
-    far, near = F.col("r") > 4, F.col("r") > GAP_FACTOR
-    d = (
-        d.withColumn("n", F.sum("c").over(whole))
-        .withColumn("cut4", F.min(F.when((F.col("i") >= 2) & far, F.col("i"))).over(whole))
-        .withColumn("cut15", F.min(F.when((F.col("i") >= 2) & near, F.col("i"))).over(whole))
+    intervals at least, and its median is the cadence.
+
+    Nothing is sorted as a whole: intervals are counted in ranges of a twentieth of the logarithm, of which a
+    channel has a few thousand at most.  A cut lies between two of these, and is found
+    from their bounds; medians are selected within theirs (``select_places``)."""
+    d = settle(intervals(long).where(finite(F.col("dt")) & (F.col("dt") > 0)).select(*SERIES, F.col("dt").alias("x")))
+    held = d.groupBy(*SERIES, F.floor(F.log("x") * 20).alias("range")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    w = Window.partitionBy(*SERIES).orderBy("range")
+    held = settle(held.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("r", F.col("lo") / F.lag("hi").over(w)))
+    first = lambda ratio: F.min(F.when((F.col("before") >= 2) & (F.col("r") > ratio), F.col("before")))
+    cuts = held.groupBy(*SERIES).agg(F.sum("n").alias("total"), first(4).alias("cut4"), first(GAP_FACTOR).alias("cut15"))
+    cuts = cuts.withColumn("late", F.coalesce("cut4", "total")).withColumn("early", F.when(F.col("cut15") < F.coalesce("cut4", F.col("total") + 1), F.col("cut15")))
+    cuts = cuts.select(*SERIES, "total", "late", "early")
+    # The two middle places of the intervals before each cut.
+    sides = F.array(*(F.struct(F.lit(name).alias("which"), F.floor((F.col(name) + odd) / 2).alias("place")) for name in ("late", "early") for odd in (-1, 0)))
+    places = cuts.select(*SERIES, F.explode(sides).alias("p")).select(*SERIES, "p.*").where("place IS NOT NULL")
+    targets = places.join(held.drop("range", "r"), list(SERIES)).where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("n")))
+    medians = select_places(d, targets.distinct()).groupBy(*SERIES).agg(
+        *((0.5 * F.min(F.when(F.col("which") == name, F.col("at"))) + 0.5 * F.max(F.when(F.col("which") == name, F.col("at")))).alias(f"at_{name}") for name in ("late", "early"))
     )
-
-    def median(n):
-        lo, hi = _median_at(n)
-        at = lambda p: F.max(F.when((F.col("i") <= p) & (F.col("i") + F.col("c") > p), F.col("dt"))).over(whole)
-        return 0.5 * at(lo) + 0.5 * at(hi)
-
-    d = d.withColumn("base", median(F.col("cut15")))
-    ratio = F.col("dt") / F.col("base")
-    fits = (ratio >= 0.95) & (F.abs(ratio - F.round(ratio)) <= 0.05)
-    d = d.withColumn("fits", F.min(F.coalesce(fits, F.lit(False)).cast("int")).over(whole) == 1)
-    early = (F.col("cut15") < F.coalesce("cut4", F.col("n") + 1)) & F.col("fits")
-    d = d.withColumn("kept", F.when(early, F.col("cut15")).otherwise(F.coalesce("cut4", "n"))).withColumn("cadence", median(F.col("kept")))
-    return d.groupBy(*SERIES).agg(F.max("cadence").alias("cadence"), F.max("n").alias("n_intervals"))
+    out = settle(cuts.join(medians, list(SERIES)))
+    if not out.where("early IS NOT NULL").limit(1).count():
+        return out.select(*SERIES, F.col("at_late").alias("cadence"), F.col("total").alias("n_intervals"))
+    ratio = F.col("x") / F.col("at_early")
+    fits = d.join(out.where("early IS NOT NULL").select(*SERIES, "at_early"), list(SERIES)).groupBy(*SERIES).agg(F.bool_and((ratio >= 0.95) & (F.abs(ratio - F.round(ratio)) <= 0.05)).alias("fits"))
+    return out.join(fits, list(SERIES), "left").select(*SERIES, F.when(F.col("fits"), F.col("at_early")).otherwise(F.col("at_late")).alias("cadence"), F.col("total").alias("n_intervals"))
 
 
 def timeline_report(long: DataFrame) -> DataFrame:

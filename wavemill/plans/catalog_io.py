@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from wavemill.operators import filters, frf, spectrum, stats
 from wavemill.plans import recipe
 from wavemill.plans.catalog import DAYS, DAYS_WIDE, DFT_WAVES, EV, FRF_ROWS, HOUR, HOURS, ORACLE_SQL, R, daily, events, frf_sql, hourly, query, reset_axis, shared_file, waveforms
+from wavemill.recording import long_to_wide
 from wavemill.scratch import Scratch, shared_dir
 from wavemill.sources import export, recording_file
+from wavemill.sources.text_writer import Layout, write_ordered
 from wavemill.streaming import recording_stream, source, stateful
 
 
@@ -44,15 +46,10 @@ SELECT sample, {R('t')}, {R('a', 'value')} FROM x""")
 def sections_by_date_daily(spark, sf_dir):
     """Two sections, the second's clock a hundred seconds ahead of the first one's."""
     path = shared_file(spark, "sections.lvm")
-    rows = daily(spark, sf_dir).where("channel = 'A'").orderBy("sample").select("sample", "t", "value").toLocalIterator()
-
-    def parts():
-        for r in rows:
-            if r["sample"] in (0, 100):
-                yield f"Date\t2024/05/01\t\nTime\t10:0{0 if not r['sample'] else 1}:{0 if not r['sample'] else 40}\t\nX0\t0\t\n***End_of_Header***\n" + ("X_Value\tA\tComment\n" if not r["sample"] else "")
-            yield f"{export.number(r['t'])}\t{export.number(r['value'])}\t\n"
-
-    export.atomic_write(path, parts())
+    head = "Date\t2024/05/01\t\nTime\t10:0{}\t\nX0\t0\t\n***End_of_Header***\n"
+    first = F.when(F.col("sample") == 0, head.format("0:00") + "X_Value\tA\tComment\n").when(F.col("sample") == 100, head.format("1:40")).otherwise("")
+    rows = daily(spark, sf_dir).where("channel = 'A'").orderBy("sample")
+    write_ordered(rows.select(F.concat(first, F.concat_ws("\t", F.col("t").cast("string"), F.col("value").cast("string"), F.lit("")), F.lit("\n"))), path, layout=Layout(raw=True))
     return recording_file.read_recording(spark, path).select("sample", "t", "value")
 
 
@@ -73,16 +70,11 @@ def many_sections_daily(spark, sf_dir):
     """A file with a dated section for each fifty days, each clock ten seconds further ahead, whose index is made over
     ranges of 16 KB."""
     path = shared_file(spark, "many.lvm")
-    days = daily(spark, sf_dir).groupBy("sample").pivot("channel", ["A", "N", "R"]).agg(F.max("value")).join(daily(spark, sf_dir).where("channel = 'A'").select("sample", "t"), "sample").orderBy("sample")
-
-    def parts():
-        for r in days.toLocalIterator():
-            if r["sample"] % 50 == 0:
-                k = 10 * (r["sample"] // 50)
-                yield f"Date\t2024/05/01\t\nTime\t{10 + k // 3600}:{k // 60 % 60:02d}:{k % 60:02d}\t\nX0\t0\t\n***End_of_Header***\n" + ("" if r["sample"] else "X_Value\tA\tN\tR\n")
-            yield "\t".join(export.number(r[c]) for c in ("t", "A", "N", "R")) + "\n"
-
-    export.atomic_write(path, parts())
+    days = long_to_wide(daily(spark, sf_dir), ["A", "N", "R"])
+    k = 10 * F.floor(F.col("sample") / 50)
+    head = F.format_string("Date\t2024/05/01\t\nTime\t%d:%02d:%02d\t\nX0\t0\t\n***End_of_Header***\n%s", 10 + F.floor(k / 3600), F.floor(k / 60) % 60, k % 60, F.when(F.col("sample") == 0, "X_Value\tA\tN\tR\n").otherwise(""))
+    row = F.concat_ws("\t", *(F.col(c).cast("string") for c in ("t", "A", "N", "R")))
+    write_ordered(days.orderBy("sample").select(F.concat(F.when(F.col("sample") % 50 == 0, head).otherwise(""), row, F.lit("\n"))), path, layout=Layout(raw=True))
     folder = f"{path}.index"
     if rest := recording_file.make_indexes(spark, [path], folder, True, 100, width=1 << 14):
         raise RuntimeError(f"{rest} were read by one task")

@@ -1,8 +1,8 @@
 """Sinks: tables as CSV, tab-separated text and LabVIEW measurement files, with metadata.
 
-``write_text`` lets every executor write its part of a directory; ``write_file`` streams one
-ordered file through the driver row by row, for recordings that people open elsewhere, and
-renames it into place when complete, so a failure leaves the old file as it was.
+``write_text`` lets every executor write its part of a directory; the others make one ordered
+file, for recordings that people open elsewhere, from parts that executors write (see
+text_writer.py); a failure leaves the old file as it was.
 """
 
 from __future__ import annotations
@@ -11,27 +11,15 @@ import datetime
 import hashlib
 import os
 import re
-import tempfile
 import urllib.parse
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.recording import RecordingError, long_to_wide
-
-
-def number(v: float | None, digits: int = 17) -> str:
-    """Shortest fixed-precision text of a number; nothing for a missing one."""
-    return "" if v is None or v != v else f"{v:.{digits}g}"
-
-
-def csv_field(text: str) -> str:
-    return '"' + text.replace('"', '""') + '"' if any(c in text for c in ',"\r\n') else text
-
-
-def tab_field(text: str) -> str:
-    return re.sub(r"[\t\r\n]", " ", text)
+from wavemill.recording import long_to_wide
+from wavemill.sources.numeric import number, tab_field
+from wavemill.sources.text_writer import Layout, write_ordered
 
 
 def percent_text(text: str) -> str:
@@ -67,20 +55,6 @@ def read_metadata(comments: Iterable[str]) -> dict[str, dict[str, str]]:
     return out
 
 
-def atomic_write(path: str, parts: Iterable[str], source: str | None = None) -> None:
-    """Writes text beside the target and renames it; the source itself can't be the target."""
-    if source and os.path.realpath(source) == os.path.realpath(path):
-        raise RecordingError("InvalidOptions", "a recording can't be exported over itself")
-    fd, temporary = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
-    try:
-        with os.fdopen(fd, "w", encoding="utf-8", newline="") as f:
-            f.writelines(parts)
-        os.replace(temporary, path)
-    except BaseException:
-        os.unlink(temporary)
-        raise
-
-
 def make_folder(path: str) -> None:
     os.makedirs(os.path.dirname(path), exist_ok=True)
 
@@ -96,20 +70,19 @@ def write_text(long: DataFrame, path: str, channels: Sequence[str], delimiter: s
     wide.write.mode("overwrite").option("header", True).option("sep", delimiter).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
-def _text(header: Sequence[str], rows, delimiter: str, newline: str, digits: int):
-    field = csv_field if delimiter == "," else tab_field
-    yield delimiter.join(map(field, header)) + newline
-    for row in rows:
-        yield delimiter.join(number(v, digits) for v in row) + newline
+def _line(fields: Sequence[str], layout: Layout) -> str:
+    return layout.delimiter.join(map(layout.cell, fields)) + layout.newline
+
+
+def _layout(path: str, digits: int = 17) -> Layout:
+    return Layout(",", "\n", digits) if path.lower().endswith(".csv") else Layout("\t", "\r\n", digits)
 
 
 def write_file(long: DataFrame, path: str, channels: Sequence[str], metadata: Mapping | None = None, digits: int = 17, source: str | None = None, order: str = "t") -> None:
     """One CSV file (name in .csv) or tab-separated file: Time and the channels."""
-    comma = path.lower().endswith(".csv")
-    rows = table_rows(long_to_wide(long, channels), channels, "t", order).toLocalIterator()
-    newline = "\n" if comma else "\r\n"
-    head = (line + newline for line in metadata_lines(metadata or {}))
-    atomic_write(path, (p for part in (head, _text(["Time", *channels], rows, "," if comma else "\t", newline, digits)) for p in part), source)
+    layout = _layout(path, digits)
+    head = "".join(line + layout.newline for line in metadata_lines(metadata or {})) + _line(["Time", *channels], layout)
+    write_ordered(table_rows(long_to_wide(long, channels), channels, "t", order), path, head, layout, source)
 
 
 def spectrum_wide(spectrum: DataFrame, channels: Sequence[str]) -> DataFrame:
@@ -118,12 +91,10 @@ def spectrum_wide(spectrum: DataFrame, channels: Sequence[str]) -> DataFrame:
 
 def write_spectrum_file(spectrum: DataFrame, path: str, channels: Sequence[str], sampling: Mapping[str, object] | None = None) -> None:
     """Frequency and the amplitudes of the channels; ``sampling`` goes to [fft_sampling]."""
-    comma = path.lower().endswith(".csv")
-    rows = table_rows(spectrum_wide(spectrum, channels), channels, "freq").toLocalIterator()
-    newline = "\n" if comma else "\r\n"
+    layout = _layout(path)
     sections = {"export": {"plot_mode": "frequency"}} | ({"fft_sampling": sampling} if sampling else {})
-    head = (line + newline for line in metadata_lines(sections))
-    atomic_write(path, (p for part in (head, _text(["Frequency", *channels], rows, "," if comma else "\t", newline, 17)) for p in part))
+    head = "".join(line + layout.newline for line in metadata_lines(sections)) + _line(["Frequency", *channels], layout)
+    write_ordered(table_rows(spectrum_wide(spectrum, channels), channels, "freq"), path, head, layout)
 
 
 FRF_COLUMNS = ("frequency_hz", "dynamic_coefficient", "h_real", "h_imag", "valid", "coherence", "coherence_valid", "reference_amplitude", "reference_valid")
@@ -132,15 +103,7 @@ FRF_COLUMNS = ("frequency_hz", "dynamic_coefficient", "h_real", "h_imag", "valid
 def write_frf_file(rows: DataFrame, path: str, several: bool = False) -> None:
     """Rows as of ``frf.frf_rows``; several responses add their number and name."""
     columns = [*FRF_COLUMNS, *(["response_index", "response_name"] if several else [])]
-    ordered = rows.orderBy("response_index", "frequency_hz").select(*columns).toLocalIterator()
-
-    def parts():
-        yield "# data_kind=frf\n"
-        yield ",".join(columns) + "\n"
-        for row in ordered:
-            yield ",".join(csv_field(v) if isinstance(v, str) else str(v) if isinstance(v, int) else number(v) for v in row) + "\n"
-
-    atomic_write(path, parts())
+    write_ordered(rows.orderBy("response_index", "frequency_hz").select(*columns), path, "# data_kind=frf\n" + ",".join(columns) + "\n")
 
 
 def write_lvm(long: DataFrame, path: str, channels: Sequence[str], when: datetime.datetime | None = None, metadata: Mapping | None = None) -> None:
@@ -149,22 +112,15 @@ def write_lvm(long: DataFrame, path: str, channels: Sequence[str], when: datetim
     when = when or datetime.datetime(1970, 1, 1)
     date, clock = when.strftime("%Y/%m/%d"), when.strftime("%H:%M:%S.%f")
     n = len(channels)
-    rows = table_rows(long_to_wide(long, channels), channels).toLocalIterator()
-
-    def parts():
-        yield from (line + "\r\n" for line in metadata_lines(metadata or {}))
-        first = {"LabVIEW Measurement": "", "Writer_Version": "2", "Reader_Version": "2", "Separator": "Tab", "Decimal_Separator": ".", "Multi_Headings": "Yes", "X_Columns": "Multi", "Time_Pref": "Relative", "Date": date, "Time": clock}
-        yield from (f"{k}\t{v}".rstrip("\t") + "\r\n" for k, v in first.items())
-        yield "***End_of_Header***\r\n\r\n"
-        yield "\t".join(["Channels", str(n)]) + "\r\n"
-        for key, value in (("Date", date), ("Time", clock), ("X0", "0"), ("X_Dimension", "Time")):
-            yield "\t".join([key] + [value, ""] * n).rstrip("\t") + "\r\n"
-        yield "***End_of_Header***\r\n"
-        yield "\t".join(x for c in channels for x in ("X_Value", tab_field(c))) + "\tComment\r\n"
-        for t, *values in rows:
-            yield "\t".join(x for v in values for x in (number(t), number(v))) + "\t\r\n"
-
-    atomic_write(path, parts())
+    first = {"LabVIEW Measurement": "", "Writer_Version": "2", "Reader_Version": "2", "Separator": "Tab", "Decimal_Separator": ".", "Multi_Headings": "Yes", "X_Columns": "Multi", "Time_Pref": "Relative", "Date": date, "Time": clock}
+    second = {"Channels": [str(n)]} | {key: [value, ""] * n for key, value in (("Date", date), ("Time", clock), ("X0", "0"), ("X_Dimension", "Time"))}
+    lines = [
+        *metadata_lines(metadata or {}), *(f"{k}\t{v}".rstrip("\t") for k, v in first.items()), "***End_of_Header***", "",
+        *("\t".join([k, *v]).rstrip("\t") for k, v in second.items()), "***End_of_Header***",
+        "\t".join(x for c in channels for x in ("X_Value", tab_field(c))) + "\tComment",
+    ]
+    head = "".join(line + "\r\n" for line in lines)
+    write_ordered(table_rows(long_to_wide(long, channels), channels), path, head, Layout("\t", "\r\n", pairs=True))
 
 
 def result_key(recipe: object) -> str:

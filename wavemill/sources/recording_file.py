@@ -33,6 +33,7 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
+from wavemill.clock import MonotonicClock, Runs
 from wavemill.recording import RecordingError
 from wavemill.scratch import shared_dir
 from wavemill.sources.numeric import METADATA_KEYS, channel_label, parse_cell, split_csv, split_tabs
@@ -46,32 +47,16 @@ RUNS = 65_536  # stretches of increasing times that one range of bytes may hold
 
 
 @dataclass
-class Clock:
+class Clock(MonotonicClock):
     """What the time of the next row depends on."""
 
     anchor: float | None = None  # seconds of the first dated section
     shift: float | None = None  # of the section under way, against the anchor, less its X0
-    source: float | None = None
-    placed: float | None = None
-    offset: float = 0.0
-    step: float = 1e-6
     monotonic: bool = True
 
     def advance(self, raw: float) -> float:
         now = raw if self.shift is None else self.shift + raw
-        if not self.monotonic:
-            return now
-        new = now + self.offset
-        if self.placed is not None:
-            if now > self.source:
-                self.step = now - self.source
-            if new <= self.placed:
-                new = self.placed + self.step
-                if new <= self.placed:
-                    new = math.nextafter(self.placed, math.inf)
-                self.offset = new - now
-        self.source, self.placed = now, new
-        return new
+        return self.place(now) if self.monotonic else now
 
 
 def section_seconds(date: str, clock: str) -> float | None:
@@ -402,7 +387,7 @@ def _raw_lines(f, start: int):
 
 def after_range(state: dict, effect: dict) -> dict:
     """The section clock behind a range, from the one before it and the range's effect."""
-    clock, pending = Clock(state["anchor"], state["shift"]), state["pending"] | effect["before"]
+    clock, pending = Clock(anchor=state["anchor"], shift=state["shift"]), state["pending"] | effect["before"]
     if not effect["markers"]:
         return state | {"pending": pending}
     begin_section(clock, section_start(pending))
@@ -416,49 +401,24 @@ def scan_range(path: str, start: int, end: int, state: dict, checkpoint: int) ->
     """Facts of the lines that start within a range of bytes: an index, the range's runs of
     increasing times (first, last, smallest step, last step, number of the first row), before they
     are made monotonic, and for each of the index's places the last step within its run."""
-    runs, steps, rows = [], [], 0
+    runs, steps = Runs(), []
 
     def on_row(raw, t, values):
-        nonlocal rows
-        rows += 1
-        if runs and t > runs[-1][1]:
-            run = runs[-1]
-            step = t - run[1]
-            run[1:4] = t, min(run[2], step), step
-        elif len(runs) == RUNS:
-            return True
-        else:
-            runs.append([t, t, math.inf, None, rows])
-        if rows % checkpoint == 0:
+        runs.note(t)
+        if runs.rows % checkpoint == 0:
             steps.append(runs[-1][3])
+        return len(runs) > RUNS
 
     begin, until = line_start(path, start), end
-    clock = Clock(state["anchor"], state["shift"], monotonic=False)
+    clock = Clock(anchor=state["anchor"], shift=state["shift"], monotonic=False)
     try:
         index = scan(path, False, checkpoint, on_row, begin, clock, labelled=True, until=until, pending=state["pending"])
     except RecordingError:  # a record that begins before the range
         index = Index(broken=True)
-    index.broken = index.broken or len(runs) == RUNS
+    index.broken = index.broken or len(runs) > RUNS
     return index, runs, steps
 
 
-def _begin_run(clock: Clock, run: list) -> bool:
-    """Moves the clock to the first row of a run, as Clock.advance would; and whether the run's
-    steps are wide enough that rounding can't bring two of its times together."""
-    first, last, least, _, _ = run
-    new = first + clock.offset
-    if clock.placed is not None:
-        if first > clock.source:
-            clock.step = first - clock.source
-        if new <= clock.placed:
-            new = clock.placed + clock.step
-            if new <= clock.placed:
-                new = math.nextafter(clock.placed, math.inf)
-            clock.offset = new - first
-    clock.source, clock.placed = first, new
-    return least > 8 * math.ulp(max(abs(first), abs(last)) + abs(clock.offset))
-
-
 def follow(index: Index, parts: list[tuple[Index, list, list]], monotonic: bool) -> Index | None:
     """The index of a file from that of its first rows and its other ranges in order, or None if
     only a pass from end to end can tell (quotes in a CSV's body, times that hardly increase)."""
@@ -474,7 +434,7 @@ def follow(index: Index, parts: list[tuple[Index, list, list]], monotonic: bool)
         for k, run in enumerate(runs):
             first, last, least, step, row = run
             end = runs[k + 1][4] if k + 1 < len(runs) else part.data_rows + 1
-            if monotonic and not _begin_run(clock, run):
+            if monotonic and not clock.begin_run(first, last, least):
                 return None
             while places and places[0][0][1] < end:
                 (byte, at_row, t, at, markers), at_step = places.pop(0)
@@ -484,7 +444,7 @@ def follow(index: Index, parts: list[tuple[Index, list, list]], monotonic: bool)
                     now = replace(clock, anchor=at.anchor, shift=at.shift, source=t, placed=t + clock.offset if inner else clock.placed, step=at_step if inner else clock.step)
                 index.places.append((byte, index.data_rows + at_row, now.placed if monotonic else t, now, index.header_markers + markers))
             if monotonic and end - row > 1:
-                clock.source, clock.placed, clock.step = last, last + clock.offset, step
+                clock.end_run(last, step)
         if part.data_rows:
             index.bounds = (index.bounds[0], clock.placed if monotonic else part.bounds[1])
         clock.anchor, clock.shift = part.clock.anchor, part.clock.shift

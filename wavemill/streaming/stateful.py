@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wavemill.clock import MonotonicClock
 from wavemill.operators.filters import RESET_STEPS, FilterSettings, Linear, cascade
 from wavemill.recording import LONG_SCHEMA, SERIES, finite
 
@@ -64,22 +65,9 @@ def monotonic_stream(long: DataFrame) -> DataFrame:
     """Strictly increasing times over a stream: late or equal times move on, none is dropped."""
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        source, placed, offset, step = state.get if state.exists else (None, None, 0.0, 1e-6)
-        rows = _channel_rows(pdfs)
-        out = []
-        for now in rows["t"].to_numpy(float).tolist():
-            if not math.isfinite(now):
-                out.append(None)
-                continue
-            new = now + offset
-            if placed is not None:
-                step = now - source if now > source else step
-                if new <= placed:
-                    new = max(placed + step, math.nextafter(placed, math.inf))
-                    offset = new - now
-            source, placed = now, new
-            out.append(new)
-        state.update((source, placed, offset, step))
+        clock, rows = MonotonicClock(*state.get) if state.exists else MonotonicClock(), _channel_rows(pdfs)
+        out = [clock.place(now) if math.isfinite(now) else None for now in rows["t"].to_numpy(float).tolist()]
+        state.update((clock.source, clock.placed, clock.offset, clock.step))
         yield rows.assign(t=out)[["recording_id", "channel", "sample", "t", "value"]]
 
     return long.groupBy(*SERIES).applyInPandasWithState(run, LONG_SCHEMA, "source double, placed double, offset double, step double", "append", GroupStateTimeout.NoTimeout)
