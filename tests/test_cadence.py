@@ -7,7 +7,7 @@ from wavemill.operators import timeline
 from wavemill.recording import LONG_SCHEMA
 
 
-@pytest.mark.parametrize("select,parts", [(5, 2), (8, 4096), (1 << 18, 4096)])
+@pytest.mark.parametrize("select,parts", [(5, 2), (1 << 18, 4096)])
 def test_selection_equals_the_literal_rule(spark, monkeypatch, select, parts):
     monkeypatch.setattr(timeline, "SELECT", select)
     monkeypatch.setattr(timeline, "PARTS", parts)

@@ -135,7 +135,7 @@ def select_places(values: DataFrame, targets: DataFrame) -> DataFrame:
     ``values`` has (keys, x); ``targets`` (keys, which, place, lo, hi, n, before): the place lies among
     n values within [lo, hi], ``before`` values are less than these.  Ranges with more than SELECT
     values are cut into PARTS, whose counts tell where the place lies, until the rest can be sorted."""
-    found = settle(targets)
+    found = targets
     while found.where((F.col("lo") < F.col("hi")) & (F.col("n") > SELECT)).limit(1).count():
         wide = (F.col("lo") < F.col("hi")) & (F.col("n") > SELECT)
         rows = values.join(found.where(wide), list(SERIES)).where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
@@ -179,10 +179,10 @@ def cadence(long: DataFrame) -> DataFrame:
     medians = select_places(d, targets.distinct()).groupBy(*SERIES).agg(
         *((0.5 * F.min(F.when(F.col("which") == name, F.col("at"))) + 0.5 * F.max(F.when(F.col("which") == name, F.col("at")))).alias(f"at_{name}") for name in ("late", "early"))
     )
-    out = settle(cuts.join(medians, list(SERIES)))
-    if not out.where("early IS NOT NULL").limit(1).count():
+    out = cuts.join(medians, list(SERIES))
+    if not cuts.where("early IS NOT NULL").limit(1).count():
         return out.select(*SERIES, F.col("at_late").alias("cadence"), F.col("total").alias("n_intervals"))
-    ratio = F.col("x") / F.col("at_early")
+    out, ratio = settle(out), F.col("x") / F.col("at_early")
     fits = d.join(out.where("early IS NOT NULL").select(*SERIES, "at_early"), list(SERIES)).groupBy(*SERIES).agg(F.bool_and((ratio >= 0.95) & (F.abs(ratio - F.round(ratio)) <= 0.05)).alias("fits"))
     return out.join(fits, list(SERIES), "left").select(*SERIES, F.when(F.col("fits"), F.col("at_early")).otherwise(F.col("at_late")).alias("cadence"), F.col("total").alias("n_intervals"))
 
