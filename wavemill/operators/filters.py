@@ -137,19 +137,28 @@ def with_resets(long: DataFrame, step: float) -> DataFrame:
     return rows.withColumn("reset", reset).drop("__t", "__ok")
 
 
-def filter_channels(long: DataFrame, settings: FilterSettings, block: int = BLOCK) -> DataFrame:
-    """Replaces value by the filtered value.
+STATES = "recording_id string, channel string, block long, start array<double>"
 
-    Missing and infinite samples pass unchanged and start the filter afresh, as do times that
-    don't advance and intervals of more than 64 steps."""
+
+def _unchanged(long: DataFrame, settings: FilterSettings) -> DataFrame | None:
+    """The result where there is nothing to run: no step, or no sections."""
     if not (settings.step > 0 and math.isfinite(settings.step)):
         return long
     sections, subtract = cascade(settings)
     if not sections:
         return long.withColumn("value", F.when(finite(F.col("value")) & finite(F.col("t")), 0.0).otherwise(F.col("value"))) if subtract else long
-    keys = [*SERIES, "block"]
-    rows = with_resets(long, settings.step).withColumn("block", F.floor(F.col("sample") / block).cast("long"))
-    linear, n, columns = Linear(sections), 2 * len(sections), list(long.columns)
+    return None
+
+
+def block_rows(long: DataFrame, settings: FilterSettings, block: int = BLOCK) -> DataFrame:
+    """The recording with ok, reset and the number of each sample's block."""
+    return with_resets(long, settings.step).withColumn("block", F.floor(F.col("sample") / block).cast("long"))
+
+
+def block_states(rows: DataFrame, settings: FilterSettings) -> DataFrame:
+    """(recording_id, channel, block, start): the state before each block, from ``block_rows``."""
+    sections = cascade(settings)[0]
+    linear, n, keys = Linear(sections), 2 * len(sections), [*SERIES, "block"]
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample")
@@ -166,6 +175,15 @@ def filter_channels(long: DataFrame, settings: FilterSettings, block: int = BLOC
             state = np.array(end) + (np.linalg.matrix_power(linear.one, int(length)) @ state if carries else 0)
         return pdf[keys].assign(start=out)
 
+    state = rows.groupBy(*keys).applyInPandas(ends, "recording_id string, channel string, block long, n long, carries boolean, state array<double>")
+    return state.groupBy(*SERIES).applyInPandas(carry, STATES)
+
+
+def run_blocks(rows: DataFrame, states: DataFrame, settings: FilterSettings, columns: list[str]) -> DataFrame:
+    """The filtered samples of these blocks, each from its state."""
+    sections, subtract = cascade(settings)
+    linear, n, keys = Linear(sections), 2 * len(sections), [*SERIES, "block"]
+
     def apply(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sample")
         x, ok, reset = pdf["value"].to_numpy(float), pdf["ok"].to_numpy(bool), pdf["reset"].to_numpy(bool)
@@ -178,7 +196,17 @@ def filter_channels(long: DataFrame, settings: FilterSettings, block: int = BLOC
         pdf["value"] = out
         return pdf[columns]
 
-    state = rows.groupBy(*keys).applyInPandas(ends, "recording_id string, channel string, block long, n long, carries boolean, state array<double>")
-    start = state.groupBy(*SERIES).applyInPandas(carry, "recording_id string, channel string, block long, start array<double>")
-    out = rows.join(start, keys).groupBy(*keys).applyInPandas(apply, long.schema)
+    out = rows.join(states, keys).groupBy(*keys).applyInPandas(apply, rows.select(*columns).schema)
     return out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
+def filter_channels(long: DataFrame, settings: FilterSettings, block: int = BLOCK) -> DataFrame:
+    """Replaces value by the filtered value.
+
+    Missing and infinite samples pass unchanged and start the filter afresh, as do times that
+    don't advance and intervals of more than 64 steps."""
+    out = _unchanged(long, settings)
+    if out is not None:
+        return out
+    rows = block_rows(long, settings, block)
+    return run_blocks(rows, block_states(rows, settings), settings, list(long.columns))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions.formula import FormulaError, compose
 from wavemill.operators import spectrum, stats
+from wavemill.operators.filter_states import FilterStates
 from wavemill.operators.filters import FilterSettings, filter_channels
 from wavemill.recording import RecordingError
 from wavemill.sources import export
@@ -34,7 +35,9 @@ class Recipe:
     formulas: dict[str, str] = field(default_factory=dict)
     filter: FilterSettings | None = None
 
-    def apply(self, long: DataFrame) -> DataFrame:
+    def apply(self, long: DataFrame, states: FilterStates | None = None, stamp: str = "") -> DataFrame:
+        """The recording after the recipe.  With stored filter states (of a source in the state
+        ``stamp``) only the blocks that meet the interval are filtered; the first use makes them."""
         if self.channels:
             long = long.where(F.col("channel").isin(*self.channels))
         value = compose(self.global_formula, None, F.col("value")) if self.global_formula else F.col("value")
@@ -42,6 +45,9 @@ class Recipe:
             value = F.when(F.col("channel") == channel, compose(self.global_formula, text, F.col("value"))).otherwise(value)
         if self.global_formula or self.formulas:
             long = long.withColumn("value", value)
+        if self.filter and states:
+            steps = repr((sorted(self.channels), self.global_formula, sorted(self.formulas.items())))
+            return stats.time_range(states.filter_interval(long, self.filter, stamp, self.start, self.end, steps), self.start, self.end)
         if self.filter:
             long = filter_channels(long, self.filter)
         return stats.time_range(long, self.start, self.end)

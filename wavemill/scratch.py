@@ -29,6 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    """Whether there is such a file or folder, in whatever file system it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 class Scratch:
     """Tables written once to the shared folder and read back, which cuts lineage:
     a lost executor costs no recomputation of what stands before the table."""
