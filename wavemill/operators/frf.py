@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wavemill.operators.blocks import running_sum
 from wavemill.operators.timeline import GAP_FACTOR, cadence, intervals
 from wavemill.recording import SERIES, RecordingError, finite
-from wavemill.scratch import settle
+from wavemill.scratch import Scratch, settle
 
 EPS = float(np.finfo(float).eps)
 GROUP = 64  # segments that are transformed in one task
@@ -227,11 +228,23 @@ def analyze_pair(long: DataFrame, reference: str, response_channel: str, options
 
 
 def smooth(result: DataFrame, octaves: float = 1 / 12, column: str = "dynamic_coefficient") -> DataFrame:
-    """Adds smoothed, the mean of finite values within half of ``octaves`` either side."""
-    half = f"{octaves / 2:.17g}D"
-    value = f"CASE WHEN {column} IS NOT NULL AND NOT isnan({column}) AND abs({column}) <> double('inf') THEN {column} END"
-    over = f"OVER (PARTITION BY recording_id, channel ORDER BY log2(freq) RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
-    return result.where("bin >= 1").withColumn("smoothed", F.expr(f"CASE WHEN {column} IS NOT NULL THEN avg({value}) {over} END"))
+    """Adds smoothed, the mean of finite values within half of ``octaves`` either side.
+
+    Bins are evenly spaced and count 0, 1, 2, ..., so the neighbours of bin k are those from
+    k / span up to k * span: a mean is a difference of two running sums, fetched by bin.  No task
+    holds a channel; bins whose neighbours reach beyond the last one take the channel's total."""
+    ok = finite(F.col(column))
+    rows = running_sum(result.where("bin >= 1"), {"__sum": F.when(ok, F.col(column)), "__n": ok.cast("long")}, order="bin")
+    rows = sums = Scratch(result.sparkSession).save(rows)
+    total = rows.groupBy(*SERIES).agg(F.max("bin").alias("__last"), F.max_by("__sum", "bin").alias("__all"), F.max("__n").alias("__count"))
+    span = 2.0 ** (octaves / 2)
+    upto = F.floor(F.col("bin") * span)
+    rows = rows.join(settle(total), list(SERIES)).withColumn("__below", F.ceil(F.col("bin") / span) - 1).withColumn("__upto", F.when(upto < F.col("__last"), upto))
+    at = lambda place: sums.select(*SERIES, F.col("bin").alias(place), F.col("__sum").alias(f"{place}_sum"), F.col("__n").alias(f"{place}_n"))
+    rows = rows.join(at("__below"), [*SERIES, "__below"], "left").join(at("__upto"), [*SERIES, "__upto"], "left")
+    part = lambda kind, every: F.coalesce(F.col(f"__upto_{kind}"), F.col(every)) - F.coalesce(F.col(f"__below_{kind}"), F.lit(0))
+    mean = F.try_divide(part("sum", "__all"), part("n", "__count").cast("double"))
+    return rows.withColumn("smoothed", F.when(F.col(column).isNotNull(), mean)).select(*result.columns, "smoothed")
 
 
 def frf_rows(result: DataFrame) -> DataFrame:

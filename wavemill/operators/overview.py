@@ -30,10 +30,10 @@ def _aggregates() -> list[Column]:
     ]
 
 
-def _points(df: DataFrame, *keys: str) -> DataFrame:
+def _points(df: DataFrame, *keys: str, extra: Sequence[str] = ()) -> DataFrame:
     p = lambda s, sign="": F.struct(F.expr(f"{sign}{s}.sample").alias("sample"), F.col(f"{s}.t").alias("t"), F.col(f"{s}.value").alias("value"))
     held = lambda s, c: F.when(F.col(s).isNotNull(), c)
-    return df.select(*keys, "first", "last", held("low", p("low")).alias("low"), held("high", p("high", "-")).alias("high"), "finite_count", "sample_count", "max_spacing")
+    return df.select(*keys, "first", "last", held("low", p("low")).alias("low"), held("high", p("high", "-")).alias("high"), "finite_count", "sample_count", "max_spacing", *extra)
 
 
 def build_overview(long: DataFrame, leaf: int = LEAF) -> DataFrame:
@@ -53,8 +53,8 @@ def merge_overview(overview: DataFrame, factor: int = 2) -> DataFrame:
     return _merged(rows.withColumn("max_spacing", F.greatest("max_spacing", "__seam")))
 
 
-def _merged(rows: DataFrame) -> DataFrame:
-    """Rows of one bucket together."""
+def _merged(rows: DataFrame, **extra: Column) -> DataFrame:
+    """Rows of one bucket together, with further aggregates."""
     got = rows.groupBy(*SERIES, "bucket").agg(
         F.min("first").alias("first"),
         F.max("last").alias("last"),
@@ -63,8 +63,9 @@ def _merged(rows: DataFrame) -> DataFrame:
         F.sum("finite_count").alias("finite_count"),
         F.sum("sample_count").alias("sample_count"),
         F.max("max_spacing").alias("max_spacing"),
+        *(c.alias(n) for n, c in extra.items()),
     )
-    return _points(got, *SERIES, "bucket")
+    return _points(got, *SERIES, "bucket", extra=tuple(extra))
 
 
 def bucket_points(overview: DataFrame, threshold: float | None = None) -> DataFrame:
