@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from wavemill.functions import formula, scalars
 from wavemill.operators import annotations, filters, frf, overview, spectrum, stats, timeline
 from wavemill.operators.blocks import neighbours
+from wavemill.operators.filter_states import FilterStates
+from wavemill.operators.pyramid import build_pyramid
 from wavemill.recording import from_rows, long_to_wide, wide_to_long
-from wavemill.scratch import shared_dir
+from wavemill.scratch import Scratch, shared_dir
 from wavemill.sources import export, recording_file
 
 QUERIES: dict = {}
@@ -359,6 +361,25 @@ def nearest_sample_events(spark, sf_dir):
     return overview.nearest_sample(events(spark, sf_dir), 100000.0, 50.0, 0.001, 0.5, ["view", "click"])
 
 
+@query(f"WITH {EV}, {DT} {_bucket_sql(VIEW, 'WHERE t >= 10000 AND t <= 410000')}")
+def view_from_pyramid_events(spark, sf_dir):
+    """The view of ``view_events`` from a stored pyramid, opened where a pixel's border needs it."""
+    p = build_pyramid(events(spark, sf_dir), Scratch(spark).root, leaf=16, fan=8)
+    return _flat(p.view(10000.0, 410000.0, 50))
+
+
+@query(f"""WITH {EV}, p AS (SELECT s_suppkey, s_suppkey * 7919 % 2600000 + 0.25::DOUBLE AS at_t, CAST(s_acctbal AS DOUBLE) / 50 AS at_value FROM supplier),
+d AS (SELECT s_suppkey, channel, sample, t, value * CASE channel WHEN 'click' THEN 2 ELSE 1 END AS value, at_t, at_value FROM p, ev WHERE t >= 5000 AND value IS NOT NULL),
+n AS (SELECT *, ((t - at_t) * 0.001) * ((t - at_t) * 0.001) + ((value - at_value) * 0.5) * ((value - at_value) * 0.5) AS distance FROM d)
+SELECT 'r' AS recording_id, s_suppkey AS place, channel, sample, {R('t')}, {R('value')}, {R('distance')} FROM n QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY distance, channel, sample) = 1""")
+def nearest_samples_supplier(spark, sf_dir):
+    """The nearest event, of any type, to a place for each supplier; clicks are shown at twice their value."""
+    at_t, at_value = F.col("s_suppkey") * 7919 % 2600000 + 0.25, F.col("s_acctbal").cast("double") / 50
+    places = tbl(spark, sf_dir, "supplier").select(F.lit("r").alias("recording_id"), F.col("s_suppkey").alias("place"), at_t.alias("t"), at_value.alias("value"))
+    p = build_pyramid(events(spark, sf_dir), Scratch(spark).root, leaf=16, fan=8)
+    return p.nearest(places, 0.001, 0.5, affine={"click": (2.0, 0.0)}, start=5000.0).drop("rank", "leaves_read")
+
+
 # Spectra -----------------------------------------------------------------------------------
 
 def dft_sql(source: str, n: str, dt: str, keep: str = "") -> str:
@@ -571,6 +592,16 @@ for _name, _settings in FILTERS.items():
     query(filter_sql(_settings))(_run)
 
 
+INTERVAL = filters.FilterSettings("bandpass", "linkwitz_riley", 0.02 / HOUR, 0.2 / HOUR, HOUR)
+
+
+@query(filter_sql(INTERVAL) + f" WHERE ev.t >= {250 * HOUR} AND ev.t <= {500.5 * HOUR}")
+def filter_interval_hourly(spark, sf_dir):
+    """An interval filtered from the states that a pass over the whole recording has stored."""
+    states = FilterStates(Scratch(spark).root, block=100)
+    return states.filter_interval(hourly(spark, sf_dir), INTERVAL, sf_dir, 250 * HOUR, 500.5 * HOUR)
+
+
 # Files -------------------------------------------------------------------------------------
 
 def shared_file(spark, name: str) -> str:
