@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from wavemill.operators import filters, frf, spectrum, stats
 from wavemill.plans import recipe
-from wavemill.plans.catalog import DAYS, DAYS_WIDE, DFT_WAVES, EV, FRF_ROWS, HOUR, HOURS, ORACLE_SQL, R, daily, events, frf_sql, hourly, query, reset_axis, shared_file, waveforms
+from wavemill.plans.catalog import DAYS, DAYS_WIDE, DFT_WAVES, EV, FLAGS, FRF_ROWS, HOUR, HOURS, ORACLE_SQL, R, daily, daily_wide, events, frf_sql, hourly, query, reset_axis, shared_file, waveforms
 from wavemill.recording import long_to_wide
-from wavemill.scratch import Scratch, shared_dir
+from wavemill.scratch import Scratch, settle, shared_dir
 from wavemill.sources import export, recording_file
 from wavemill.sources.text_writer import Layout, write_ordered
 from wavemill.streaming import recording_stream, source, stateful
@@ -41,16 +41,18 @@ def tab_file_round_trip_daily(spark, sf_dir):
     return recording_file.read_recording(spark, path, checkpoint=500).select(*LONG)
 
 
-@query(f"""WITH {DAYS_WIDE}, n AS (SELECT count(*) AS c FROM w), x AS (SELECT sample, CASE WHEN sample >= 100 THEN t + 100 ELSE t END AS t, a FROM w)
-SELECT sample, {R('t')}, {R('a', 'value')} FROM x""")
+@query(f"""WITH {DAYS_WIDE}, n AS (SELECT count(*) AS c FROM w), x AS (SELECT * REPLACE (CASE WHEN sample >= 100 THEN t + 100 ELSE t END AS t) FROM w),
+y AS (SELECT 'A' AS channel, sample, t, a AS value FROM x UNION ALL SELECT 'N', sample, t, n FROM x UNION ALL SELECT 'R', sample, t, r FROM x)
+SELECT channel, sample, {R('t')}, {R('value')} FROM y""")
 def sections_by_date_daily(spark, sf_dir):
     """Two sections, the second's clock a hundred seconds ahead of the first one's."""
     path = shared_file(spark, "sections.lvm")
     head = "Date\t2024/05/01\t\nTime\t10:0{}\t\nX0\t0\t\n***End_of_Header***\n"
-    first = F.when(F.col("sample") == 0, head.format("0:00") + "X_Value\tA\tComment\n").when(F.col("sample") == 100, head.format("1:40")).otherwise("")
-    rows = daily(spark, sf_dir).where("channel = 'A'").orderBy("sample")
-    write_ordered(rows.select(F.concat(first, F.concat_ws("\t", F.col("t").cast("string"), F.col("value").cast("string"), F.lit("")), F.lit("\n"))), path, layout=Layout(raw=True))
-    return recording_file.read_recording(spark, path).select("sample", "t", "value")
+    first = F.when(F.col("sample") == 0, head.format("0:00") + "X_Value\tA\tN\tR\tComment\n").when(F.col("sample") == 100, head.format("1:40")).otherwise("")
+    rows = daily_wide(spark, sf_dir).orderBy("sample")
+    cells = [F.col(c).cast("string") for c in ("t", *FLAGS)]
+    write_ordered(rows.select(F.concat(first, F.concat_ws("\t", *cells, F.lit("")), F.lit("\n"))), path, layout=Layout(raw=True))
+    return recording_file.read_recording(spark, path).select("channel", "sample", "t", "value")
 
 
 @query(f"""WITH {DAYS_WIDE} SELECT channel, CAST(sample AS BIGINT) AS sample, {R('t')}, {R('value')} FROM (SELECT 'A' AS channel, sample, t, a AS value FROM w UNION ALL SELECT 'N', sample, t, n FROM w UNION ALL SELECT 'R', sample, t, r FROM w)
@@ -126,12 +128,16 @@ def recordings_of_one_name_daily(spark, sf_dir):
     return got.groupBy(F.col("recording_id").alias("rid")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@query(f"WITH {EV}, x AS (SELECT *, t - floor(sample / 50) * 40000.0 AS raw FROM ev WHERE channel = 'view') SELECT sample, {R('raw', 'raw_t')}, {R('value')} FROM x")
+@query(f"WITH {EV}, x AS (SELECT *, t - floor(sample / 50) * 40000.0 AS raw FROM ev) SELECT channel, sample, {R('raw', 'raw_t')}, {R('value')} FROM x")
 def raw_times_view(spark, sf_dir):
-    """A clock that starts again stays as it is where strictly increasing times aren't asked for."""
-    path = shared_file(spark, "view.csv")
-    export.write_file(reset_axis(events(spark, sf_dir)).where("channel = 'view'"), path, ["view"], order="sample")
-    return recording_file.read_recording(spark, path, monotonic=False, checkpoint=64).select("sample", "raw_t", "value")
+    """A clock that starts again stays as it is where strictly increasing times aren't asked for; a
+    file for each channel, because each has times of its own."""
+    long = settle(reset_axis(events(spark, sf_dir)))
+    folder, paths = shared_file(spark, ""), []
+    for r in long.select("channel").distinct().orderBy("channel").collect():
+        paths.append(f"{folder}{len(paths)}.csv")
+        export.write_file(long.where(F.col("channel") == r["channel"]), paths[-1], [r["channel"]], order="sample")
+    return recording_file.read_recording(spark, *paths, monotonic=False, checkpoint=64).select("channel", "sample", "raw_t", "value")
 
 
 FRF_FILE = frf_sql(64) + f", fr AS ({FRF_ROWS.replace('@L', '64')}) SELECT micro_hz, h_re AS h_real, h_im AS h_imag, CAST(valid AS INT) AS valid, coherence, reference_amplitude, CAST(1 AS INT) AS response_index, 'N' AS response_name FROM fr WHERE bin >= 1"
