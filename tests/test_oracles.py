@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from wavemill.plans import catalog, catalog_io  # noqa: F401
+from wavemill.plans import catalog, catalog_io, catalog_projects  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = sorted(f.removesuffix(".parquet") for f in os.listdir(SF)) if os.path.isdir(SF) else []

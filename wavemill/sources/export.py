@@ -106,20 +106,25 @@ def write_frf_file(rows: DataFrame, path: str, several: bool = False) -> None:
     write_ordered(rows.orderBy("response_index", "frequency_hz").select(*columns), path, "# data_kind=frf\n" + ",".join(columns) + "\n")
 
 
-def write_lvm(long: DataFrame, path: str, channels: Sequence[str], when: datetime.datetime | None = None, metadata: Mapping | None = None) -> None:
-    """A LabVIEW measurement file: two header blocks, then pairs of X_Value and channel, and a
-    Comment column."""
+def lvm_head(channels: Sequence[str], when: datetime.datetime | None = None) -> str:
+    """The two header blocks of a LabVIEW measurement file and its labels."""
     when = when or datetime.datetime(1970, 1, 1)
     date, clock = when.strftime("%Y/%m/%d"), when.strftime("%H:%M:%S.%f")
     n = len(channels)
     first = {"LabVIEW Measurement": "", "Writer_Version": "2", "Reader_Version": "2", "Separator": "Tab", "Decimal_Separator": ".", "Multi_Headings": "Yes", "X_Columns": "Multi", "Time_Pref": "Relative", "Date": date, "Time": clock}
     second = {"Channels": [str(n)]} | {key: [value, ""] * n for key, value in (("Date", date), ("Time", clock), ("X0", "0"), ("X_Dimension", "Time"))}
     lines = [
-        *metadata_lines(metadata or {}), *(f"{k}\t{v}".rstrip("\t") for k, v in first.items()), "***End_of_Header***", "",
+        *(f"{k}\t{v}".rstrip("\t") for k, v in first.items()), "***End_of_Header***", "",
         *("\t".join([k, *v]).rstrip("\t") for k, v in second.items()), "***End_of_Header***",
         "\t".join(x for c in channels for x in ("X_Value", tab_field(c))) + "\tComment",
     ]
-    head = "".join(line + "\r\n" for line in lines)
+    return "".join(line + "\r\n" for line in lines)
+
+
+def write_lvm(long: DataFrame, path: str, channels: Sequence[str], when: datetime.datetime | None = None, metadata: Mapping | None = None) -> None:
+    """A LabVIEW measurement file: two header blocks, then pairs of X_Value and channel, and a
+    Comment column."""
+    head = "".join(line + "\r\n" for line in metadata_lines(metadata or {})) + lvm_head(channels, when)
     write_ordered(table_rows(long_to_wide(long, channels), channels), path, head, Layout("\t", "\r\n", pairs=True))
 
 
