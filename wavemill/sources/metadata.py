@@ -105,7 +105,8 @@ def color(c: Column) -> Column:
 
 
 def color_text(c: Column) -> Column:
-    return F.format_string("%d,%d,%d", F.floor(c / 65536), F.floor(c / 256) % 256, c % 256)
+    n = c.cast("long")
+    return F.when(n.isNotNull(), F.format_string("%d,%d,%d", F.floor(n / 65536), F.floor(n / 256) % 256, n % 256))
 
 
 def rgb(red: int, green: int, blue: int) -> int:
@@ -129,7 +130,7 @@ def shown(c: Column) -> Column:
     """The parts that a point's label shows, in a fixed order, by commas; null if nothing is said."""
     said = F.transform(F.split(c, ","), lambda p: F.struct(F.lower(trim(F.substring_index(p, "=", 1))).alias("key"), F.when(F.contains(p, F.lit("=")), flag(p.substr(F.instr(p, "=") + 1, F.length(p)))).alias("on")))
     said = F.filter(said, lambda s: s["on"].isNotNull())
-    last = lambda key: F.element_at(F.filter(said, lambda s: s["key"] == key), -1)["on"]
+    last = lambda key: F.try_element_at(F.filter(said, lambda s: s["key"] == key), F.lit(-1))["on"]
     names = [F.when(F.coalesce(last(key), F.lit(default)), key) for key, default in DISPLAY.items()]
     return F.when(F.size(said) > 0, F.concat_ws(",", *names))
 
