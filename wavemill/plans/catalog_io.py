@@ -241,15 +241,15 @@ for _name, _settings in RESET_FILTERS.items():
 # Streams -----------------------------------------------------------------------------------
 
 def streamed(spark, long, transform, keep, mode: str = "append", stretch: int = 400):
-    """What a stream over the recording, a stretch of samples at a time, has put out in the end;
-    ``keep`` are the columns that tell results apart (the last one counts)."""
+    """What a stream over the recording, a stretch of ``stretch`` samples or more at a time, has put out in the
+    end; ``keep`` are the columns that tell results apart (the last one counts; of a complete result
+    only the last one is kept)."""
     folder = Scratch(spark).root
-    source.write_stretches(long, f"{folder}/in", stretch)
-    out, schema = f"{folder}/out", []
+    source.write_stretches(long, f"{folder}/in", source.stretch_length(long, stretch))
+    out = f"{folder}/out"
 
     def put(batch, number):
-        schema.append(batch.schema)
-        batch.withColumn("__batch", F.lit(number)).write.mode("append").parquet(out)
+        batch.withColumn("__batch", F.lit(number)).write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
     stream = transform(source.read_stretches(spark, f"{folder}/in", long.schema))
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()

@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+STRETCHES = 8  # micro-batches that a recording is cut into, as long as these have LONGEST samples at most
+LONGEST = 1 << 18
+
+
+def stretch_length(long: DataFrame, least: int) -> int:
+    """Samples of a stretch: each micro-batch has a cost of its own, so stretches grow with the recording, up to
+    what one task can hold of a channel."""
+    last = long.agg(F.max("sample")).first()[0] or 0
+    return max(least, min(-(-(last + 1) // STRETCHES), LONGEST))
+
+
 def write_stretches(long: DataFrame, folder: str, stretch: int) -> None:
     """Writes a file for each ``stretch`` samples of all channels, dated in the order of the
     samples, which is the order in which a stream takes them."""
