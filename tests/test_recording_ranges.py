@@ -121,3 +121,14 @@ def test_bounds_take_over_only_what_they_can():
     assert not b.push(R.GreaterThan(("value",), 1)) and not b.push(R.LessThan(("t", "x"), 1)) and not b.push(R.EqualTo(("t",), math.nan))
     assert b.push(R.In(("channel",), ("a", "b"))) and b.push(R.EqualTo(("channel",), "b")) and b.channels == {"b"}
     assert b.push(R.LessThan(("sample",), 5)) and b.last == 4 and b.push(R.EqualTo(("t",), 3.0)) and (b.lo, b.hi) == (3.0, 3.0)
+
+
+def test_neighbouring_stretches_of_many_places_are_one_part(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text("Time,A\n" + "".join(f"{i % 50},{-i}\n" for i in range(20_000)))
+    long = R.read_recording(spark, str(p), monotonic=False, checkpoint=10)
+    assert long.rdd.getNumPartitions() <= 70
+    assert [(r["sample"], r["raw_t"], r["value"]) for r in long.orderBy("sample").collect()] == [(i, float(i % 50), -float(i)) for i in range(20_000)]
+    reader = R.FilteringReader({"path": str(p), "checkpoint": "10"})
+    list(reader.pushFilters([R.GreaterThanOrEqual(("sample",), 15), R.LessThan(("sample",), 35)]))
+    assert [(s.first_row, s.rows) for s in reader.partitions()] == [(10, 30)]

@@ -44,6 +44,7 @@ RANGE = 64 << 20
 BOM = "\ufeff"
 HEADER_END = "***End_of_Header***"
 RUNS = 65_536  # stretches of increasing times that one range of bytes may hold
+PARTS = 64  # partitions of a file, as long as these have CHECKPOINT rows at most
 
 
 @dataclass
@@ -610,8 +611,9 @@ class Options:
 
 
 def stretches(o: Options, path: str, name: str, places: list, end_row: int, end_t: float, columns: list, mark) -> list[Stretch]:
-    """The parts of a file between its places that may hold rows within the bounds."""
-    out, b = [], o.bounds
+    """The parts of a file between its places that may hold rows within the bounds; neighbours of a
+    file of many places are one part, so that tasks don't multiply with places."""
+    out, b, most = [], o.bounds, min(CHECKPOINT, -(-end_row // PARTS))
     columns = kept_columns(columns, o.channels, b.channels)
     if not columns or b.recordings is not None and name not in b.recordings or b.lo > b.hi:
         return out
@@ -620,7 +622,11 @@ def stretches(o: Options, path: str, name: str, places: list, end_row: int, end_
         after = places[k + 1][2] if k + 1 < len(places) else end_t
         # Times increase, so a stretch that ends before the window or starts after it is skipped.
         outside = o.monotonic and (after < b.lo or before >= b.hi) or upto <= b.first or row > b.last
-        if upto > row and not outside:
+        if upto <= row or outside:
+            continue
+        if out and out[-1].first_row + out[-1].rows == row and out[-1].rows + upto - row <= most:
+            out[-1].rows += upto - row
+        else:
             out.append(Stretch(path, name, byte, row, upto - row, clock, markers, columns, mark, b.lo, b.hi, (b.first, b.last)))
     return out
 
