@@ -123,6 +123,22 @@ def test_bounds_take_over_only_what_they_can():
     assert b.push(R.LessThan(("sample",), 5)) and b.last == 4 and b.push(R.EqualTo(("t",), 3.0)) and (b.lo, b.hi) == (3.0, 3.0)
 
 
+def test_an_index_holds_no_comments_however_many_lead_the_rows(spark, tmp_path):
+    notes = [f"marker[{k}] label=a, x={k}, y=1, mode=time, snapped=0, channel=0" for k in range(2000)]
+    (tmp_path / "a.lvm").write_text("﻿" + "".join(f"# {n}\n" for n in notes) + "\n" + "X_Value\tA\n" + "".join(f"{i}\t{-i}\n" for i in range(300)), encoding="utf-8")
+    (tmp_path / "f.csv").write_text("# plot_mode=frequency\n" + "".join(f"# {n}\n" for n in notes) + "x,A\n" + "".join(f"{i},{-i}\n" for i in range(300)))
+    (tmp_path / "late.csv").write_text("Time,A\n" + "".join(f"{i},{-i}\n" for i in range(300)) + "".join(f"# {n}\n" for n in notes))
+    for name, checkpoint, rest in (("a.lvm", 500, []), ("a.lvm", 100, []), ("f.csv", 500, []), ("late.csv", 100, [])):
+        p, folder = str(tmp_path / name), str(tmp_path / f"i{checkpoint}{name}")
+        assert R.make_indexes(spark, [p], folder, True, checkpoint, width=4000) == rest
+        got, one = R.load_index(folder, p, True, checkpoint), R.scan(p, True, checkpoint)
+        assert (got.counts(), got.labels, got.frequency_axis, got.bounds, got.end) == (one.counts(), one.labels, one.frequency_axis, one.bounds, one.end)
+        assert got.comments == (["plot_mode=frequency"] if name == "f.csv" else []) + notes
+        assert len(R.to_json(got)) < 20_000
+        values = R.read_recording(spark, p, checkpoint=checkpoint, index=folder).orderBy("sample").select("value").collect()
+        assert [abs(r[0]) for r in values] == [float(i) for i in range(300)]
+
+
 def test_neighbouring_stretches_of_many_places_are_one_part(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text("Time,A\n" + "".join(f"{i % 50},{-i}\n" for i in range(20_000)))

@@ -71,12 +71,17 @@ def section_seconds(date: str, clock: str) -> float | None:
         return None
 
 
+# Comments that say what the rows are.
+KINDS = ("data_kind=frf", "plot_mode=frequency")
+
+
 @dataclass
 class Index:
     """What one pass over a file has found."""
 
     labels: list[str] = field(default_factory=list)
-    comments: list[str] = field(default_factory=list)
+    path: str = ""
+    kinds: list[str] = field(default_factory=list)  # of KINDS, those that comments have named so far
     header_markers: int = 0
     data_sections: int = 0
     data_rows: int = 0
@@ -94,6 +99,14 @@ class Index:
     section_open: bool = False  # the section under way has rows
     leading_rows: bool = False  # rows before the pass met a header
 
+    @property
+    def comments(self) -> list[str]:
+        """The file's comments, which aren't kept but read again: they may be more than its rows."""
+        if stamp(self.path) != self.stamp:
+            raise RecordingError("SourceChanged", self.path)
+        with open(self.path, "rb") as f:
+            return [c for _, line, fields in _records(self.path, f, 0) if fields is None and line.startswith("#") and (c := line[1:].strip())]
+
     def counts(self) -> dict[str, int]:
         return {k: getattr(self, k) for k in ("header_markers", "data_sections", "data_rows", "max_columns")}
 
@@ -202,7 +215,7 @@ def _one(record):
     return [] if fields is None else [fields]
 
 
-def scan(path: str, monotonic: bool = True, checkpoint: int = CHECKPOINT, on_row=None, start: int = 0, clock: Clock | None = None, markers: int = 0, labelled: bool = False, rows: int | None = None, until: int | None = None, notes: bool = True, wanted=None, pending: dict[str, str] | None = None, whole_records: bool = False, note_last: bool = False) -> Index:
+def scan(path: str, monotonic: bool = True, checkpoint: int = CHECKPOINT, on_row=None, start: int = 0, clock: Clock | None = None, markers: int = 0, labelled: bool = False, rows: int | None = None, until: int | None = None, notes: bool = True, wanted=None, pending: dict[str, str] | None = None, whole_records: bool = False, note_last: bool = False, kinds: tuple[str, ...] = ()) -> Index:
     """One pass over a file, or from a noted place on over so many rows.
 
     ``on_row(raw_t, t, values)`` gets every row that counts: two numbers or more, the first
@@ -210,8 +223,8 @@ def scan(path: str, monotonic: bool = True, checkpoint: int = CHECKPOINT, on_row
     facts for an index; ``wanted``: columns whose cells are parsed (the others are None then);
     ``pending``: metadata lines that stand before ``start``; ``whole_records``: a record that a
     quote leaves open at the end is still being written, and no error; ``note_last``: the
-    last row is noted as a place, too."""
-    index, clock = Index(header_markers=markers, stamp=stamp(path)), clock or Clock(monotonic=monotonic)
+    last row is noted as a place, too; ``kinds``: those that comments before ``start`` have named."""
+    index, clock = Index(path=path, kinds=list(kinds), header_markers=markers, stamp=stamp(path)), clock or Clock(monotonic=monotonic)
     pending = dict(pending or {})
     metadata_seen, section_has_data = False, False
     with open(path, "rb") as f:
@@ -225,8 +238,8 @@ def scan(path: str, monotonic: bool = True, checkpoint: int = CHECKPOINT, on_row
                 if not line:
                     continue
                 if line.startswith("#"):
-                    if comment := line[1:].strip():
-                        index.comments.append(comment)
+                    if (comment := line[1:].strip()) in KINDS and comment not in index.kinds:
+                        index.kinds.append(comment)
                     continue
                 if line.startswith(HEADER_END):
                     index.header_markers += 1
@@ -255,9 +268,9 @@ def scan(path: str, monotonic: bool = True, checkpoint: int = CHECKPOINT, on_row
                 continue
             raw, values = cells[0][0], [v for v, _ in cells]
             if not index.data_rows:
-                if "data_kind=frf" in index.comments:
+                if "data_kind=frf" in index.kinds:
                     raise RecordingError("FrequencyData", "the file holds a frequency response, not samples")
-                index.frequency_axis = index.labels[:1] == ["Frequency"] or "plot_mode=frequency" in index.comments
+                index.frequency_axis = index.labels[:1] == ["Frequency"] or "plot_mode=frequency" in index.kinds
             t = raw if index.frequency_axis else clock.advance(raw)
             index.data_rows += 1
             index.leading_rows = index.leading_rows or index.header_markers == markers
@@ -329,7 +342,7 @@ def from_json(text: str) -> Index:
 
 def index_file(folder: str, path: str, monotonic: bool, checkpoint: int) -> str:
     """Where the index of a file, as it is now, is stored."""
-    key = repr((os.path.abspath(path), stamp(path), monotonic, checkpoint))
+    key = repr((os.path.abspath(path), stamp(path), monotonic, checkpoint, KINDS))
     return f"{folder}/{hashlib.sha256(key.encode()).hexdigest()[:40]}.json"
 
 
@@ -356,6 +369,34 @@ def line_start(path: str, byte: int) -> int:
         return byte - 1 + len(f.readline())
 
 
+def body_start(path: str, start: int, end: int) -> dict:
+    """The first line of a range of bytes that is neither a comment nor empty (None: there is none), and the
+    kinds that the comments before it name."""
+    kinds: list[str] = []
+    with open(path, "rb") as f:
+        for at, raw in _raw_lines(f, line_start(path, start) if start else 0):
+            if at >= end:
+                break
+            text = raw.removesuffix(b"\n").removesuffix(b"\r")
+            text = text if at else text.removeprefix(BOM.encode())
+            if text and not text.startswith(b"#"):
+                return {"byte": at, "kinds": kinds}
+            if (comment := text[1:].strip().decode("utf-8", "replace")) in KINDS and comment not in kinds:
+                kinds.append(comment)
+    return {"byte": None, "kinds": kinds}
+
+
+def first_rows(path: str, parts: dict[int, dict], monotonic: bool, checkpoint: int) -> Index:
+    """The pass over a file's first rows, which begins behind its leading comments."""
+    start, kinds = 0, []
+    for k in sorted(parts):
+        kinds += [x for x in parts[k]["kinds"] if x not in kinds]
+        if parts[k]["byte"] is not None:
+            start = parts[k]["byte"]
+            break
+    return scan(path, monotonic, checkpoint, start=start, rows=checkpoint, kinds=tuple(kinds))
+
+
 def section_effect(path: str, start: int, end: int) -> dict:
     """What the lines that start within a range of bytes do to the section clock: metadata before
     the first header's end, how many headers end, the first dated section that begins and
@@ -427,7 +468,7 @@ def follow(index: Index, parts: list[tuple[Index, list, list]], monotonic: bool)
     for part, runs, steps in parts:
         if part.broken or part.frequency_axis:
             return None
-        index.comments += part.comments
+        index.kinds += [k for k in part.kinds if k not in index.kinds]
         index.data_sections += part.data_sections - (part.leading_rows and index.section_open)
         if part.header_markers or part.data_rows:
             index.section_open = part.section_open
@@ -484,14 +525,20 @@ def _by_range(spark, ranges: list[tuple], work) -> dict[str, dict]:
 def make_indexes(spark, paths: list[str], folder: str, monotonic: bool, checkpoint: int, width: int = RANGE) -> list[str]:
     """Stores the indexes that are missing, and gives the paths that had to be read from end to end.
 
-    One job over ranges of bytes looks for section headers only; what they do to the clock is
-    composed range by range, so that the next job knows the clock at the start of each range
+    A first job over ranges of bytes finds where the leading comments end.  One looks for section headers only;
+    what they do to the clock is composed range by range, so that the next job knows the clock at the start of each range
     and finds the rows' facts; the recurrence of the times is composed from their runs."""
     import pyarrow as pa
 
     paths = [p for p in dict.fromkeys(paths) if load_index(folder, p, monotonic, checkpoint) is None]
-    heads = {p: scan(p, monotonic, checkpoint, rows=checkpoint) for p in paths if os.path.getsize(p) > width}
-    heads = {p: head for p, head in heads.items() if head.data_rows == checkpoint and not head.frequency_axis}
+    sizes = {p: size for p in paths if (size := os.path.getsize(p)) > width}
+    starts = _by_range(spark, [(p, k, a, min(a + width, size), "") for p, size in sizes.items() for k, a in enumerate(range(0, size, width))], lambda r: body_start(r["path"], r["start"], r["end"]))
+    heads = {p: first_rows(p, parts, monotonic, checkpoint) for p, parts in starts.items()}
+    done = {p for p, head in heads.items() if head.end == head.stamp[0]}
+    for p in done:
+        # All rows are among the first ones.
+        store_index(folder, p, heads[p], monotonic, checkpoint)
+    heads = {p: head for p, head in heads.items() if head.data_rows == checkpoint and not head.frequency_axis and p not in done}
     cuts = {p: [h.end, *range((h.end // width + 1) * width, h.stamp[0], width), h.stamp[0]] for p, h in heads.items()}
     ranges = {p: list(enumerate(zip(c, c[1:]))) for p, c in cuts.items()}
     effects = _by_range(spark, [(p, k, a, b, "") for p, parts in ranges.items() if not is_csv(p) for k, (a, b) in parts], lambda r: section_effect(r["path"], r["start"], r["end"]))
@@ -506,7 +553,6 @@ def make_indexes(spark, paths: list[str], folder: str, monotonic: bool, checkpoi
         index, runs, steps = scan_range(r["path"], r["start"], r["end"], json.loads(r["state"]), checkpoint)
         return [to_json(index), runs, steps]
 
-    done = set()
     for p, parts in _by_range(spark, known, facts).items():
         parts = [(from_json(parts[k][0]), *parts[k][1:]) for k in sorted(parts)]
         if (index := follow(heads[p], parts, monotonic)) is not None and stamp(p) == index.stamp:
