@@ -1,7 +1,9 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from wavemill.operators import long_spectrum, spectrum
 from wavemill.recording import LONG_SCHEMA, RecordingError
@@ -65,3 +67,14 @@ def test_status(spark):
     assert spectrum.require_spectrum(long).count() == 5
     with pytest.raises(RecordingError, match="InvalidTime"):
         spectrum.require_spectrum(long.where("channel = 'null'"))
+
+
+def test_rounding_does_not_grow_along_the_axis(spark):
+    rng = np.random.default_rng(8)
+    wide = rng.random(20_000) < 0.25
+    t = np.cumsum(np.where(wide, 200_000_000, rng.integers(20_000_000, 28_000_000, len(wide)))) / 1e6
+    rows = pd.DataFrame({"recording_id": "r", "channel": "a", "sample": np.arange(len(t)), "t": t, "value": rng.standard_normal(len(t))})
+    dt = np.diff(t, prepend=t[0])
+    steps = np.where(dt > 100, np.median(dt[(dt > 0) & (dt < 100)]), dt)
+    axis = spectrum.compressed_axis(spark.createDataFrame(rows, LONG_SCHEMA)).orderBy("sample").toPandas()
+    assert np.abs(axis["offset"].to_numpy() - np.cumsum(steps.astype(np.longdouble))).max() <= 1e-10

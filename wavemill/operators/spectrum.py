@@ -24,19 +24,21 @@ def compressed_axis(long: DataFrame) -> DataFrame:
     rows = intervals(long).join(settle(cadence(long)), list(SERIES))
     gap = F.coalesce(F.col("dt") > GAP_FACTOR * F.col("cadence"), F.lit(False))
     step = F.when(gap, F.col("cadence")).otherwise(F.coalesce("dt", F.lit(0.0)))
+    # Multiples of 2**-20 add up exactly and leave sums of small rests, so rounding doesn't grow along a channel.
+    rows = rows.withColumn("__step", step).withColumn("__coarse", F.rint(F.col("__step") * 2.0**20) * 2.0**-20).withColumn("__fine", F.col("__step") - F.col("__coarse"))
     bad = F.col("value").isNotNull() & ~finite(F.col("value"))
     facts = rows.groupBy(*SERIES).agg(
-        F.count("*").alias("n"), F.sum(step).alias("span"), F.max(gap).alias("gaps_ignored"), F.coalesce(F.max(F.col("dt") <= 0), F.lit(False)).alias("backward"),
+        F.count("*").alias("n"), (F.sum("__coarse") + F.sum("__fine")).alias("span"), F.max(gap).alias("gaps_ignored"), F.coalesce(F.max(F.col("dt") <= 0), F.lit(False)).alias("backward"),
         F.avg("value").alias("mean"), F.count("value").alias("got"), F.max(bad).alias("infinite"),
     )
     facts = facts.withColumn("grid", F.col("span") / (F.col("n") - 1))
-    rows = running_sum(rows.withColumn("__step", step), {"offset": F.col("__step")}).join(settle(facts), list(SERIES))
+    rows = running_sum(rows, {"__a": F.col("__coarse"), "__b": F.col("__fine")}).withColumn("offset", F.col("__a") + F.col("__b")).join(settle(facts), list(SERIES))
     inner = (F.col("sample") > 0) & (F.col("sample") < F.col("n") - 1)
     # Rounding of extended precision, or a millionth of the spacing, whichever is more.
     slack = F.greatest(F.col("span") * 2.0**-62, 1e-6 * F.col("grid"))
     off = inner & (F.abs(F.col("offset") - F.col("sample") * F.col("grid")) > slack)
     uneven = settle(rows.groupBy(*SERIES).agg(F.max(off).alias("resampled")))
-    return rows.join(uneven, list(SERIES)).drop("t_before", "dt", "cadence", "span", "__step")
+    return rows.join(uneven, list(SERIES)).drop("t_before", "dt", "cadence", "span", "__step", "__coarse", "__fine", "__a", "__b")
 
 
 def clocked(long: DataFrame) -> DataFrame:
