@@ -92,6 +92,18 @@ def test_nearest_breaks_ties_by_the_order_of_channels(spark, tmp_path):
         p.nearest(places, t_scale=0.0)
 
 
+def test_copies_of_a_point_are_not_all_read(spark, tmp_path):
+    """Of 64 copies of each point (16 leaves) the first is the nearest, and only its leaf need be read."""
+    rows = [("r", c, 64 * i + k, float(i), float(i * 37 % 11)) for c in ("a", "b") for i in range(40) for k in range(64)]
+    p = build_pyramid(spark.createDataFrame(rows, LONG_SCHEMA), f"file://{tmp_path}/p", leaf=4, fan=8)
+    asked = [("r", i, 4.5 * i + 0.1, float(i)) for i in range(8)]
+    for r in p.nearest(spark.createDataFrame(asked, PLACES), 2.0, 1.0, channels=["b", "a"]).collect():
+        _, _, t, v = asked[r["place"]]
+        nearest = min((((x[3] - t) * 2.0) ** 2 + (x[4] - v) ** 2, x[1] == "a", x[2]) for x in rows)
+        assert (r["distance"], r["channel"] == "a", r["sample"]) == nearest
+        assert r["leaves_read"] <= 4
+
+
 def test_pyramid_is_reopened_and_knows_its_source(spark, tmp_path):
     long, _ = recording(spark, n=50)
     path = f"file://{tmp_path}/{uuid.uuid4().hex}"

@@ -66,6 +66,14 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return same
 
 
+def _pairs(columns: Sequence[tuple[str, str]]) -> Column:
+    """Columns that are equal in pairs, where missing values count as equal."""
+    same = F.lit(True)
+    for a, b in columns:
+        same = same & F.col(a).eqNullSafe(F.col(b))
+    return same
+
+
 def _ranges(buckets: Sequence[int], most: int = RANGES) -> list[tuple[int, int]]:
     """Few ranges that hold all these numbers, left apart at the widest gaps between them."""
     at = sorted(set(buckets))
@@ -160,7 +168,8 @@ class Pyramid:
 
         Branch and bound, all places at once: on each level a box can't be nearer than its
         bounds and isn't farther than its own four points, so boxes beyond the best of a
-        place's points are left with all below them.  ``leaves_read`` tells how many leaves of
+        place's points are left with all below them, and so are boxes that can only be as near
+        as an earlier sample of their channel.  ``leaves_read`` tells how many leaves of
         samples a place still had to read."""
         if not all(math.isfinite(s) and s > 0 for s in (t_scale, value_scale)):
             raise RecordingError("InvalidOptions", "scales must be finite and above 0")
@@ -200,29 +209,42 @@ class Pyramid:
             boxes = boxes.where(F.col("channel").isin(*channels))
         met = where.join(boxes, F.col("place_recording").eqNullSafe(F.col("recording_id")))
         for level in range(self.top, -1, -1):
-            scored = scratch.save(met.where(reach).select(*asked, *SERIES, "bucket", bound.alias("bound"), F.least(*map(point, ("first", "last", "low", "high"))).alias("point")))
+            points = [(F.col(f"{name}.sample"), point(name)) for name in ("first", "last", "low", "high")]
+            scored = met.where(reach).withColumn("point", F.least(*(d for _, d in points)))
+            at = F.least(*(F.when(d == F.col("point"), n) for n, d in points))
+            scored = scratch.save(scored.select(*asked, *SERIES, "bucket", bound.alias("bound"), "point", at.alias("at")))
             best = scored.groupBy(*[F.col(c).alias(f"b_{c}") for c in asked]).agg(F.min("point").alias("best"))
-            same = F.lit(True)
-            for c in asked:
-                same = same & F.col(c).eqNullSafe(F.col(f"b_{c}"))
-            kept = scored.join(best, same).where(F.col("best").isNull() | (F.col("bound") <= F.col("best") * (1 + 1e-12)))
-            kept = scratch.save(kept.select(*asked, *SERIES, "bucket"))
-            scratch.free(scored)
+            same = _pairs([(c, f"b_{c}") for c in asked])
+            near = scored.join(best, same).where(F.col("best").isNull() | (F.col("bound") <= F.col("best") * (1 + 1e-12)))
+            near = scratch.save(near.select(*asked, *SERIES, "bucket", "bound", "best", F.when(F.col("point") == F.col("best"), F.col("at")).alias("at")))
+            # Of a channel's samples that are as near as the best point, only the first counts: boxes that
+            # can only be as near and begin after it go, however many copies a point has.
+            tie = near.where("at IS NOT NULL").groupBy(*[F.col(c).alias(f"b_{c}") for c in (*asked, *SERIES)]).agg(F.min("at").alias("tie"))
+            begins = F.col("bucket") * (self.leaf * self.fan**level)
+            kept = near.join(tie, _pairs([(c, f"b_{c}") for c in (*asked, *SERIES)]), "left")
+            kept = kept.where(F.col("tie").isNull() | (F.col("bound") < F.col("best")) | (begins <= F.col("tie")))
+            kept = scratch.save(kept.select(*asked, *SERIES, "bucket", "best", "tie"))
+            scratch.free(scored, near)
             wanted, few = self._known(kept, scratch)
+            open_ = kept.withColumnsRenamed({c: f"k_{c}" for c in (*SERIES, "bucket")})
+            if few is None:  # places times boxes: a table that grows with both isn't broadcast
+                open_ = open_.hint("merge")
             if level:
                 below, list_below = self._children(wanted, few)
                 lower = self._at(self.boxes(level - 1), below, list_below)
-                open_ = kept.withColumnsRenamed({c: f"k_{c}" for c in (*SERIES, "bucket")})
                 lower = lower.withColumn("above", F.floor(F.col("bucket") / self.fan))
-                met = open_.join(lower, F.col("k_recording_id").eqNullSafe(F.col("recording_id")) & F.col("k_channel").eqNullSafe(F.col("channel")) & (F.col("k_bucket") == F.col("above")))
+                met = open_.join(lower, _pairs([(f"k_{c}", c) for c in SERIES]) & (F.col("k_bucket") == F.col("above")))
         rows = self._at(self.samples(), wanted, few).where(finite(F.col("t")) & F.col("t").between(low, high) & finite(F.col("value")))
         rows = rows.withColumn("value", shown(F.col("value"))).where(finite(F.col("value")))
-        open_ = kept.withColumnsRenamed({c: f"k_{c}" for c in (*SERIES, "bucket")})
-        met = open_.join(rows, F.col("k_recording_id").eqNullSafe(F.col("recording_id")) & F.col("k_channel").eqNullSafe(F.col("channel")) & (F.col("k_bucket") == F.col("bucket")))
+        met = open_.join(rows, _pairs([(f"k_{c}", c) for c in SERIES]) & (F.col("k_bucket") == F.col("bucket")))
+        met = met.withColumn("distance", distance(F.col("t"), F.col("value")))
+        # The least struct of a place is found by sorting, so only samples that may be it are sorted: not
+        # all of each leaf.
+        first = F.col("tie").isNull() | (F.col("sample") <= F.col("tie"))
+        met = met.where(F.col("best").isNull() | (F.col("distance") < F.col("best")) | (F.col("distance") == F.col("best")) & first)
         rank = F.array_position(F.array(*map(F.lit, channels)), F.col("channel")) if channels is not None else F.lit(0)
-        order = F.struct(distance(F.col("t"), F.col("value")).alias("distance"), rank.cast("long").alias("rank"), "channel", "sample", "t", "value")
-        # Each leaf's best sample first: a struct a leaf and place is shuffled, not its samples.
-        near = met.groupBy(*asked, "bucket", F.col("channel").alias("of")).agg(F.min(order).alias("n")).groupBy(*asked).agg(F.min("n").alias("n"))
+        order = F.struct("distance", rank.cast("long").alias("rank"), "channel", "sample", "t", "value")
+        near = met.groupBy(*asked).agg(F.min(order).alias("n"))
         read = kept.groupBy(*asked).agg(F.count("*").alias("leaves_read")).withColumnsRenamed({c: f"b_{c}" for c in asked})
         near = near.join(read, same)
         return near.select(F.col("place_recording").alias("recording_id"), "place", "n.channel", "n.sample", "n.t", "n.value", "n.rank", "n.distance", "leaves_read")
