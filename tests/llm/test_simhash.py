@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from wavemill.llm import simhash
 from wavemill.scratch import Scratch
@@ -126,6 +127,31 @@ def test_wide_fingerprints_equal_votes():
             assert int(row[w]) == sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(s))
 
 
+def test_pivot_tables_hold_distances_and_bound_them():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 63, (200, 4), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (200, 4), dtype=np.uint64)
+    table = simhash.coordinates(x)
+    for i, p in enumerate(simhash.PIVOTS[1:]):
+        ones = np.bitwise_count(table >> np.uint64(2 * i) & np.uint64(3)).astype(int)
+        assert (2 * ones == np.bitwise_count(x).astype(int) - np.bitwise_count(x ^ np.uint64(p)) + 2).all()
+    apart = np.bitwise_count(table[:100] ^ table[100:]).sum(1)
+    assert (apart <= np.bitwise_count(x[:100] ^ x[100:]).sum(1)).all()
+
+
+def test_near_keys_and_discards_come_from_the_pivot_table(spark):
+    """Fingerprints that swap the bits of every pivot have the same coordinates: the same keys,
+    and only their own distance tells them apart."""
+    five, ten = np.uint64(0x5555555555555555), np.uint64(0xAAAAAAAAAAAAAAAA)
+    x = np.array([[five] * 4, [ten] * 4, [five] * 3 + [five ^ np.uint64(15)]], np.uint64)
+    rows = [(i, row) for i, row in enumerate(simhash.coordinates(x).view(np.int64).tolist())]
+    keys = [r["k"] for r in spark.createDataFrame(rows, "i long, t array<long>").select("i", simhash.near_keys(F.col("t"), 6, 40).alias("k")).orderBy("i").collect()]
+    assert keys[0] == keys[1] and len(set(keys[0])) == 40
+    bits, n_keys, words = simhash.plan_keys(10**5)
+    assert bits % 2 == 0 and bits * n_keys <= 64 * words
+    links = simhash.near_links(x, (4, 5))(0, 3, np.arange(3))
+    assert not links[0, 1] and links[0, 2] and links[2, 0]
+
+
 def test_common_shingles():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 300, n)).astype(np.uint64) for n in (5, 100, 1, 250, 40)]

@@ -19,10 +19,16 @@ Copies share a fingerprint and count as one from the start.
 
 ``drop_near_duplicates`` is the same for a Jaccard similarity of word shingles.  There two
 fingerprints differ in far more bits (15 % of them at 0.8), which no exact join of 64 bits
-could stand, so fingerprints have several words of 64 bits and single bits as pivots: groups of
-``bits`` pivots are the keys, as many as a pair right at the similarity misses all of
-with probability MISS; pairs beyond the radius drop out; and what is left is verified by the
-Jaccard similarity of the whole texts' shingles.
+could stand, so fingerprints have several words of 64 bits:
+
+* Pivots: the same 33 for each word; the pivot table holds the coordinates that the distances give.
+* Candidates: a key is the coordinates of ``bits`` / 2 pair pivots; there are as many keys as a
+  pair right at the similarity misses all of with probability MISS at most.
+* Discard: within a bucket, pairs whose coordinates differ by more than the radius in sum drop out.
+  By the triangle inequality two fingerprints differ within the bits of a pivot at least by the
+  difference of its coordinates, and as these bits are disjoint, so do the sums.
+* Survivors are verified by their own distance, then by the Jaccard similarity of the whole texts'
+  shingles.
 """
 
 from __future__ import annotations
@@ -48,7 +54,9 @@ TILE = 4096
 SIMILARITY = (4, 5)
 WORDS = 5
 MISS = 0.001
-BUCKET = 1024  # fingerprints that share a key by chance, on average
+# Fingerprints to a key if all its values were as frequent.  A coordinate is 0, 1, 1 or 2 for the four values
+# of its bits, so by chance 3 of 8 pairs share one: with n texts, 1024**0.71 * n**0.29 share a key.
+BUCKET = 1024
 NEAR = 4  # words of a fingerprint that are compared
 SETS = 1 << 20  # shingles that a block of a tile holds
 WEIGHTS = np.random.default_rng(SEED).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -190,12 +198,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def plan_keys(n: int, similarity=SIMILARITY, bucket: int = BUCKET) -> tuple[int, int, int]:
-    """(bits of a key, keys, words of a fingerprint) for n texts.
+    """(bits of a key: two for each pair pivot, keys, words of a fingerprint) for n texts.
 
     Sets of Jaccard similarity s have a cosine of 2 s / (1 + s) at least; their fingerprints
-    agree in a bit with probability 1 - angle / pi."""
+    agree in a bit with probability 1 - angle / pi, and in the coordinate of a pair pivot at
+    least if they agree in both bits."""
     agree = 1 - _angle(similarity) / math.pi
-    bits = min(32, max(4, math.ceil(math.log2(max(n, 2) / bucket))))
+    bits = 2 * min(16, max(2, math.ceil(math.log2(max(n, 2) / bucket) / 2)))
     keys = math.ceil(math.log(MISS) / math.log1p(-(agree**bits)))
     return bits, keys, max(NEAR, -(-keys // (64 // bits)))
 
@@ -211,24 +220,54 @@ def radius(n_bits: int, similarity=SIMILARITY) -> int:
     return math.ceil(n_bits * differ + 5 * math.sqrt(n_bits * differ * (1 - differ)))
 
 
+def coordinates(x: np.ndarray) -> np.ndarray:
+    """The pivot table of fingerprints, a word for each of theirs: of the distances to zero and
+    to a pair pivot the coordinate (d(x, 0) - d(x, p)) / 2 + 1, which is 0, 1 or 2, as so many
+    ones in the pivot's two bits.  The sum of differences of coordinates is a bit count then."""
+    origin, out = np.bitwise_count(x).astype(np.int8), np.zeros_like(x)
+    for i, p in enumerate(PIVOTS[1:]):
+        at = (origin - np.bitwise_count(x ^ np.uint64(p)).astype(np.int8)) // 2 + 1
+        out |= np.array([0, 1, 3], np.uint64)[at] << np.uint64(2 * i)
+    return out
+
+
+def near_keys(table: Column, bits: int, n_keys: int) -> Column:
+    """The keys of a pivot table: each the coordinates of ``bits`` / 2 pivots, and its number."""
+    per = 64 // bits
+    held = lambda t: F.shiftrightunsigned(F.get(table, F.lit(t // per)), bits * (t % per)).bitwiseAND(F.lit((1 << bits) - 1))
+    return F.array(*(F.lit(t << 32) + held(t) for t in range(n_keys)))
+
+
+def _transposed(a: np.ndarray) -> np.ndarray:
+    """Squares of 64 words (64, n), in which bits and words change places."""
+    for j in (32, 16, 8, 4, 2, 1):
+        pairs = a.reshape(32 // j, 2, j, -1)
+        lo, hi, by = pairs[:, 0], pairs[:, 1], np.uint64(j)
+        moved = (lo >> by ^ hi) & np.uint64(sum(1 << b for b in range(64) if not b & j))
+        hi ^= moved
+        lo ^= moved << by
+    return a
+
+
 def wide_fingerprints(sets: list[np.ndarray], words: int) -> np.ndarray:
-    """Fingerprints of ``words`` words of 64 bits of some sets, none of them empty."""
+    """Fingerprints of ``words`` words of 64 bits of some sets, none of them empty.
+
+    Hashes are counted in squares of 64: with bits and words exchanged, a bit's votes are one bit count."""
     out = np.empty((len(sets), words), np.uint64)
     sizes = np.array([len(s) for s in sets])
-    flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    squares = -(-sizes // 64)  # of each set, the last filled up with zeros, which have no votes
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), squares)
+    place = np.arange(len(flat)) + np.repeat(64 * (np.cumsum(squares) - squares) - (np.cumsum(sizes) - sizes), sizes)
+    h = np.zeros(64 * len(owner), np.uint64)
     for w in range(words):
-        votes = np.zeros((len(sets), 64), np.int64)
-        h = _mix(flat + np.uint64((w + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-        at = 0
-        while at < len(flat):  # whole sets, or a part of a long one, about 64k shingles at a time
-            first = int(np.searchsorted(starts, at, "right")) - 1
-            end = min(at + (1 << 16), len(flat))
-            last = int(np.searchsorted(starts, end, "left")) - 1
-            cuts = np.maximum(starts[first : last + 1], at) - at
-            bits = np.unpackbits(h[at:end].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            votes[first : last + 1] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
-            at = end
-        out[:, w] = np.packbits(2 * votes > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        for at in range(0, len(flat), 1 << 16):
+            h[place[at : at + (1 << 16)]] = _mix(flat[at : at + (1 << 16)] + np.uint64((w + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        votes = np.zeros((64, len(sets)), np.int64)
+        for at in range(0, len(owner), 1024):
+            own = owner[at : at + 1024]
+            counts = np.bitwise_count(_transposed(h[64 * at : 64 * (at + len(own))].reshape(-1, 64).T.copy()))
+            votes[:, own[0] : own[-1] + 1] += np.add.reduceat(counts, np.flatnonzero(np.diff(own, prepend=-1)), axis=1, dtype=np.int64)
+        out[:, w] = np.packbits(np.ascontiguousarray((2 * votes > sizes).T), axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
@@ -239,27 +278,34 @@ def _wide(words: int):
             cls = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) for w in texts], np.uint64).view(np.int64)
             sets = [shingle_set(w) for w in texts]
             full = [i for i, s in enumerate(sets) if len(s)]
-            fps = [None] * len(sets)
+            fps, tables = [None] * len(sets), [None] * len(sets)
             if full:
-                for i, row in zip(full, wide_fingerprints([sets[i] for i in full], words).view(np.int64).tolist()):
-                    fps[i] = row
+                wide = wide_fingerprints([sets[i] for i in full], words)
+                for i, row, table in zip(full, wide[:, :NEAR].view(np.int64).tolist(), coordinates(wide).view(np.int64).tolist()):
+                    fps[i], tables[i] = row, table
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("mark"), pa.array(cls), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.list_(pa.int64()))],
-                names=["doc_id", "mark", "cls", "size", "fp"],
+                [batch.column("doc_id"), batch.column("mark"), pa.array(cls), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(tables, pa.list_(pa.int64()))],
+                names=["doc_id", "mark", "cls", "size", "fp", "pivots"],
             )
 
     return run
 
 
 def near_links(x: np.ndarray, similarity):
-    """For spanning_links: the pairs of rows of x (NEAR words each) within the radius, of the
-    first word and of all."""
-    one, all_ = radius(64, similarity), radius(64 * x.shape[1], similarity)
+    """For spanning_links: the pairs of rows of x (NEAR words each) within the radius that
+    their pivot tables don't tell apart, of the first three words and of all."""
+    table, three, all_ = coordinates(x), radius(192, similarity), radius(64 * x.shape[1], similarity)
+    firsts = [np.ascontiguousarray(table[:, w]) for w in range(3)]
 
     def found(lo, hi, columns):
-        links = np.bitwise_count(x[lo:hi, :1] ^ x[columns, 0]) <= one
+        apart = sum(np.bitwise_count(t[lo:hi, None] ^ t[columns]) for t in firsts)  # 192 at most
+        links = apart <= three
         i, j = np.nonzero(links)
-        links[i, j] = np.bitwise_count(x[lo + i] ^ x[columns[j]]).sum(1) <= all_
+        a, b = lo + i, columns[j]
+        left = np.flatnonzero(np.bitwise_count(table[a] ^ table[b]).sum(1) <= all_)
+        left = left[np.bitwise_count(x[a[left]] ^ x[b[left]]).sum(1) <= all_]
+        links[:] = False
+        links[i[left], j[left]] = True
         return links
 
     return found
@@ -333,14 +379,11 @@ def drop_near_duplicates(docs: DataFrame, similarity=SIMILARITY, id_col: str = "
     bits, n_keys, words = plan_keys(docs.count(), similarity)
     text, doc, mark = F.col(text_col).cast("string"), F.col(id_col).cast("long"), _mark(F.col(text_col))
     rows = docs.select(doc.alias("doc_id"), mark.alias("mark"), text.alias("text"))
-    own = scratch.save(rows.mapInArrow(_wide(words), "doc_id long, mark long, cls long, size long, fp array<long>"))
+    own = scratch.save(rows.mapInArrow(_wide(words), "doc_id long, mark long, cls long, size long, fp array<long>, pivots array<long>"))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
-    classes = scratch.save(own.groupBy("cls").agg(F.min(rank).alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp")))
-    # The coordinates of a key's pivots, read off the word that holds them; each key has its number.
-    per = 64 // bits
-    keys = F.array(*(F.lit(t << 32) + F.shiftrightunsigned(F.get("fp", F.lit(t // per)), bits * (t % per)).bitwiseAND(F.lit((1 << bits) - 1)) for t in range(n_keys)))
-    keyed = classes.where("fp IS NOT NULL").select("cls", *(F.get("fp", F.lit(i)).alias(f"f{i}") for i in range(NEAR)), F.explode(keys).alias("key"))
-    near = deal_tiles(keyed, "key", "cls", TILE, scratch).mapInArrow(_candidates(similarity), "u long, v long")
+    classes = scratch.save(own.groupBy("cls").agg(F.min(rank).alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("pivots").alias("pivots")))
+    keyed = classes.where("fp IS NOT NULL").select("cls", *(F.get("fp", F.lit(i)).alias(f"f{i}") for i in range(NEAR)), F.explode(near_keys(F.col("pivots"), bits, n_keys)).alias("key"))
+    near = deal_tiles(keyed, "key", "cls", 4 * TILE, scratch).mapInArrow(_candidates(similarity), "u long, v long")
     near = connected_components(near, scratch).withColumnRenamed("node", "cls")
     # One text of each class in a component; only texts that may be among these are shuffled.
     picked = scratch.save(near.join(classes, "cls").select("component", "cls", "size", F.col("least.doc_id").alias("__id"), F.col("least.mark").alias("__mark")))
