@@ -46,6 +46,21 @@ def test_no_task_is_larger_than_the_limit(spark):
         long_spectrum.plan(10_007, 64)
 
 
+def test_channels_too_long_for_the_limit_are_transformed(spark):
+    lengths = {"prime": 10_007, "even": 10_000, "fits": 1009}
+    long = recording(spark, lengths)
+    one = spectrum.amplitude_spectrum(long).toPandas().sort_values(["channel", "bin"])
+    got = spectrum.amplitude_spectrum(long, limit=64).toPandas().sort_values(["channel", "bin"])
+    assert len(got) == sum(n // 2 + 1 for n in lengths.values())
+    assert np.array_equal(got[["channel", "bin"]].to_numpy(), one[["channel", "bin"]].to_numpy())
+    assert np.allclose(got["freq"], one["freq"], rtol=1e-12, atol=0) and np.abs(got["amp"].to_numpy() - one["amp"].to_numpy()).max() <= 1e-11
+    assert [long_spectrum.room(n, 64) for n in (1009, 10_007)] == [64, 64 * 256]
+    for n in (7_178_760, 7_200_011, (1 << 31) - 1):
+        most = long_spectrum.room(n, 1024)
+        r, c, g, h, _ = long_spectrum.plan(n, most)
+        assert max(r * g, c * h) <= most <= 1 << 22
+
+
 def test_chirp_phases_of_large_places():
     n = (1 << 31) + 11
     at = np.array([0, 5, n // 2, n - 1])

@@ -44,11 +44,22 @@ def plan(n: int, limit: int) -> tuple[int, int, int, int, bool]:
     return r, c, max(1, limit // r), max(1, limit // c), True
 
 
+def room(n: int, limit: int) -> int:
+    """The samples a task may take of n: ``limit``, or where a row or column doesn't fit in, 64 of the longest
+    that the chirp has, which grows with the root of n, as do the blocks that change hands."""
+    try:
+        plan(n, limit)
+        return limit
+    except RecordingError:
+        power = (2 * n - 2).bit_length()
+        return 64 << power - power // 2
+
+
 def _plans(limit: int):
     def run(batches):
         for batch in batches:
             ns = batch.column("n").to_pylist()
-            rows = [(n, *plan(n, limit)) for n in ns]
+            rows = [(n, *plan(n, room(n, limit))) for n in ns]
             names = [c.split()[0] for c in PLAN.split(", ")]
             yield pa.RecordBatch.from_pydict({name: [r[k] for r in rows] for k, name in enumerate(names)})
 
@@ -172,7 +183,7 @@ def _dealt(df: DataFrame, *order: str) -> DataFrame:
 def long_spectrum(even: DataFrame, lengths: DataFrame, limit: int) -> DataFrame:
     """Amplitudes as those of ``amplitude_spectrum`` for (keys, sample, value, n, grid, mean): evenly
     spaced samples without missing ones; ``lengths`` holds their different n.  A task works on
-    at most ``limit`` samples at a time, or on one row or column, which plan() keeps below it."""
+    at most ``limit`` samples at a time, or on what room() gives to lengths too great for that."""
     plans = settle(lengths.mapInArrow(_plans(limit), PLAN))
     kinds = [r["chirp"] for r in plans.select("chirp").distinct().collect()]
     out = None

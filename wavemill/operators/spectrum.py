@@ -126,7 +126,8 @@ def amplitude_spectrum(long: DataFrame, max_samples: int = 0, limit: int = LIMIT
     1/N at zero and, for even N, at the highest bin.
 
     ``max_samples`` takes the first so many samples (0: all; else 4 at least).  Channels of more
-    than ``limit`` samples are transformed by many tasks of about that size each."""
+    than ``limit`` samples are transformed by many tasks of about that size each; where that is
+    too small for a row of the transform, tasks grow with the root of the length."""
     if max_samples:
         if max_samples < 4:
             raise RecordingError("TooShort", "at least 4 samples are needed")
