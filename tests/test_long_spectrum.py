@@ -1,11 +1,14 @@
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from wavemill.operators import long_spectrum, spectrum
+from wavemill.plans import catalog
 from wavemill.recording import LONG_SCHEMA, RecordingError
 
 LENGTHS = {"a": 96, "b": 127, "c": 1000, "d": 1009, "e": 2048, "f": 20, "g": 331}
@@ -93,3 +96,32 @@ def test_rounding_does_not_grow_along_the_axis(spark):
     steps = np.where(dt > 100, np.median(dt[(dt > 0) & (dt < 100)]), dt)
     axis = spectrum.compressed_axis(spark.createDataFrame(rows, LONG_SCHEMA)).orderBy("sample").toPandas()
     assert np.abs(axis["offset"].to_numpy() - np.cumsum(steps.astype(np.longdouble))).max() <= 1e-10
+
+
+def nearly_even(folder, n=120, scale=1e5):
+    """Events whose times lie off an even grid by less than the tolerance of the spectrum."""
+    rng = np.random.default_rng(5)
+    micros = np.arange(n) * 2_000_000_000 + rng.integers(-700, 700, n)
+    micros[[0, -1]] = 0, (n - 1) * 2_000_000_000
+    e = pd.DataFrame({"event_id": np.arange(n), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(micros, unit="us"), "event_type": "view", "value": np.round(scale * rng.random(n), 2)})
+    duckdb.sql("SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_type, value FROM e").write_parquet(f"{folder}/events.parquet")
+
+
+def differing(spark, folder, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    want = con.execute(entry.oracle_sql()[name]).df()
+    keys = [c for c in ("channel", "sample", "bin") if c in want]
+    got = entry.queries()[name](spark, str(folder)).toPandas()[list(want.columns)]
+    got, want = got.sort_values(keys), want.sort_values(keys)
+    assert np.array_equal(got[keys].to_numpy(), want[keys].to_numpy())
+    column = "amp" if "amp" in want else "value"
+    return int((np.abs(got[column].to_numpy() - want[column].to_numpy()) > 1e-9).sum())
+
+
+def test_samples_near_the_grid_equal_the_sql(spark, tmp_path):
+    nearly_even(tmp_path)
+    long = catalog.events(spark, str(tmp_path))
+    assert not spectrum.even_samples(long).first()["resampled"]
+    assert spectrum.even_samples(long, tolerance=0.0).first()["resampled"]
+    assert differing(spark, tmp_path, "even_samples_events") == 0

@@ -16,9 +16,10 @@ from wavemill.scratch import settle
 from wavemill.sources.numeric import parse_cell
 
 LIMIT = 1 << 22  # samples that one task transforms
+TOLERANCE = 1e-6  # of the spacing, by which samples may lie off the even grid and stay as they are
 
 
-def compressed_axis(long: DataFrame) -> DataFrame:
+def compressed_axis(long: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Adds offset, the time since the first sample with every gap shortened to one cadence,
     and the facts of the channel: n, grid (even spacing), resampled, gaps_ignored."""
     rows = intervals(long).join(settle(cadence(long)), list(SERIES))
@@ -34,14 +35,14 @@ def compressed_axis(long: DataFrame) -> DataFrame:
     facts = facts.withColumn("grid", F.col("span") / (F.col("n") - 1))
     rows = running_sum(rows, {"__a": F.col("__coarse"), "__b": F.col("__fine")}).withColumn("offset", F.col("__a") + F.col("__b")).join(settle(facts), list(SERIES))
     inner = (F.col("sample") > 0) & (F.col("sample") < F.col("n") - 1)
-    # Rounding of extended precision, or a millionth of the spacing, whichever is more.
-    slack = F.greatest(F.col("span") * 2.0**-62, 1e-6 * F.col("grid"))
+    # Rounding of extended precision, or the tolerance, whichever is more.
+    slack = F.greatest(F.col("span") * 2.0**-62, tolerance * F.col("grid"))
     off = inner & (F.abs(F.col("offset") - F.col("sample") * F.col("grid")) > slack)
     uneven = settle(rows.groupBy(*SERIES).agg(F.max(off).alias("resampled")))
     return rows.join(uneven, list(SERIES)).drop("t_before", "dt", "cadence", "span", "__step", "__coarse", "__fine", "__a", "__b")
 
 
-def clocked(long: DataFrame) -> DataFrame:
+def clocked(long: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(keys, n, grid, mean, usable, clocked) of each channel by two passes of sums, without moving
     its rows: clocked are those whose times all lie on one even grid, by half the tolerance
     of ``compressed_axis``, which then would find neither gaps nor uneven samples."""
@@ -52,27 +53,28 @@ def clocked(long: DataFrame) -> DataFrame:
     )
     facts = settle(facts.withColumn("grid", F.try_divide(F.col("t1") - F.col("t0"), F.col("n") - 1)))
     off = long.join(facts.select(*SERIES, "t0", "grid"), list(SERIES)).groupBy(*SERIES).agg(F.max(F.abs(F.col("t") - F.col("t0") - F.col("sample") * F.col("grid"))).alias("off"))
-    even = F.col("fine") & (F.col("last") == F.col("n") - 1) & (F.col("grid") > 0) & (F.col("off") <= 0.5e-6 * F.col("grid"))
+    even = F.col("fine") & (F.col("last") == F.col("n") - 1) & (F.col("grid") > 0) & (F.col("off") <= 0.5 * tolerance * F.col("grid"))
     usable = (F.col("got") >= 4) & ~F.col("infinite") & F.col("fine")
     return facts.join(off, list(SERIES)).select(*SERIES, "n", "grid", "mean", usable.alias("usable"), F.coalesce(even, F.lit(False)).alias("clocked"))
 
 
-def even_samples(long: DataFrame) -> DataFrame:
+def even_samples(long: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Values on the even grid: missing ones become the channel's mean, uneven channels are
-    interpolated linearly at k * grid, the first and the last sample staying.
+    interpolated linearly at k * grid, the first and the last sample staying.  Channels are uneven if
+    a sample lies further off the grid than the tolerance, a part of the spacing; with 0, if any lies off.
 
     Channels with fewer than 4 finite samples or with an infinite one, or whose time is missing
     somewhere, stands still or runs back, are left out (``spectrum_status`` names the reason).
     Clocked channels are taken as they are."""
-    return _even(long, settle(clocked(long).where("usable")))
+    return _even(long, settle(clocked(long, tolerance).where("usable")), tolerance)
 
 
-def _even(long: DataFrame, facts: DataFrame) -> DataFrame:
+def _even(long: DataFrame, facts: DataFrame, tolerance: float) -> DataFrame:
     value = F.coalesce("value", "mean").alias("value")
     out = long.join(facts.where("clocked"), list(SERIES)).select(*SERIES, "sample", value, "n", "grid", F.lit(False).alias("resampled"), F.lit(False).alias("gaps_ignored"))
     others = facts.where("NOT clocked").select(*SERIES)
     if others.limit(1).count():
-        out = out.unionByName(_regridded(long.join(others, list(SERIES), "left_semi")))
+        out = out.unionByName(_regridded(long.join(others, list(SERIES), "left_semi"), tolerance))
     return out
 
 
@@ -96,8 +98,8 @@ def require_spectrum(long: DataFrame) -> DataFrame:
     return amplitude_spectrum(long)
 
 
-def _regridded(long: DataFrame) -> DataFrame:
-    rows = compressed_axis(long).where("got >= 4 AND NOT infinite AND NOT backward")
+def _regridded(long: DataFrame, tolerance: float) -> DataFrame:
+    rows = compressed_axis(long, tolerance).where("got >= 4 AND NOT infinite AND NOT backward")
     rows = rows.withColumn("value", F.coalesce("value", "mean")).select(*SERIES, "sample", "offset", "value", "n", "grid", "resampled", "gaps_ignored")
     rows = neighbours(rows, {"__o": ("offset", 1), "__v": ("value", 1)})
     last = F.col("sample") == F.col("n") - 1
@@ -121,27 +123,28 @@ def _amplitudes(x: np.ndarray) -> np.ndarray:
     return amp
 
 
-def amplitude_spectrum(long: DataFrame, max_samples: int = 0, limit: int = LIMIT) -> DataFrame:
+def amplitude_spectrum(long: DataFrame, max_samples: int = 0, limit: int = LIMIT, tolerance: float = TOLERANCE) -> DataFrame:
     """One-sided amplitudes of the mean-free signal: (keys, bin, freq, amp), 2/N in between,
     1/N at zero and, for even N, at the highest bin.
 
     ``max_samples`` takes the first so many samples (0: all; else 4 at least).  Channels of more
     than ``limit`` samples are transformed by many tasks of about that size each; where that is
-    too small for a row of the transform, tasks grow with the root of the length."""
+    too small for a row of the transform, tasks grow with the root of the length.  ``tolerance`` is
+    that of ``even_samples``."""
     if max_samples:
         if max_samples < 4:
             raise RecordingError("TooShort", "at least 4 samples are needed")
         long = long.where(F.col("sample") < max_samples)
-    facts = settle(clocked(long).where("usable"))
+    facts = settle(clocked(long, tolerance).where("usable"))
     lengths = facts.where(F.col("n") > limit).select("n").distinct()
     if not lengths.limit(1).count():
-        return _by_channel(_even(long, facts))
+        return _by_channel(_even(long, facts, tolerance))
     short, far = (facts.where(F.col("n") <= limit), facts.where(F.col("n") > limit))
-    even = _even(long.join(far.select(*SERIES), list(SERIES), "left_semi"), far).join(far.select(*SERIES, "mean"), list(SERIES))
+    even = _even(long.join(far.select(*SERIES), list(SERIES), "left_semi"), far, tolerance).join(far.select(*SERIES, "mean"), list(SERIES))
     out = long_spectrum(even, lengths, limit)
     if not short.limit(1).count():
         return out
-    return out.unionByName(_by_channel(_even(long.join(short.select(*SERIES), list(SERIES), "left_semi"), short)))
+    return out.unionByName(_by_channel(_even(long.join(short.select(*SERIES), list(SERIES), "left_semi"), short, tolerance)))
 
 
 def _by_channel(even: DataFrame) -> DataFrame:

@@ -444,7 +444,8 @@ e AS (SELECT recording_id, q.channel, k.i AS sample, CASE WHEN k.i = 0 OR off2 I
 
 @query(EVEN + f" SELECT recording_id, channel, sample, {R('value')}, nn AS n, {R('grid')} FROM e", 4)
 def even_samples_events(spark, sf_dir):
-    return spectrum.even_samples(events(spark, sf_dir)).select("recording_id", "channel", "sample", "value", "n", "grid")
+    """All samples are interpolated, as in the SQL, however near they lie to the even grid."""
+    return spectrum.even_samples(events(spark, sf_dir), tolerance=0.0).select("recording_id", "channel", "sample", "value", "n", "grid")
 
 
 @query(EVEN + f""", m AS (SELECT *, value - avg(value) OVER (PARTITION BY channel) AS cv FROM e),
