@@ -45,14 +45,16 @@ def plan(n: int, limit: int) -> tuple[int, int, int, int, bool]:
 
 
 def room(n: int, limit: int) -> int:
-    """The samples a task may take of n: ``limit``, or where a row or column doesn't fit in, 64 of the longest
-    that the chirp has, which grows with the root of n, as do the blocks that change hands."""
+    """The samples a task may take of n: ``limit``, or where that holds no whole row or column, or leaves blocks of
+    fewer than 16 samples to change hands, 64 of the longest that the chirp has, which grows with the root of n."""
     try:
-        plan(n, limit)
-        return limit
+        r, c, g, h, _ = plan(n, limit)
+        if min(g, c) * min(h, r) >= 16:
+            return limit
     except RecordingError:
-        power = (2 * n - 2).bit_length()
-        return 64 << power - power // 2
+        pass
+    power = (2 * n - 2).bit_length()
+    return max(limit, 64 << power - power // 2)
 
 
 def _plans(limit: int):
