@@ -50,18 +50,21 @@ def test_no_task_is_larger_than_the_limit(spark):
 
 
 def test_channels_too_long_for_the_limit_are_transformed(spark):
-    lengths = {"prime": 10_007, "even": 10_000, "fits": 1009}
+    lengths = {"prime": 10_007, "even": 10_000, "fits": 127}
     long = recording(spark, lengths)
     one = spectrum.amplitude_spectrum(long).toPandas().sort_values(["channel", "bin"])
     got = spectrum.amplitude_spectrum(long, limit=64).toPandas().sort_values(["channel", "bin"])
     assert len(got) == sum(n // 2 + 1 for n in lengths.values())
     assert np.array_equal(got[["channel", "bin"]].to_numpy(), one[["channel", "bin"]].to_numpy())
     assert np.allclose(got["freq"], one["freq"], rtol=1e-12, atol=0) and np.abs(got["amp"].to_numpy() - one["amp"].to_numpy()).max() <= 1e-11
-    assert [long_spectrum.room(n, 64) for n in (1009, 10_007)] == [64, 64 * 256]
+    assert [long_spectrum.room(n, 64) for n in (127, 1009, 10_007)] == [64, 64 * 64, 64 * 256]
     for n in (7_178_760, 7_200_011, (1 << 31) - 1):
         most = long_spectrum.room(n, 1024)
         r, c, g, h, _ = long_spectrum.plan(n, most)
         assert max(r * g, c * h) <= most <= 1 << 22
+    for n in (20_302, 118_860, 121_812, 500_009, 1_000_000):
+        r, c, g, h, _ = long_spectrum.plan(n, long_spectrum.room(n, 1024))
+        assert min(g, c) * min(h, r) >= 16, n
 
 
 def test_chirp_phases_of_large_places():
@@ -125,3 +128,20 @@ def test_samples_near_the_grid_equal_the_sql(spark, tmp_path):
     assert not spectrum.even_samples(long).first()["resampled"]
     assert spectrum.even_samples(long, tolerance=0.0).first()["resampled"]
     assert differing(spark, tmp_path, "even_samples_events") == 0
+
+
+@pytest.mark.parametrize("n", [120, 2053])
+def test_spectrum_of_samples_near_the_grid_equals_the_sql(spark, tmp_path, n):
+    nearly_even(tmp_path, n)
+    assert differing(spark, tmp_path, "spectrum_long_events") == 0
+
+
+def test_every_place_comes_once(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for c in range(300):
+        t = np.cumsum(np.r_[0, rng.uniform(0.8, 1.2, 48), 0.05 * rng.random()])
+        rows += [("r", str(c), i, float(x), float(i % 7)) for i, x in enumerate(t)]
+    even = spectrum.even_samples(spark.createDataFrame(rows, LONG_SCHEMA), tolerance=0.0)
+    got = even.groupBy("channel").agg(F.count("*").alias("n"), F.countDistinct("sample").alias("places"), F.min("sample").alias("lo"), F.max("sample").alias("hi"))
+    assert {tuple(r)[1:] for r in got.collect()} == {(50, 50, 0, 49)}

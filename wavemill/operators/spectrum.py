@@ -104,9 +104,9 @@ def _regridded(long: DataFrame, tolerance: float) -> DataFrame:
     rows = neighbours(rows, {"__o": ("offset", 1), "__v": ("value", 1)})
     last = F.col("sample") == F.col("n") - 1
     # Grid places k with offset <= k * grid < next offset lie between this sample and the next.
-    lo = F.ceil(F.col("offset") / F.col("grid") - 1e-9)
-    hi = F.ceil(F.col("__o") / F.col("grid") - 1e-9) - 1
-    places = F.when(last, F.array(F.col("n") - 1)).when(F.col("sample") == 0, F.when(hi >= 0, F.sequence(F.lit(0).cast("long"), F.least(hi, F.col("n") - 2)))).otherwise(F.when(hi >= lo, F.sequence(F.greatest(lo, F.lit(1).cast("long")), F.least(hi, F.col("n") - 2))))
+    lo = F.when(F.col("sample") == 0, 0).otherwise(F.greatest(F.ceil(F.col("offset") / F.col("grid")), F.lit(1)))
+    hi = F.least(F.ceil(F.col("__o") / F.col("grid")) - 1, F.col("n") - 2)
+    places = F.when(last, F.array(F.col("n") - 1)).when(hi >= lo, F.sequence(lo.cast("long"), hi.cast("long")))
     places = F.when(F.col("resampled"), F.filter(places, lambda k: k >= 0)).otherwise(F.array(F.col("sample")))
     rows = rows.withColumn("k", F.explode(places))
     part = (F.col("k") * F.col("grid") - F.col("offset")) / (F.col("__o") - F.col("offset"))

@@ -453,8 +453,9 @@ sp AS (SELECT recording_id, channel, k.bin, nn, grid, sum(cv * cos(2 * pi() * ((
 SELECT recording_id, channel, bin, round(bin / (nn * grid), 9) + 0.0 AS freq, round(CASE WHEN bin = 0 THEN 0 WHEN 2 * bin = nn THEN sqrt(re ** 2 + im ** 2) / nn ELSE 2 * sqrt(re ** 2 + im ** 2) / nn END, 4) + 0.0 AS amp FROM sp""", 9)
 def spectrum_long_events(spark, sf_dir):
     """Spectra of all channels of the jittered recording, resampled, by many tasks of 1,024 samples at
-    most, or for long channels as many as they need; amplitudes to four places, as resampling sums times in another order than the SQL."""
-    out = spectrum.amplitude_spectrum(events(spark, sf_dir), limit=1024)
+    most, or for long channels as many as they need; amplitudes to four places, as resampling sums times in another order than the SQL.
+    All samples are interpolated, as there, however near they lie to the even grid."""
+    out = spectrum.amplitude_spectrum(events(spark, sf_dir), limit=1024, tolerance=0.0)
     return out.withColumn("amp", F.round("amp", 4))
 
 
